@@ -24,9 +24,14 @@ from .scale import broadcast_within
 KM_PER_DEGREE = math.pi * EARTH_RADIUS_KM / 180.0
 CELL_SHARE = 0.66  # cell side / radius: a cell's diagonal stays below the radius
 GALLERY_ROWS = 5_000
+GRIDS = 7  # search grids of 1, 4, 16 ... 4096 km
 
 
-def _cells_in_band(band: Column, km: float) -> Column:
+def _number(km: float | Column) -> Column:
+    return km if isinstance(km, Column) else F.lit(float(km))
+
+
+def _cells_in_band(band: Column, km: Column) -> Column:
     side = km * CELL_SHARE
     step = side / KM_PER_DEGREE
     south = band * step - 90.0
@@ -36,24 +41,25 @@ def _cells_in_band(band: Column, km: float) -> Column:
     return F.greatest(F.lit(1), F.ceil(around / side)).cast("bigint")
 
 
-def with_cell(df: DataFrame, km: float) -> DataFrame:
+def with_cell(df: DataFrame, km: float | Column) -> DataFrame:
     """Adds the grid cell (band, cell) of each point."""
-    step = km * CELL_SHARE / KM_PER_DEGREE
-    df = df.withColumn("band", F.floor((F.col("lat") + 90.0) / step))
+    km = _number(km)
+    df = df.withColumn("band", F.floor((F.col("lat") + 90.0) / (km * CELL_SHARE / KM_PER_DEGREE)))
     n = _cells_in_band(F.col("band"), km)
     return df.withColumn("cell", F.pmod(F.floor((F.col("lon") + 180.0) / 360.0 * n), n))
 
 
-def with_cover(df: DataFrame, km: float) -> DataFrame:
+def with_cover(df: DataFrame, km: float | Column) -> DataFrame:
     """One row per grid cell that a circle of ``km`` around the point can touch."""
+    km = _number(km)
     step = km * CELL_SHARE / KM_PER_DEGREE
     reach = km / KM_PER_DEGREE + 1e-7
     bands = F.sequence(F.floor((F.col("lat") - reach + 90.0) / step), F.floor((F.col("lat") + reach + 90.0) / step))
     df = df.withColumn("band", F.explode(bands))
     n = _cells_in_band(F.col("band"), km)
     at_pole = F.abs("lat") + reach >= 90.0
-    angle = math.sin(min(km / EARTH_RADIUS_KM, math.pi / 2))
-    half = F.degrees(F.asin(F.least(F.lit(1.0), F.lit(angle) / F.cos(F.radians("lat"))))) + 1e-7
+    angle = F.sin(F.least(km / EARTH_RADIUS_KM, F.lit(math.pi / 2)))
+    half = F.degrees(F.asin(F.least(F.lit(1.0), angle / F.cos(F.radians("lat"))))) + 1e-7
     first = F.when(at_pole, F.lit(0).cast("bigint")).otherwise(F.floor((F.col("lon") - half + 180.0) / 360.0 * n))
     last = F.when(at_pole, n - 1).otherwise(F.least(F.floor((F.col("lon") + half + 180.0) / 360.0 * n), first + n - 1))
     return df.withColumn("__n", n).withColumn("__c", F.explode(F.sequence(first, last))).withColumn(
@@ -145,27 +151,17 @@ def nearest_labels(queries: DataFrame, pool: DataFrame, k: int) -> DataFrame:
     same_place = W.partitionBy("lat", "lon").orderBy("ord")
     # No query needs more than k + 1 labels of one site (one may be the truth itself).
     unique = unique.withColumn("__r", F.row_number().over(same_place)).where(F.col("__r") <= k + 1).drop("__r")
-    radii = [4.0**e for e in range(0, 7)]
-    placed, held = [], []
-    for level, km in enumerate(radii):
-        cells = with_cell(unique, km).withColumn("grid", F.lit(level))
-        placed.append(cells)
-        full = cells.groupBy("grid", "band", "cell").count().where(F.col("count") > k).drop("count")
-        at = with_cell(queries.select("label", "lat", "lon"), km).withColumn("grid", F.lit(level))
-        held.append(at.join(full, ["grid", "band", "cell"], "left_semi").select("label", "grid"))
-    worldwide = unique.withColumns({"band": F.lit(0).cast("bigint"), "cell": F.lit(0).cast("bigint"), "grid": F.lit(len(radii))})
-    points, settled = worldwide, held[0]
-    for cells in placed:
-        points = points.unionByName(cells)
-    for h in held[1:]:
-        settled = settled.unionByName(h)
-    chosen = queries.select("label", "lat", "lon").join(settled.groupBy("label").agg(F.min("grid").alias("grid")), "label", "left")
-    probes = chosen.where(F.col("grid").isNull()).select(
-        "label", "lat", "lon", F.lit(len(radii)).alias("grid"), F.lit(0).cast("bigint").alias("band"), F.lit(0).cast("bigint").alias("cell")
-    )
-    for level, km in enumerate(radii):
-        spread = with_cover(chosen.where(F.col("grid") == level), km)
-        probes = probes.unionByName(spread.select("label", "lat", "lon", "grid", "band", "cell"))
+    grids = F.explode(F.sequence(F.lit(0), F.lit(GRIDS - 1))).alias("grid")
+    km = F.pow(F.lit(4.0), F.col("grid"))
+    placed = with_cell(unique.select("*", grids), km)
+    crowded = placed.groupBy("grid", "band", "cell").count().where(F.col("count") > k).drop("count")
+    own = with_cell(queries.select("label", "lat", "lon", grids), km).join(crowded, ["grid", "band", "cell"], "left_semi")
+    chosen = queries.select("label", "lat", "lon").join(own.groupBy("label").agg(F.min("grid").alias("grid")), "label", "left")
+    # A query whose widest cell holds too few labels searches everywhere: grid -1 has one cell for the whole pool.
+    everywhere = [F.lit(-1).alias("grid"), F.lit(0).cast("bigint").alias("band"), F.lit(0).cast("bigint").alias("cell")]
+    points = placed.unionByName(unique.select("*", *everywhere))
+    spread = with_cover(chosen.where(F.col("grid").isNotNull()), km).select("label", "lat", "lon", "grid", "band", "cell")
+    probes = spread.unionByName(chosen.where(F.col("grid").isNull()).select("label", "lat", "lon", *everywhere))
     near = probes.withColumnsRenamed({"label": "truth", "lat": "tlat", "lon": "tlon"}).join(points, ["grid", "band", "cell"])
     near = near.where(F.col("label") != F.col("truth")).withColumn("d", haversine_km("tlat", "tlon", "lat", "lon"))
     order = W.partitionBy("truth").orderBy("d", "ord")

@@ -112,3 +112,23 @@ def score_subsets(features: DataFrame, scorer: Scorer, *, subsets: Literal["all"
 
     inside = features.where(F.col("m") >= 1)
     return inside.select("subject_id", "truth", F.col("m").cast("int").alias("m"), "x").mapInArrow(run, schema)
+
+
+def score_views(rows: DataFrame, scorer: Scorer, views: dict[str, str]) -> DataFrame:
+    """Beliefs of ready-made views: each feature column in ``views`` is scored
+    unmasked and replaced by the belief column it maps to."""
+    keep = [c for c in rows.columns if c not in views]
+    schema = T.StructType([rows.schema[c] for c in keep] + [T.StructField(o, T.ArrayType(T.DoubleType())) for o in views.values()])
+    none = np.zeros(1, dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c) for c in keep]
+            for source in views:
+                x = batch.column(source).flatten().to_numpy(zero_copy_only=False).astype(float)
+                p = scorer(x.reshape(batch.num_rows, -1), 1, none)[:, 0, :] if batch.num_rows else np.zeros((0, 1))
+                offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * p.shape[1]
+                columns.append(pa.ListArray.from_arrays(offsets, p.reshape(-1)))
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *views.values()])
+
+    return rows.select(*keep, *views).mapInArrow(run, schema)
