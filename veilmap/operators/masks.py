@@ -123,6 +123,32 @@ def _run_lists(rows: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
     return packed.select(*keys, part("y"), part("x1"), part("x2"))
 
 
+def _place_slice(keys, cue_n, y, x1, x2, all_n, by, b1, b2, width, height, n, tries):
+    """Least-overlap shift of every cue for each placement: dx, dy, overlap, area (rows x placements)."""
+    rows = np.arange(len(keys))
+    frame, cue = np.repeat(rows, all_n), np.repeat(rows, cue_n)
+    edge = np.zeros((len(keys), height, width + 1), dtype=np.int32)
+    np.add.at(edge, (frame, by, b1), 1)
+    np.add.at(edge, (frame, by, b2), -1)
+    # before[row, y, x] = covered pixels of line y left of x
+    before = np.zeros_like(edge)
+    before[:, :, 1:] = np.cumsum(np.cumsum(edge, axis=2)[:, :, :width], axis=2)
+    first = np.concatenate([[0], np.cumsum(cue_n)[:-1]])
+    low = lambda v: np.minimum.reduceat(v, first)[:, None, None]
+    high = lambda v: np.maximum.reduceat(v, first)[:, None, None]
+    h = keys[:, None, None] + (np.arange(n)[:, None] * 101 + np.arange(tries)[None, :] * 7919)[None]
+    free_x, free_y = width - 1 - (high(x2) - 1 - low(x1)), height - 1 - (high(y) - low(y))
+    dx = np.where(free_x > 0, h % np.maximum(free_x, 1) - low(x1), 0)
+    dy = np.where(free_y > 0, (h // 61) % np.maximum(free_y, 1) - low(y), 0)
+    line, row = y[:, None, None] + dy[cue], cue[:, None, None]
+    shared = before[row, line, x2[:, None, None] + dx[cue]] - before[row, line, x1[:, None, None] + dx[cue]]
+    covered = np.add.reduceat(shared, first, axis=0).astype(np.int64)
+    best = covered.argmin(axis=2)[:, :, None]
+    pick = lambda v: np.take_along_axis(v, best, axis=2)[:, :, 0]
+    area = np.repeat(np.add.reduceat(x2 - x1, first)[:, None], n, axis=1)
+    return pick(dx), pick(dy), pick(covered), area
+
+
 def place_controls(
     cue_rows: DataFrame, width: int, height: int, n: int, *, key: Column | None = None, tries: int = 40, seed: int = 42
 ) -> DataFrame:
@@ -142,36 +168,25 @@ def place_controls(
 
     @F.arrow_udf("array<struct<placement:int,dx:int,dy:int,overlap:bigint,area:bigint>>")
     def place(keys: pa.Array, cy: pa.Array, c1: pa.Array, c2: pa.Array, uy: pa.Array, u1: pa.Array, u2: pa.Array) -> pa.Array:
-        ks = keys.to_numpy(zero_copy_only=False)
-        flat = [a.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for a in (cy, c1, c2, uy, u1, u2)]
-        ends = [np.concatenate([[0], np.cumsum(a.value_lengths().to_numpy(zero_copy_only=False))]) for a in (cy, uy)]
-        draws = np.arange(n)[:, None] * 101 + np.arange(tries)[None, :] * 7919
-        out = []
-        for r, k in enumerate(ks):
-            a, b = ends[0][r], ends[0][r + 1]
-            y, x1, x2 = (f[a:b] for f in flat[:3])
-            a, b = ends[1][r], ends[1][r + 1]
-            edge = np.zeros((height, width + 1), dtype=np.int64)
-            np.add.at(edge, (flat[3][a:b], flat[4][a:b]), 1)
-            np.add.at(edge, (flat[3][a:b], flat[5][a:b]), -1)
-            # before[y, x] = covered pixels of row y left of x
-            before = np.zeros((height, width + 1), dtype=np.int64)
-            before[:, 1:] = np.cumsum(np.cumsum(edge, axis=1)[:, :width], axis=1)
-            free_x, free_y = width - 1 - (x2.max() - 1 - x1.min()), height - 1 - (y.max() - y.min())
-            h = int(k) + draws
-            dx = h % free_x - x1.min() if free_x > 0 else np.zeros_like(h)
-            dy = (h // 61) % free_y - y.min() if free_y > 0 else np.zeros_like(h)
-            at = y[None, None, :] + dy[:, :, None]
-            covered = (before[at, x2 + dx[:, :, None]] - before[at, x1 + dx[:, :, None]]).sum(axis=2)
-            best = covered.argmin(axis=1)
-            size = int((x2 - x1).sum())
-            out.append([
-                {"placement": p, "dx": int(dx[p, t]), "dy": int(dy[p, t]), "overlap": int(covered[p, t]), "area": size}
-                for p, t in enumerate(best)
-            ])
-        return pa.array(out, type=pa.list_(pa.struct([
-            ("placement", pa.int32()), ("dx", pa.int32()), ("dy", pa.int32()), ("overlap", pa.int64()), ("area", pa.int64()),
-        ])))
+        flat = lambda a: a.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes = lambda a: a.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        found = [np.zeros((0, n), dtype=np.int64)] * 4
+        # A slice holds one frame per row; about 2^24 pixels at a time.
+        step = max(1, (1 << 24) // (height * (width + 1)))
+        for at in range(0, len(keys), step):
+            k, y, x1, x2, by, b1, b2 = (a.slice(at, step) for a in (keys, cy, c1, c2, uy, u1, u2))
+            some = _place_slice(
+                k.to_numpy(zero_copy_only=False).astype(np.int64), sizes(y), flat(y), flat(x1), flat(x2),
+                sizes(by), flat(by), flat(b1), flat(b2), width, height, n, tries,
+            )
+            found = [np.concatenate([f, s]) for f, s in zip(found, some)]
+        dx, dy, covered, size = (f.reshape(-1) for f in found)
+        placement = np.tile(np.arange(n, dtype=np.int32), len(keys))
+        structs = pa.StructArray.from_arrays(
+            [pa.array(placement), pa.array(dx.astype(np.int32)), pa.array(dy.astype(np.int32)), pa.array(covered), pa.array(size)],
+            names=["placement", "dx", "dy", "overlap", "area"],
+        )
+        return pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * n, structs)
 
     placed = each.select(*CUE, F.explode(place(draw, "c_y", "c_x1", "c_x2", "u_y", "u_x1", "u_x2")).alias("p"))
     return placed.select(

@@ -98,17 +98,23 @@ sql_view("draws", """
         FROM cue_extent CROSS JOIN (SELECT unnest(generate_series(0, 1)) AS placement) CROSS JOIN (SELECT unnest(generate_series(0, 39)) AS attempt))""")
 
 
+sql_view("subject_frames", """
+  SELECT subject_id, list(coalesce(bits, 0::HUGEINT) ORDER BY y) AS frame
+  FROM (SELECT DISTINCT subject_id FROM subject_pixels) CROSS JOIN (SELECT unnest(generate_series(0, 47)) AS y) LEFT JOIN subject_pixels USING (subject_id, y) GROUP BY subject_id""")
+sql_view("cue_lists", "SELECT subject_id, cue_idx, list(y ORDER BY y) AS ys, list(bits ORDER BY y) AS rows_, sum(bit_count(bits))::BIGINT AS area FROM cue_pixels GROUP BY ALL")
+
+
 @query("control_placement", """
-  WITH o AS (SELECT d.subject_id, d.cue_idx, d.placement, d.attempt, d.dx, d.dy,
-                    sum(CASE WHEN s.bits IS NULL THEN 0 ELSE bit_count((CASE WHEN d.dx >= 0 THEN c.bits << d.dx::INT ELSE c.bits >> (-d.dx)::INT END) & s.bits) END)::BIGINT AS overlap,
-                    sum(bit_count(c.bits))::BIGINT AS area
-             FROM draws d JOIN cue_pixels c USING (subject_id, cue_idx) LEFT JOIN subject_pixels s ON s.subject_id = d.subject_id AND s.y = c.y + d.dy GROUP BY ALL)
+  WITH o AS (SELECT d.subject_id, d.cue_idx, d.placement, d.attempt, d.dx, d.dy, area,
+                    list_sum(list_transform(range(1, len(ys) + 1), lambda i:
+                      bit_count((CASE WHEN d.dx >= 0 THEN rows_[i] << d.dx::INT ELSE rows_[i] >> (-d.dx)::INT END) & frame[ys[i] + d.dy + 1])))::BIGINT AS overlap
+             FROM draws d JOIN cue_lists c USING (subject_id, cue_idx) JOIN subject_frames s USING (subject_id))
   SELECT subject_id, cue_idx, placement, arg_min(dx, (overlap, attempt)) AS dx, arg_min(dy, (overlap, attempt)) AS dy, min(overlap) AS overlap,
-         round(min(overlap) / max(area), 6) + 0.0 AS overlap_frac FROM o GROUP BY subject_id, cue_idx, placement""")
+         round(min(overlap) / max(area) + 1e-9, 6) AS overlap_frac FROM o GROUP BY subject_id, cue_idx, placement""")
 def control_placement(spark, sf):
     key = F.col("subject_id") * 31 + F.col("cue_idx") * 17
     p = M.place_controls(V.instance_rows(spark, sf), FRAME_W, FRAME_H, 2, key=key)
-    return p.select("subject_id", "cue_idx", "placement", "dx", "dy", "overlap", rounded("overlap_frac").alias("overlap_frac"))
+    return p.select("subject_id", "cue_idx", "placement", "dx", "dy", "overlap", rounded(F.col("overlap_frac") + 1e-9).alias("overlap_frac"))
 
 
 # Control effects on beliefs: control p of cue k hides as many dimensions as a cue does,
