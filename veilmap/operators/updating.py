@@ -56,17 +56,22 @@ def sequential_posterior(prior: DataFrame, ratings: DataFrame, *, group_rows: in
     The normalisation of each step cancels, so P_t is the softmax of
     ln P_0 + the running sum of ln W. The prior enters the scan as step 0,
     which saves a join. Every (level, segment) restarts from its own prior.
+    A prior may bring ``log_p``, its logarithm up to a constant, to continue
+    from an earlier trajectory without underflow.
     """
     rated = support_score(ratings)
     if "segment" not in rated.columns:
         rated = rated.withColumn("segment", F.lit(0))
     if "segment" not in prior.columns:
         prior = prior.withColumn("segment", F.lit(0))
+    known = F.when(F.col("p") > 0, F.log("p")).otherwise(F.lit(float("-inf")))
+    if "log_p" in prior.columns:
+        known = F.col("log_p")
     start = prior.select(
         *RUN, F.lit(0).cast("bigint").alias("step"), "label", "ord",
         F.lit(None).cast("double").alias("c"), F.lit(None).cast("double").alias("alpha"),
         F.lit(None).cast("double").alias("w"), F.lit(0.0).alias("woe_bits"),
-        F.when(F.col("p") > 0, F.log("p")).otherwise(F.lit(float("-inf"))).alias("__ln"), F.col("p").alias("__p0"),
+        known.alias("__ln"), F.col("p").alias("__p0"),
     )
     moves = rated.select(
         *RUN, F.col("step").cast("bigint").alias("step"), "label", "ord",
@@ -85,7 +90,7 @@ def sequential_posterior(prior: DataFrame, ratings: DataFrame, *, group_rows: in
     return out.withColumns({
         "delta_p": F.max(F.abs(F.col("p") - F.col("__q"))).over(at_step),
         "valid": F.sum("__m").over(at_step) > 1 - 1e-9,
-    }).select(*RUN, "step", "label", "ord", "c", "alpha", "w", "woe_bits", "p", "delta_p", "valid")
+    }).select(*RUN, "step", "label", "ord", "c", "alpha", "w", "woe_bits", "p", "delta_p", "valid", F.col("__s").alias("log_p"))
 
 
 def step_facts(trajectory: DataFrame) -> DataFrame:
