@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scale import GROUP_ROWS, percentiles, summarise
+from .scale import summarise
 
 
 def control_table(real: DataFrame, controls: DataFrame) -> DataFrame:
@@ -28,11 +28,9 @@ def net_class(margin: float = 0.01):
     return F.when(F.col("net") > margin, "above").when(F.col("net") < -margin, "below").otherwise("level")
 
 
-def artifact_floor(controls: DataFrame, *, group_rows: int = GROUP_ROWS) -> DataFrame:
+def artifact_floor(controls: DataFrame, **size) -> DataFrame:
     """Median, 90th percentile and maximum over all placements."""
-    return summarise(
-        controls, [], [F.count("mpl").alias("n"), F.max("mpl").alias("max")], {"median": ("mpl", 0.5), "p90": ("mpl", 0.9)}, group_rows=group_rows
-    )
+    return summarise(controls, [], [F.count("mpl").alias("n"), F.max("mpl").alias("max")], {"median": ("mpl", 0.5), "p90": ("mpl", 0.9)}, **size)
 
 
 def resolvability(table: DataFrame, *, min_size: int = 1) -> DataFrame:
@@ -52,11 +50,11 @@ def corrected_shapley(phi: DataFrame, controls: DataFrame) -> DataFrame:
     return phi.join(subject_constant(controls), "subject_id").withColumn("phi_corrected", F.col("phi") - F.col("c_img") / F.col("m"))
 
 
-def corrected_categories(corrected: DataFrame, *, group_rows: int = GROUP_ROWS) -> DataFrame:
+def corrected_categories(corrected: DataFrame, **size) -> DataFrame:
     named = corrected.withColumn("category", F.coalesce("category", F.lit("unknown")))
     return summarise(
         named, ["category"],
         [F.count(F.lit(1)).alias("n"), F.count_if(F.col("phi_corrected") < -0.01).alias("n_negative")],
         {"phi_median": ("phi", 0.5), "corrected_median": ("phi_corrected", 0.5)},
-        group_rows=group_rows,
+        **size,
     )

@@ -95,11 +95,11 @@ def fit_temperature(nll: DataFrame) -> DataFrame:
     return nll.agg(F.min_by("tau", F.struct("nll", "tau")).alias("tau"))
 
 
-def describe(df: DataFrame, keys: Sequence[str], value: str, *, group_rows: int = GROUP_ROWS) -> DataFrame:
+def describe(df: DataFrame, keys: Sequence[str], value: str, **size) -> DataFrame:
     aggs = [
         F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.min(value).alias("min"), F.max(value).alias("max"),
     ]
-    return summarise(df, keys, aggs, {"median": (value, 0.5)}, group_rows=group_rows)
+    return summarise(df, keys, aggs, {"median": (value, 0.5)}, **size)
 
 
 def histogram(df: DataFrame, value: str | Column, lo: float, width: float, bins: int) -> DataFrame:

@@ -123,7 +123,7 @@ def cluster_centres(places: DataFrame, km: float) -> DataFrame:
         )
         settled = checkpointed(candidates.join(close.select(F.col("c").alias("label")).distinct(), "label", "left_anti"))
         centres = settled if centres is None else centres.unionByName(settled)
-        taken = range_join(undecided, broadcast_within(settled), km).select(F.col("point").alias("label")).distinct()
+        taken = range_join(undecided, settled, km).select(F.col("point").alias("label")).distinct()
         undecided = checkpointed(undecided.join(taken, "label", "left_anti"))
     if centres is None:
         return undecided.select("label", "lat", "lon")
@@ -134,7 +134,7 @@ def clusters(places: DataFrame, km: float, centres: DataFrame | None = None) ->
     """(label, rep): every located label joins the earliest centre closer than ``km``."""
     centres = cluster_centres(places, km) if centres is None else centres
     s = sites(places)
-    reps = range_join(s, broadcast_within(centres), km).groupBy("point").agg(F.min("probe").alias("rep"))
+    reps = range_join(s, centres, km).groupBy("point").agg(F.min("probe").alias("rep"))
     named = s.join(reps, s["label"] == reps["point"]).select("lat", "lon", "rep")
     return places.join(named, ["lat", "lon"]).select("label", "rep")
 

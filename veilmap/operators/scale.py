@@ -27,6 +27,14 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
 
 
+def fits(df: DataFrame, keys: Sequence[str], group_rows: int, at_most: int | None) -> bool:
+    """Whether every group is small enough for one task.
+
+    ``at_most`` is a known bound on the rows of a group; without one they are counted.
+    """
+    return (largest_group(df, keys) if at_most is None else at_most) <= group_rows
+
+
 def broadcast_within(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint only when the row count is proven to be within the bound."""
     if df.limit(max_rows + 1).count() <= max_rows:
@@ -55,12 +63,13 @@ def running_sums(
     sums: dict[str, str | Column],
     *,
     group_rows: int = GROUP_ROWS,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Inclusive running sums per key in the given order (unique within the key)."""
     values = {f"__v{i}": F.coalesce(c if isinstance(c, Column) else F.col(c), F.lit(0)) for i, c in enumerate(sums.values())}
     names = list(sums)
     data = df.withColumns(values)
-    if largest_group(df, keys) <= group_rows:
+    if fits(df, keys, group_rows, at_most):
         w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
         return data.withColumns({n: F.sum(v).over(w) for n, v in zip(names, values)}).drop(*values)
 
@@ -86,9 +95,9 @@ def running_sums(
     return joined.select(*df.columns, *names)
 
 
-def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn", *, group_rows: int = GROUP_ROWS) -> DataFrame:
+def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn", **size) -> DataFrame:
     """1-based row number per key; the order must be unique within the key."""
-    return running_sums(df, keys, order, {name: F.lit(1).cast("bigint")}, group_rows=group_rows)
+    return running_sums(df, keys, order, {name: F.lit(1).cast("bigint")}, **size)
 
 
 def percentiles(
@@ -98,15 +107,16 @@ def percentiles(
     qs: dict[str, float],
     *,
     group_rows: int = GROUP_ROWS,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Exact interpolated percentiles per key, one row per key."""
     data = df.select(*keys, F.col(value).alias("__x")).where(F.col("__x").isNotNull())
-    if largest_group(data, keys) <= group_rows:
+    if fits(data, keys, group_rows, at_most):
         aggs = [F.percentile("__x", F.lit(q)).alias(n) for n, q in qs.items()]
         return data.groupBy(*keys).agg(*aggs)
 
     counted = data.groupBy(*keys, "__x").count()
-    ranked = running_sums(counted, keys, ["__x"], {"__upto": F.col("count")}, group_rows=0)
+    ranked = running_sums(counted, keys, ["__x"], {"__upto": F.col("count")}, group_rows=0, at_most=1)
     sizes = ranked.groupBy(*keys).agg(F.max("__upto").alias("__n"))
     sizes = sizes.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__n")
     on = F.lit(True)
@@ -131,17 +141,19 @@ def summarise(
     medians: dict[str, tuple[str, float]],
     *,
     group_rows: int = GROUP_ROWS,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Ordinary aggregates together with exact percentiles {name: (value column, q)}."""
-    if largest_group(df, keys) <= group_rows:
+    if fits(df, keys, group_rows, at_most):
         extra = [F.percentile(v, F.lit(q)).alias(n) for n, (v, q) in medians.items()]
         return df.groupBy(*keys).agg(*aggs, *extra)
+    df = checkpointed(df)  # read several times below
     out = df.groupBy(*keys).agg(*aggs)
     by_value: dict[str, dict[str, float]] = {}
     for n, (v, q) in medians.items():
         by_value.setdefault(v, {})[n] = q
     for v, qs in by_value.items():
-        part = percentiles(df, keys, v, qs, group_rows=group_rows)
+        part = percentiles(df, keys, v, qs, group_rows=0, at_most=1)
         renamed = part.select(*[F.col(k).alias(f"__p{i}") for i, k in enumerate(keys)], *qs)
         on = F.lit(True)
         for i, k in enumerate(keys):

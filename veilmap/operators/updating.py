@@ -50,7 +50,9 @@ def bayes_step(beliefs: DataFrame, weights: DataFrame, *, keys=("subject_id",))
     return both.select(*keys, "label", "ord", F.when(error.isNull(), F.col("__u") / mass).alias("p"), error.alias("error"))
 
 
-def sequential_posterior(prior: DataFrame, ratings: DataFrame, *, group_rows: int = GROUP_ROWS) -> DataFrame:
+def sequential_posterior(
+    prior: DataFrame, ratings: DataFrame, *, group_rows: int = GROUP_ROWS, at_most: int | None = None
+) -> DataFrame:
     """Posterior after every step.
 
     The normalisation of each step cancels, so P_t is the softmax of
@@ -80,7 +82,7 @@ def sequential_posterior(prior: DataFrame, ratings: DataFrame, *, group_rows: in
     )
     scanned = running_sums(
         start.unionByName(moves), [*RUN, "label"], ["step"],
-        {"__s": "__ln", "__m": "__p0"}, group_rows=group_rows,
+        {"__s": "__ln", "__m": "__p0"}, group_rows=group_rows, at_most=at_most,
     ).where(F.col("step") > 0)
     at_step = W.partitionBy(*RUN, "step")
     previous = F.col("__s") - F.col("__ln")

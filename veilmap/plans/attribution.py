@@ -54,7 +54,7 @@ def interaction_class(spark, sf):
     )))
     cls = L.interaction_class("x")
     counts = [F.count_if(cls == c).alias(f"n_{c}") for c in ("overlap", "additive", "backup")]
-    out = summarise(both, ["kind"], counts, {"median": ("x", 0.5)})
+    out = summarise(both, ["kind"], counts, {"median": ("x", 0.5)}, at_most=V.most_rows(spark, sf))
     return out.select("kind", "n_overlap", "n_additive", "n_backup", rounded("median").alias("median"))
 
 
@@ -133,7 +133,7 @@ def category_attribution(spark, sf):
     cues = cue_values(spark, sf)
     strata = F.array(F.lit("all"), F.when(F.col("hit"), "hit").otherwise("miss"))
     rows = cues.select("category", "phi", "v_single", F.explode(strata).alias("stratum"))
-    out = summarise(rows, ["stratum", "category"], [F.count(F.lit(1)).alias("n")], {"phi_median": ("phi", 0.5), "v_median": ("v_single", 0.5)})
+    out = summarise(rows, ["stratum", "category"], [F.count(F.lit(1)).alias("n")], {"phi_median": ("phi", 0.5), "v_median": ("v_single", 0.5)}, at_most=V.most_rows(spark, sf))
     by = lambda c: W.partitionBy("stratum").orderBy(F.round(c, 9).desc())
     return out.select(
         "stratum", "category", "n", rounded("phi_median").alias("phi_median"), rounded("v_median").alias("v_median"),
@@ -179,19 +179,19 @@ def subset_order(spark, sf):
 
 
 @query("lattice_gaps", """
-  SELECT subject_id, m, mask FROM subject_masks WHERE m >= 3 AND bit_count(mask) BETWEEN 2 AND m - 1 AND (subject_id * 31 + mask * 7) % 5 <> 0""")
+  SELECT subject_id, m, mask FROM lattice WHERE m >= 3 AND bit_count(mask) BETWEEN 2 AND m - 1 AND NOT v > 0.05""")
 def lattice_gaps(spark, sf):
-    s = V.subjects(spark, sf)
-    done = L.expand_subsets(s).where((F.col("subject_id") * 31 + F.col("mask") * 7) % 5 == 0)
-    return L.missing_subsets(s, done).select("subject_id", F.col("m").cast("bigint").alias("m"), "mask")
+    """Subsets still to score when only those above 0.05 have been."""
+    done = V.lattice(spark, sf).where(F.col("v") > 0.05)
+    return L.missing_subsets(V.subjects(spark, sf), done).select("subject_id", F.col("m").cast("bigint").alias("m"), "mask")
 
 
 @query("lattice_gate", """
   SELECT m, sum(CASE WHEN n = (1 << m) - 1 THEN 1 ELSE 0 END)::BIGINT AS n_complete, sum(CASE WHEN n <> (1 << m) - 1 THEN 1 ELSE 0 END)::BIGINT AS n_skipped
-  FROM (SELECT subject_id, m, count(*) AS n FROM subject_masks WHERE mask > 0 AND (subject_id * 31 + mask * 7) % 97 <> 0 GROUP BY ALL) GROUP BY m""")
+  FROM (SELECT subject_id, m, count(*) AS n FROM lattice WHERE mask > 0 AND v > 0.02 GROUP BY ALL) GROUP BY m""")
 def lattice_gate(spark, sf):
-    v = V.lattice(spark, sf).where((F.col("subject_id") * 31 + F.col("mask") * 7) % 97 != 0)
-    full, skipped = L.build_lattice(v)
+    """Lattices that stay complete when values up to 0.02 count as missing."""
+    full, skipped = L.build_lattice(V.lattice(spark, sf).where(F.col("v") > 0.02))
     kept = full.where(F.col("mask") == 0).select("m", F.lit(1).alias("ok"))
     return kept.unionByName(skipped.select("m", F.lit(0).alias("ok"))).groupBy("m").agg(
         F.sum("ok").alias("n_complete"), F.sum(1 - F.col("ok")).alias("n_skipped")
@@ -252,7 +252,7 @@ def mpl_robust(spark, sf):
 def mpl_summary(spark, sf):
     leak = K.mpl(V.wide_beliefs(spark, sf, every_mask=False), V.geometry_small(spark, sf)).where(F.col("mask") > 0)
     x = leak.select((F.col("leak.sup") * 1000).alias("x"))
-    out = summarise(x, [], [F.count("x").alias("n"), F.avg("x").alias("mean"), F.max("x").alias("max"), F.min("x").alias("min")], {"median": ("x", 0.5)})
+    out = summarise(x, [], [F.count("x").alias("n"), F.avg("x").alias("mean"), F.max("x").alias("max"), F.min("x").alias("min")], {"median": ("x", 0.5)}, at_most=V.most_rows(spark, sf))
     return out.select("n", *[rounded(c).alias(c) for c in ("mean", "median", "max", "min")])
 
 
@@ -268,7 +268,7 @@ def top_leaks(spark, sf):
     SELECT (log2(mask))::INT AS k, count(*) AS n, quantile_cont(v, 0.5) AS median, max(v) AS max FROM lattice WHERE bit_count(mask) = 1 GROUP BY ALL)""")
 def leave_one_out(spark, sf):
     single = V.lattice(spark, sf).where(F.bit_count("mask") == 1).withColumn("k", F.log2("mask").cast("int"))
-    out = summarise(single, ["k"], [F.count(F.lit(1)).alias("n"), F.max("v").alias("max")], {"median": ("v", 0.5)})
+    out = summarise(single, ["k"], [F.count(F.lit(1)).alias("n"), F.max("v").alias("max")], {"median": ("v", 0.5)}, at_most=V.most_rows(spark, sf))
     return out.select("k", "n", rounded("median").alias("median"), rounded("max").alias("max"))
 
 
@@ -517,6 +517,7 @@ def method_comparison(spark, sf):
         per, ["method"],
         [F.count(F.lit(1)).alias("n"), F.count_if(F.col("dlo") < 0).alias("n_negative"), F.count_if(F.col("mpl") > 1e-6).alias("n_nonzero")],
         {"conc_median": ("conc", 0.5), "dlogodds_median": ("dlo", 0.5), "tv_median": ("tv", 0.5), "mpl_median": ("mpl", 0.5)},
+        at_most=V.most_rows(spark, sf),
     )
     return out.select("method", "n", "n_negative", "n_nonzero", *[rounded(c).alias(c) for c in ("conc_median", "dlogodds_median", "tv_median", "mpl_median")])
 

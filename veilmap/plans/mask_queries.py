@@ -162,17 +162,17 @@ def control_rows(spark, sf):
 
 
 @query("control_table", """
-  SELECT subject_id, cue_idx, round(v, 6) + 0.0 AS v, round(c_mean, 6) + 0.0 AS c_mean, round(c_max, 6) + 0.0 AS c_max, resolvable FROM control_rows""")
+  SELECT subject_id, cue_idx, round(v + 1e-10, 6) AS v, round(c_mean + 1e-10, 6) AS c_mean, round(c_max + 1e-10, 6) AS c_max, resolvable FROM control_rows""")
 def control_table(spark, sf):
     t = control_rows(spark, sf)
-    return t.select("subject_id", "cue_idx", rounded("v").alias("v"), rounded("c_mean").alias("c_mean"), rounded("c_max").alias("c_max"), "resolvable")
+    return t.select("subject_id", "cue_idx", *[rounded(F.col(c) + 1e-10).alias(c) for c in ("v", "c_mean", "c_max")], "resolvable")
 
 
 @query("artifact_floor", """
-  SELECT count(*) AS n, round(quantile_cont(mpl, 0.5), 6) + 0.0 AS median, round(quantile_cont(mpl, 0.9), 6) + 0.0 AS p90, round(max(mpl), 6) + 0.0 AS max FROM control_leaks""")
+  SELECT count(*) AS n, round(quantile_cont(mpl, 0.5) + 1e-10, 6) AS median, round(quantile_cont(mpl, 0.9) + 1e-10, 6) AS p90, round(max(mpl) + 1e-10, 6) AS max FROM control_leaks""")
 def artifact_floor(spark, sf):
-    f = C.artifact_floor(control_leaks(spark, sf))
-    return f.select("n", *[rounded(c).alias(c) for c in ("median", "p90", "max")])
+    f = C.artifact_floor(control_leaks(spark, sf), at_most=V.most_rows(spark, sf))
+    return f.select("n", *[rounded(F.col(c) + 1e-10).alias(c) for c in ("median", "p90", "max")])
 
 
 @query("resolvability", """
@@ -182,7 +182,7 @@ def resolvability(spark, sf):
 
 
 @query("control_summary", """
-  SELECT n_cues, n_above_mean, n_resolvable, round(ratio_median, 5) + 0.0 AS ratio_median, round(c_median, 6) + 0.0 AS c_median, round(c_min, 6) + 0.0 AS c_min, round(c_max, 6) + 0.0 AS c_max,
+  SELECT n_cues, n_above_mean, n_resolvable, round(ratio_median, 5) + 0.0 AS ratio_median, round(c_median + 1e-10, 6) AS c_median, round(c_min + 1e-10, 6) AS c_min, round(c_max + 1e-10, 6) AS c_max,
          round(r_all, 6) + 0.0 AS corr_with_all, round(r_area, 6) + 0.0 AS corr_with_area FROM
   (SELECT count(*) AS n_cues, sum(above_mean::INT)::BIGINT AS n_above_mean, sum(resolvable::INT)::BIGINT AS n_resolvable, quantile_cont(ratio, 0.5) AS ratio_median, corr((64 // m) / 64.0, c_mean) AS r_area FROM control_rows)
   CROSS JOIN (SELECT quantile_cont(c, 0.5) AS c_median, min(c) AS c_min, max(c) AS c_max, corr(c, v_all) AS r_all
@@ -193,23 +193,25 @@ def control_summary(spark, sf):
         t, [],
         [F.count(F.lit(1)).alias("n_cues"), F.count_if("above_mean").alias("n_above_mean"), F.count_if("resolvable").alias("n_resolvable"), F.corr("area_frac", "c_mean").alias("r_area")],
         {"ratio_median": ("ratio", 0.5)},
+        at_most=V.most_rows(spark, sf),
     )
     per = t.groupBy("subject_id").agg((F.sum("c_mean") / F.count(F.lit(1))).alias("c"), F.max("v_all").alias("v_all"))
-    images = summarise(per, [], [F.min("c").alias("c_min"), F.max("c").alias("c_max"), F.corr("c", "v_all").alias("r_all")], {"c_median": ("c", 0.5)})
+    images = summarise(per, [], [F.min("c").alias("c_min"), F.max("c").alias("c_max"), F.corr("c", "v_all").alias("r_all")], {"c_median": ("c", 0.5)}, at_most=V.most_rows(spark, sf))
     out = cues.crossJoin(F.broadcast(images))  # one row each
     return out.select(
-        "n_cues", "n_above_mean", "n_resolvable", rounded("ratio_median", 5).alias("ratio_median"), rounded("c_median").alias("c_median"),
-        rounded("c_min").alias("c_min"), rounded("c_max").alias("c_max"), rounded("r_all").alias("corr_with_all"), rounded("r_area").alias("corr_with_area"),
+        "n_cues", "n_above_mean", "n_resolvable", rounded("ratio_median", 5).alias("ratio_median"), *[rounded(F.col(c) + 1e-10).alias(c) for c in ("c_median", "c_min", "c_max")],
+        rounded("r_all").alias("corr_with_all"), rounded("r_area").alias("corr_with_area"),
     )
 
 
 @query("net_leakage", """
-  SELECT CASE WHEN net > 0.01 THEN 'above' WHEN net < -0.01 THEN 'below' ELSE 'level' END AS class, count(*) AS n, round(avg(net), 6) + 0.0 AS mean_net, round(quantile_cont(v, 0.5), 6) + 0.0 AS real_median,
-         round(quantile_cont(c_mean, 0.5), 6) + 0.0 AS control_median FROM control_rows GROUP BY class""")
+  SELECT CASE WHEN net > 0.01 THEN 'above' WHEN net < -0.01 THEN 'below' ELSE 'level' END AS class, count(*) AS n, round(avg(net), 6) + 0.0 AS mean_net, round(quantile_cont(v, 0.5) + 1e-10, 6) AS real_median,
+         round(quantile_cont(c_mean, 0.5) + 1e-10, 6) AS control_median FROM control_rows GROUP BY class""")
 def net_leakage(spark, sf):
     t = control_rows(spark, sf).withColumn("class", C.net_class())
-    out = summarise(t, ["class"], [F.count(F.lit(1)).alias("n"), F.avg("net").alias("mean_net")], {"real_median": ("v", 0.5), "control_median": ("c_mean", 0.5)})
-    return out.select("class", "n", *[rounded(c).alias(c) for c in ("mean_net", "real_median", "control_median")])
+    out = summarise(t, ["class"], [F.count(F.lit(1)).alias("n"), F.avg("net").alias("mean_net")], {"real_median": ("v", 0.5), "control_median": ("c_mean", 0.5)}, at_most=V.most_rows(spark, sf))
+    medians = [rounded(F.col(c) + 1e-10).alias(c) for c in ("real_median", "control_median")]
+    return out.select("class", "n", rounded("mean_net").alias("mean_net"), *medians)
 
 
 @query("corrected_shapley", """
@@ -221,7 +223,7 @@ def corrected_shapley(spark, sf):
     from pyspark.sql import Window as W
 
     phi = with_category(spark, sf, L.shapley(V.lattice(spark, sf)))
-    cats = C.corrected_categories(C.corrected_shapley(phi, control_leaks(spark, sf).drop("m")))
+    cats = C.corrected_categories(C.corrected_shapley(phi, control_leaks(spark, sf).drop("m")), at_most=V.most_rows(spark, sf))
     # One row per category.
     change = F.rank().over(W.orderBy(F.round("phi_median", 9).desc())) - F.rank().over(W.orderBy(F.round("corrected_median", 9).desc()))
     return cats.select("category", "n", "n_negative", rounded("phi_median").alias("phi_median"), rounded("corrected_median").alias("corrected_median"), change.alias("rank_change"))

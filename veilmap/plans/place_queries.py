@@ -42,7 +42,7 @@ def cluster_reps(spark, sf):
 def centre_members(spark, sf):
     """Range join of all places with the cluster centres."""
     g = V.gallery_large(spark, sf)
-    near = G.range_join(g, G.broadcast_within(G.cluster_centres(g, CLUSTER_KM)), CLUSTER_KM)
+    near = G.range_join(g, G.cluster_centres(g, CLUSTER_KM), CLUSTER_KM)
     return near.select(F.col("point").alias("label"), F.col("probe").alias("centre"), rounded("d").alias("d"))
 
 
@@ -174,7 +174,7 @@ def clean_gallery_summary(spark, sf):
         per, [],
         [F.lit(len(order)).cast("bigint").alias("n_clusters"), F.count(F.lit(1)).alias("n"), F.avg("hit0").alias("prior_accuracy"), F.avg("hit1").alias("posterior_accuracy"),
          F.avg("ce0").alias("ce_prior"), F.avg("ce1").alias("ce_posterior"), F.avg("drop").alias("entropy_drop"), F.avg("v").alias("mpl_mean"), F.max("v").alias("mpl_max")],
-        {"mpl_median": ("v", 0.5)},
+        {"mpl_median": ("v", 0.5)}, at_most=V.most_rows(spark, sf),
     )
     return out.select("n_clusters", "n", *[rounded(c).alias(c) for c in ("prior_accuracy", "posterior_accuracy", "ce_prior", "ce_posterior", "entropy_drop", "mpl_mean", "mpl_median", "mpl_max")])
 
@@ -229,7 +229,7 @@ def accuracy_summary(spark, sf):
     acc = lambda t: F.avg(F.when(F.col("d") <= t, 1.0).otherwise(0.0))
     out = summarise(
         rows, [], [F.count(F.lit(1)).alias("n"), acc(25).alias("acc_25"), acc(750).alias("acc_750"), F.avg("hit").alias("country_hit")],
-        {"median_km": ("d", 0.5), "median_p_true": ("pt", 0.5)},
+        {"median_km": ("d", 0.5), "median_p_true": ("pt", 0.5)}, at_most=V.most_rows(spark, sf),
     )
     return out.select("n", *[rounded(c).alias(c) for c in ("acc_25", "acc_750", "country_hit", "median_km", "median_p_true")])
 
@@ -357,13 +357,13 @@ def category_median(spark, sf):
 
     single = V.lattice(spark, sf).where(F.bit_count("mask") == 1).withColumn("k", F.log2("mask").cast("int"))
     named = with_category(spark, sf, single).withColumn("category", F.coalesce("category", F.lit("unknown")))
-    return summarise(named, ["category"], [F.count(F.lit(1)).alias("n")], {"median": ("v", 0.5)}).select("category", "n", rounded("median").alias("median"))
+    return summarise(named, ["category"], [F.count(F.lit(1)).alias("n")], {"median": ("v", 0.5)}, at_most=V.most_rows(spark, sf)).select("category", "n", rounded("median").alias("median"))
 
 
 @query("describe_leaks", """
   SELECT m, count(*) AS n, round(quantile_cont(v, 0.5), 6) + 0.0 AS median, round(avg(v), 6) + 0.0 AS mean, round(stddev_pop(v), 6) + 0.0 AS sd, round(min(v), 6) + 0.0 AS min, round(max(v), 6) + 0.0 AS max FROM lattice WHERE mask > 0 GROUP BY m""")
 def describe_leaks(spark, sf):
-    d = E.describe(V.lattice(spark, sf).where(F.col("mask") > 0), ["m"], "v")
+    d = E.describe(V.lattice(spark, sf).where(F.col("mask") > 0), ["m"], "v", at_most=V.most_rows(spark, sf))
     return d.select("m", "n", *[rounded(c).alias(c) for c in ("median", "mean", "sd", "min", "max")])
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 
 from ..functions.columns import rounded  # noqa: F401  (re-exported for the query modules)
 from ..operators import scoring
-from ..operators.scale import row_numbers
+from ..operators.scale import largest_group, row_numbers
 from .registry import sql_view
 
 
@@ -173,6 +173,11 @@ def subjects(spark, sf) -> DataFrame:
     return e.select(F.col("vec_id").alias("subject_id"), F.col("label").alias("truth"), (1 + F.col("vec_id") % 5).cast("int").alias("m"))
 
 
+def most_rows(spark, sf, per_subject: int = 31) -> int:
+    """Bound on the rows derived from the subjects (at most 5 cues, 31 masked subsets); counts from file footers."""
+    return table(spark, sf, "embeddings").count() * per_subject
+
+
 def features(spark, sf) -> DataFrame:
     """Embedding vectors; dimension d belongs to cue d % m."""
     e = table(spark, sf, "embeddings")
@@ -292,8 +297,13 @@ def numbered_events(spark, sf, **kw) -> DataFrame:
     return row_numbers(e, ["user_id"], ["ts", "event_id"], "step", **kw)
 
 
-def ratings(spark, sf) -> DataFrame:
-    return rate_events(numbered_events(spark, sf), table(spark, sf, "region"))
+def busiest_user(spark, sf) -> int:
+    """Events of the busiest user: bounds every group of the evidence tables."""
+    return largest_group(table(spark, sf, "events"), ["user_id"])
+
+
+def ratings(spark, sf, **kw) -> DataFrame:
+    return rate_events(numbered_events(spark, sf, **kw), table(spark, sf, "region"))
 
 
 def prior_scores(spark, sf) -> DataFrame:
@@ -314,7 +324,9 @@ def priors(spark, sf) -> DataFrame:
 def trajectory(spark, sf, **kw) -> DataFrame:
     from ..operators.updating import sequential_posterior
 
-    return sequential_posterior(priors(spark, sf), ratings(spark, sf), **kw)
+    # A hypothesis has one row per event of its user, and its prior.
+    kw.setdefault("at_most", busiest_user(spark, sf) + 1)
+    return sequential_posterior(priors(spark, sf), ratings(spark, sf, **kw), **kw)
 
 
 # Cues and masks ----------------------------------------------------------------
