@@ -21,13 +21,15 @@ def rounded(c: str | Column, digits: int = 6) -> Column:
 
 def clamp01(c: str | Column) -> Column:
     """Null stays null, NaN counts as 0."""
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.nanvl(col(c).cast("double"), F.lit(0.0))))
+    x = col(c).cast("double")
+    # least() and greatest() skip nulls, so null is kept apart.
+    return F.when(x.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.nanvl(x, F.lit(0.0)))))
 
 
 def rating(c: str | Column) -> Column:
     """Half-even rounding to 1..5; text is accepted, unreadable text is null."""
     number = col(c).try_cast("double")
-    return F.least(F.lit(5.0), F.greatest(F.lit(1.0), F.bround(number))).cast("int")
+    return F.when(number.isNotNull(), F.least(F.lit(5.0), F.greatest(F.lit(1.0), F.bround(number)))).cast("int")
 
 
 def weight_bits(c: str | Column, alpha: str | Column) -> Column:
