@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from veilmap.operators import cues as Q
@@ -47,16 +48,24 @@ def test_union_coverage_overlap(spark):
     masks = {(s, c, i): rng.random((H, W)) > 0.6 for s in range(3) for c in range(2) for i in range(3)}
     rows = M.split_rows(M.decode(table(spark, masks)))
     cov = {r["subject_id"]: r["cov"] for r in M.coverage(rows, W, H, keys=("subject_id",)).collect()}
-    cue = M.union_rows(rows)
-    shared = {(r["subject_id"], r["cue_idx"]): r["overlap"] for r in M.overlap(cue, M.union_rows(rows.where("cue_idx = 1"), keys=("subject_id",))).collect()}
+    cue = M.words(rows)
+    runs = {(r["subject_id"], r["cue_idx"]): r["n"] for r in M.union_rows(rows).groupBy("subject_id", "cue_idx").agg(F.sum(F.col("x2") - F.col("x1")).alias("n")).collect()}
+    shared = {(r["subject_id"], r["cue_idx"]): r["overlap"] for r in M.overlap(cue, M.words(rows.where("cue_idx = 1"), keys=("subject_id",))).collect()}
     linear = {r["subject_id"]: r["n"] for r in M.union(M.decode(table(spark, masks)), keys=["subject_id"]).groupBy("subject_id").agg(F.sum(F.col("end") - F.col("start")).alias("n")).collect()}
     for s in range(3):
         u = {c: np.logical_or.reduce([masks[(s, c, i)] for i in range(3)]) for c in range(2)}
         assert abs(cov[s] - (u[0] | u[1]).mean()) < 1e-12 and linear[s] == (u[0] | u[1]).sum()
         for c in range(2):
+            assert runs[(s, c)] == u[c].sum()
             assert shared.get((s, c), 0) == (u[c] & u[1]).sum()
 
 
+def test_words_of_wide_frames(spark):
+    rows = spark.createDataFrame([("s", 0, 60, 200), ("s", 0, 190, 256), ("s", 1, 0, 64), ("s", 2, 63, 65)], "subject_id string, y int, x1 int, x2 int")
+    got = {(r["y"], r["word"]): bin(r["bits"] & (2**64 - 1)).count("1") for r in M.words(rows, keys=["subject_id"]).collect()}
+    assert got == {(0, 0): 4, (0, 1): 64, (0, 2): 64, (0, 3): 64, (1, 0): 64, (2, 0): 1, (2, 1): 1}
+
+
 def test_translate_clips(spark):
     rows = M.split_rows(M.decode(table(spark, {(0, 0, 0): box(2, 4, 3, 6)})))
     moved = M.translate(rows, F.lit(4), F.lit(3), W, H).collect()
@@ -64,8 +73,9 @@ def test_translate_clips(spark):
     assert M.translate(rows, F.lit(-9), F.lit(0), W, H).count() == 0
 
 
-def test_placement_is_the_least_overlap(spark):
-    w, h, n, tries = 20, 15, 3, 40
+@pytest.mark.parametrize("w,h", [(20, 15), (150, 9)])
+def test_placement_is_the_least_overlap(spark, w, h):
+    n, tries = 3, 40
     rng = random.Random(6)
     cues = {}
     for s in range(4):

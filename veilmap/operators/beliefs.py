@@ -213,16 +213,15 @@ def cross_entropy(p_true: str | Column) -> Column:
 # Names.
 
 
-def alias_table(spark) -> DataFrame:
-    return spark.createDataFrame(list(COUNTRY_ALIASES.items()), "alias string, canonical string")
+def canonical_name(name: str | Column) -> Column:
+    """Alias lookup on the tidied lower-case name; unknown names pass through tidied."""
+    aliases = F.create_map(*[F.lit(x) for pair in COUNTRY_ALIASES.items() for x in pair])
+    tidy = tidy_name(name)
+    return F.coalesce(F.try_element_at(aliases, F.lower(tidy)), tidy)
 
 
 def canonical_country(df: DataFrame, name: str, out: str = "canonical") -> DataFrame:
-    """Alias lookup on the tidied lower-case name; unknown names pass through tidied."""
-    table = alias_table(df.sparkSession).withColumnsRenamed({"alias": "__alias", "canonical": "__canon"})
-    tidy = tidy_name(name)
-    joined = df.withColumn("__tidy", tidy).join(F.broadcast(table), F.lower("__tidy") == F.col("__alias"), "left")
-    return joined.withColumn(out, F.coalesce("__canon", "__tidy")).drop("__tidy", "__alias", "__canon")
+    return df.withColumn(out, canonical_name(name))
 
 
 def clean_candidates(df: DataFrame, *, level: str = "level", keys=("subject_id",)) -> DataFrame:
@@ -230,8 +229,7 @@ def clean_candidates(df: DataFrame, *, level: str = "level", keys=("subject_id",
     confidence at the first position with the reason given first."""
     conf = F.coalesce(clamp01(F.col("confidence").try_cast("double")), F.lit(0.0))
     named = df.withColumn("__loc", F.trim("location")).where(F.col("__loc") != "")
-    named = canonical_country(named, "__loc", "__canon_loc")
-    loc = F.when(F.col(level) == "country", F.col("__canon_loc")).otherwise(F.col("__loc"))
+    loc = F.when(F.col(level) == "country", canonical_name("__loc")).otherwise(F.col("__loc"))
     return named.groupBy(*keys, level, loc.alias("location")).agg(
         F.max(conf).alias("confidence"),
         F.min("ord").alias("ord"),

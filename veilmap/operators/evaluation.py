@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import ACCURACY_KM, CUE_STOP_WORDS
-from .scale import GROUP_ROWS, broadcast_within, percentiles, running_sums, summarise
+from .scale import GROUP_ROWS, running_sums, summarise
 
 
 def threshold_accuracy(distances: DataFrame, *, keys: Sequence[str] = (), km: Sequence[float] = ACCURACY_KM) -> DataFrame:
@@ -39,18 +39,18 @@ def upper_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "me
 def method_distance_table(subjects: DataFrame, results: DataFrame, methods: DataFrame, *, km=ACCURACY_KM) -> DataFrame:
     """Methods side by side: attempted, missing and un-geocodable counts, accuracies, upper median.
 
-    ``results(subject_id, method, d)``; a subject without a row was not attempted.
-    ``methods`` is a short list of names.
+    ``results(subject_id, method, d)`` has at most one row per subject and
+    method; a subject without one was not attempted. ``methods`` is a short
+    list of names. Missing rows are counted, not made.
     """
-    grid = subjects.select("subject_id").crossJoin(broadcast_within(methods.select("method"), 1000))
-    both = grid.join(results.select("subject_id", "method", "d", F.lit(True).alias("__done")), ["subject_id", "method"], "left")
-    done = F.col("__done").isNotNull()
-    hits = [(F.count_if(F.col("d") <= t) / F.count_if(done)).alias(f"acc_{t:g}") for t in km]
-    table = both.groupBy("method").agg(
-        F.count_if(done).alias("n_attempted"), F.count_if(~done).alias("n_missing"),
-        F.count_if(done & F.col("d").isNull()).alias("n_ungeocodable"), *hits,
-    )
-    return table.join(upper_median(results, ["method"], "d", "median_km"), "method", "left")
+    known = results.select("subject_id", "method", "d").join(subjects.select("subject_id"), "subject_id", "left_semi")
+    hits = [F.avg(F.when(F.col("d") <= t, 1.0).otherwise(0.0)).alias(f"acc_{t:g}") for t in km]
+    per = known.groupBy("method").agg(F.count(F.lit(1)).alias("n_attempted"), F.count_if(F.col("d").isNull()).alias("n_ungeocodable"), *hits)
+    total = subjects.agg(F.count(F.lit(1)).alias("__all"))  # one row
+    table = methods.select("method").join(per, "method", "left").crossJoin(F.broadcast(total))
+    filled = table.na.fill(0, ["n_attempted", "n_ungeocodable"]).withColumn("n_missing", F.col("__all") - F.col("n_attempted"))
+    columns = ["method", "n_attempted", "n_missing", "n_ungeocodable", *[f"acc_{t:g}" for t in km]]
+    return filled.select(*columns).join(upper_median(known, ["method"], "d", "median_km"), "method", "left")
 
 
 def reliability(conf: DataFrame) -> DataFrame:

@@ -110,24 +110,24 @@ def cluster_centres(places: DataFrame, km: float) -> DataFrame:
     is the smallest of its cell; only one place per cell is ever compared with
     others, so a dense spot costs its size, not its square.
     """
-    undecided = checkpointed(with_cell(sites(places).drop("n"), km))
-    centres = None
+    undecided = checkpointed(with_cell(sites(places).drop("n"), km).withColumn("centre", F.lit(False)))
+    centres = undecided.where("centre")
     while not undecided.isEmpty():
         first = undecided.groupBy("band", "cell").agg(F.min_by(F.struct("label", "lat", "lon"), "label").alias("f"))
-        candidates = first.select("f.label", "f.lat", "f.lon")
-        spread = with_cover(candidates, km).select(
+        candidates = first.select("f.label", "f.lat", "f.lon", "band", "cell")
+        spread = with_cover(candidates.drop("band", "cell"), km).select(
             F.col("label").alias("c"), F.col("lat").alias("clat"), F.col("lon").alias("clon"), "band", "cell"
         )
         close = undecided.join(spread, ["band", "cell"]).where(
             (F.col("label") < F.col("c")) & (haversine_km("lat", "lon", "clat", "clon") < km)
         )
-        settled = checkpointed(candidates.join(close.select(F.col("c").alias("label")).distinct(), "label", "left_anti"))
-        centres = settled if centres is None else centres.unionByName(settled)
+        settled = candidates.join(close.select(F.col("c").alias("label")).distinct(), "label", "left_anti")
         taken = range_join(undecided, settled, km).select(F.col("point").alias("label")).distinct()
-        undecided = checkpointed(undecided.join(taken, "label", "left_anti"))
-    if centres is None:
-        return undecided.select("label", "lat", "lon")
-    return centres
+        left = undecided.join(taken, "label", "left_anti")
+        now = checkpointed(left.unionByName(settled.withColumn("centre", F.lit(True))))
+        centres = centres.unionByName(now.where("centre"))
+        undecided = now.where(~F.col("centre"))
+    return centres.select("label", "lat", "lon")
 
 
 def clusters(places: DataFrame, km: float, centres: DataFrame | None = None) -> DataFrame:

@@ -1,9 +1,13 @@
-"""Pixel masks as interval rows.
+"""Pixel masks as interval rows and as words of bits.
 
 A mask is a set of runs. Linear runs [start, end) follow the row-major pixel
 order; row runs (y, x1, x2) are the same cut at the row ends. Unions first
 combine runs with the same start, so a group never holds more rows than a
 frame is wide, however many instances overlap in it.
+
+Areas and overlaps only need the pixels, not the runs. There a mask becomes
+words (y, word, bits) of 64 pixels: a union is one bit_or aggregate that
+combines before the shuffle, an overlap is an equi-join and a bit_count.
 """
 
 from __future__ import annotations
@@ -81,15 +85,30 @@ def split_rows(runs: DataFrame, *, keys: Sequence[str] = INSTANCE) -> DataFrame:
     return each.select(*keys, "h", "w", "y", x1.alias("x1"), x2.alias("x2"))
 
 
-def area(rows: DataFrame, *, keys: Sequence[str] = CUE) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.sum(F.col("x2") - F.col("x1")).alias("area"))
+def words(rows: DataFrame, *, keys: Sequence[str] = CUE) -> DataFrame:
+    """Union of row runs per key as words of 64 pixels: (keys, y, word, bits)."""
+    ones = F.lit(-1).cast("bigint")
+    span = F.sequence(F.floor(F.col("x1") / 64).cast("int"), F.floor((F.col("x2") - 1) / 64).cast("int"))
+    each = rows.where(F.col("x1") < F.col("x2")).select(*keys, "y", "x1", "x2", F.explode(span).alias("word"))
+    first = F.greatest(F.col("x1") - F.col("word") * 64, F.lit(0)).cast("int")
+    unused = F.greatest((F.col("word") + 1) * 64 - F.col("x2"), F.lit(0)).cast("int")
+    bits = F.call_function("shiftleft", ones, first).bitwiseAND(F.call_function("shiftrightunsigned", ones, unused))
+    return each.groupBy(*keys, "y", "word").agg(F.bit_or(bits).alias("bits"))
+
+
+def merge_words(cells: DataFrame, *, keys: Sequence[str]) -> DataFrame:
+    return cells.groupBy(*keys, "y", "word").agg(F.bit_or("bits").alias("bits"))
+
+
+def area(cells: DataFrame, *, keys: Sequence[str] = CUE) -> DataFrame:
+    return cells.groupBy(*keys).agg(F.sum(F.bit_count("bits")).alias("area"))
 
 
 def coverage(rows: DataFrame, width: int | Column, height: int | Column, *, keys: Sequence[str] = CUE) -> DataFrame:
     """Union area over frame area, overlaps counted once."""
     w = width if isinstance(width, Column) else F.lit(width)
     h = height if isinstance(height, Column) else F.lit(height)
-    return area(union_rows(rows, keys=keys), keys=keys).withColumn("cov", F.col("area") / (w * h))
+    return area(words(rows, keys=keys), keys=keys).withColumn("cov", F.col("area") / (w * h))
 
 
 def translate(rows: DataFrame, dx: str | Column, dy: str | Column, width: int, height: int) -> DataFrame:
@@ -107,46 +126,54 @@ def translate(rows: DataFrame, dx: str | Column, dy: str | Column, width: int, h
 def overlap(a: DataFrame, b: DataFrame, *, keys: Sequence[str] = CUE, on: Sequence[str] = ("subject_id",)) -> DataFrame:
     """Shared pixels of every mask in ``a`` with the one mask ``b`` has per ``on``.
 
-    Both sides are unions. The join is on the pixel row, which also spreads a
-    subject with many masks over as many tasks as its frame has rows.
+    Both sides are words. The join is on the word, which also spreads a subject
+    with many masks over as many tasks as its frame has words.
     """
-    right = b.select(*on, "y", F.col("x1").alias("bx1"), F.col("x2").alias("bx2"))
-    hit = a.join(right, [*on, "y"]).where((F.col("x1") < F.col("bx2")) & (F.col("bx1") < F.col("x2")))
-    shared = F.least("x2", "bx2") - F.greatest("x1", "bx1")
-    return hit.groupBy(*keys).agg(F.sum(shared).alias("overlap"))
+    right = b.select(*on, "y", "word", F.col("bits").alias("__b"))
+    shared = F.bit_count(F.col("bits").bitwiseAND(F.col("__b")))
+    hit = a.join(right, [*on, "y", "word"]).groupBy(*keys).agg(F.sum(shared).alias("overlap"))
+    return hit.where(F.col("overlap") > 0)
+
+
+def _word_lists(cells: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
+    packed = cells.groupBy(*keys).agg(F.collect_list(F.struct("y", "word", "bits")).alias("__r"))
+    part = lambda c: F.transform("__r", lambda s: s[c]).alias(f"{prefix}{c}")
+    return packed.select(*keys, part("y"), part("word"), part("bits"))
 
 
-def _run_lists(rows: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
-    runs = F.collect_list(F.struct("y", "x1", "x2"))
-    packed = rows.groupBy(*keys).agg(runs.alias("__r"))
-    part = lambda c: F.transform("__r", lambda s: s[c].cast("int")).alias(f"{prefix}{c}")
-    return packed.select(*keys, part("y"), part("x1"), part("x2"))
+def _frames(row: np.ndarray, y: np.ndarray, word: np.ndarray, bits: np.ndarray, n: int, height: int, width: int) -> np.ndarray:
+    """Pixels (n, height, width) from words."""
+    out = np.zeros((n, height, -(-width // 64)), dtype="<u8")
+    out[row, y, word] = bits.view(np.uint64)
+    return np.unpackbits(out.view(np.uint8), axis=2, bitorder="little")[:, :, :width]
 
 
-def _place_slice(keys, cue_n, y, x1, x2, all_n, by, b1, b2, width, height, n, tries):
+def _place_slice(keys, cue, everything, width, height, n, tries):
     """Least-overlap shift of every cue for each placement: dx, dy, overlap, area (rows x placements)."""
-    rows = np.arange(len(keys))
-    frame, cue = np.repeat(rows, all_n), np.repeat(rows, cue_n)
-    edge = np.zeros((len(keys), height, width + 1), dtype=np.int32)
-    np.add.at(edge, (frame, by, b1), 1)
-    np.add.at(edge, (frame, by, b2), -1)
-    # before[row, y, x] = covered pixels of line y left of x
-    before = np.zeros_like(edge)
-    before[:, :, 1:] = np.cumsum(np.cumsum(edge, axis=2)[:, :, :width], axis=2)
-    first = np.concatenate([[0], np.cumsum(cue_n)[:-1]])
+    rows = len(keys)
+    # before[row, y, x] = covered pixels of line y left of x, flattened
+    before = np.zeros((rows, height, width + 1), dtype=np.int32)
+    np.cumsum(_frames(*everything, rows, height, width), axis=2, out=before[:, :, 1:])
+    before = before.reshape(-1)
+    edge = np.diff(_frames(*cue, rows, height, width).astype(np.int8), axis=2, prepend=0, append=0)
+    row, y, x1 = np.nonzero(edge == 1)
+    x2 = np.nonzero(edge == -1)[2]
+    first = np.searchsorted(row, np.arange(rows))
     low = lambda v: np.minimum.reduceat(v, first)[:, None, None]
     high = lambda v: np.maximum.reduceat(v, first)[:, None, None]
     h = keys[:, None, None] + (np.arange(n)[:, None] * 101 + np.arange(tries)[None, :] * 7919)[None]
     free_x, free_y = width - 1 - (high(x2) - 1 - low(x1)), height - 1 - (high(y) - low(y))
     dx = np.where(free_x > 0, h % np.maximum(free_x, 1) - low(x1), 0)
     dy = np.where(free_y > 0, (h // 61) % np.maximum(free_y, 1) - low(y), 0)
-    line, row = y[:, None, None] + dy[cue], cue[:, None, None]
-    shared = before[row, line, x2[:, None, None] + dx[cue]] - before[row, line, x1[:, None, None] + dx[cue]]
+    # A shift moves every run of a cue by the same distance in the flattened frames.
+    shift = (dy * (width + 1) + dx).astype(np.int32)[row]
+    left = ((row * height + y) * (width + 1) + x1).astype(np.int32)[:, None, None] + shift
+    shared = before[left + (x2 - x1).astype(np.int32)[:, None, None]] - before[left]
     covered = np.add.reduceat(shared, first, axis=0).astype(np.int64)
     best = covered.argmin(axis=2)[:, :, None]
     pick = lambda v: np.take_along_axis(v, best, axis=2)[:, :, 0]
-    area = np.repeat(np.add.reduceat(x2 - x1, first)[:, None], n, axis=1)
-    return pick(dx), pick(dy), pick(covered), area
+    size = np.repeat(np.add.reduceat(x2 - x1, first)[:, None], n, axis=1)
+    return pick(dx), pick(dy), pick(covered), size
 
 
 def place_controls(
@@ -159,28 +186,28 @@ def place_controls(
     overlap with all cues of the subject wins, the earliest on ties, which is
     also the first without overlap.
 
-    The packed runs of a cue and of a subject's union are bounded by the frame.
+    The packed words of a cue and of a subject's union are bounded by the frame.
     """
-    cue = union_rows(cue_rows, keys=CUE)
-    everything = _run_lists(union_rows(cue, keys=("subject_id",)), ["subject_id"], "u_")
-    each = _run_lists(cue, list(CUE), "c_").join(everything, "subject_id")
+    cue = words(cue_rows, keys=CUE)
+    everything = _word_lists(merge_words(cue, keys=("subject_id",)), ["subject_id"], "u_")
+    each = _word_lists(cue, list(CUE), "c_").join(everything, "subject_id")
     draw = key if key is not None else F.pmod(F.xxhash64(F.lit(seed), *CUE), F.lit(1 << 31))
 
     @F.arrow_udf("array<struct<placement:int,dx:int,dy:int,overlap:bigint,area:bigint>>")
-    def place(keys: pa.Array, cy: pa.Array, c1: pa.Array, c2: pa.Array, uy: pa.Array, u1: pa.Array, u2: pa.Array) -> pa.Array:
-        flat = lambda a: a.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        sizes = lambda a: a.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        found = [np.zeros((0, n), dtype=np.int64)] * 4
-        # A slice holds one frame per row; about 2^24 pixels at a time.
-        step = max(1, (1 << 24) // (height * (width + 1)))
+    def place(keys: pa.Array, cy: pa.Array, cw: pa.Array, cb: pa.Array, uy: pa.Array, uw: pa.Array, ub: pa.Array) -> pa.Array:
+        def side(y: pa.Array, word: pa.Array, bits: pa.Array):
+            flat = [a.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for a in (y, word, bits)]
+            return np.repeat(np.arange(len(y)), y.value_lengths().to_numpy(zero_copy_only=False)), *flat
+
+        found = [[np.zeros((0, n), dtype=np.int64)] for _ in range(4)]
+        # A slice holds one frame per row; about 2^22 pixels at a time.
+        step = max(1, (1 << 22) // (height * (width + 1)))
         for at in range(0, len(keys), step):
-            k, y, x1, x2, by, b1, b2 = (a.slice(at, step) for a in (keys, cy, c1, c2, uy, u1, u2))
-            some = _place_slice(
-                k.to_numpy(zero_copy_only=False).astype(np.int64), sizes(y), flat(y), flat(x1), flat(x2),
-                sizes(by), flat(by), flat(b1), flat(b2), width, height, n, tries,
-            )
-            found = [np.concatenate([f, s]) for f, s in zip(found, some)]
-        dx, dy, covered, size = (f.reshape(-1) for f in found)
+            k, *cells = (a.slice(at, step) for a in (keys, cy, cw, cb, uy, uw, ub))
+            draws = k.to_numpy(zero_copy_only=False).astype(np.int64)
+            for f, s in zip(found, _place_slice(draws, side(*cells[:3]), side(*cells[3:]), width, height, n, tries)):
+                f.append(s)
+        dx, dy, covered, size = (np.concatenate(f).reshape(-1) for f in found)
         placement = np.tile(np.arange(n, dtype=np.int32), len(keys))
         structs = pa.StructArray.from_arrays(
             [pa.array(placement), pa.array(dx.astype(np.int32)), pa.array(dy.astype(np.int32)), pa.array(covered), pa.array(size)],
@@ -188,7 +215,7 @@ def place_controls(
         )
         return pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * n, structs)
 
-    placed = each.select(*CUE, F.explode(place(draw, "c_y", "c_x1", "c_x2", "u_y", "u_x1", "u_x2")).alias("p"))
+    placed = each.select(*CUE, F.explode(place(draw, "c_y", "c_word", "c_bits", "u_y", "u_word", "u_bits")).alias("p"))
     return placed.select(
         *CUE, "p.placement", "p.dx", "p.dy", "p.overlap", "p.area",
         (F.col("p.overlap") / F.greatest(F.col("p.area"), F.lit(1))).alias("overlap_frac"),

@@ -37,14 +37,20 @@ def _softmax(scores: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def _shares(scores: np.ndarray) -> np.ndarray:
-    raw = np.clip(scores, 0.0, 1.0)
+def _shares(raw: np.ndarray) -> np.ndarray:
     total, n = raw.sum(axis=-1, keepdims=True), raw.shape[-1]
     base = np.where(total > 0, raw / np.where(total > 0, total, 1.0), 1.0 / n)
     return (1 - SCORE_SMOOTHING) * base + SCORE_SMOOTHING / n
 
 
-METHODS = {"softmax": _softmax, "allocate": _shares}
+# Ways to turn scores into a belief, by name: one softmax over the gallery, a
+# 0..1 score per label, points to share out, and a yes-probability per label.
+METHODS = {
+    "softmax": _softmax,
+    "independent": lambda s: _shares(np.clip(s, 0.0, 1.0)),
+    "allocate": lambda s: _shares(np.maximum(s, 0.0)),
+    "logprob": lambda s: _shares(1.0 / (1.0 + np.exp(-s))),
+}
 
 
 def similarity_scorer(centroids: np.ndarray, scale: float = 1.0, method: str = "softmax") -> Scorer:

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions.columns import rating, support_weight, weight_bits
 from ..functions.fixed_values import KEY_BITS, LEVELS, STALL_CHANGE, STOP_PROBABILITY
-from .scale import GROUP_ROWS, running_sums
+from .scale import GROUP_ROWS, fits, running_sums
 
 RUN = ("subject_id", "level", "segment")
 
@@ -80,9 +80,13 @@ def sequential_posterior(
         F.col("c").cast("double").alias("c"), F.col("alpha").cast("double").alias("alpha"),
         "w", "woe_bits", F.log("w").alias("__ln"), F.lit(0.0).alias("__p0"),
     )
+    rows = start.unionByName(moves)
+    keys = [*RUN, "label"]
+    small = fits(rows, keys, group_rows, at_most)
+    if small:
+        rows = rows.repartition(*RUN)  # one shuffle serves the windows by label and by step
     scanned = running_sums(
-        start.unionByName(moves), [*RUN, "label"], ["step"],
-        {"__s": "__ln", "__m": "__p0"}, group_rows=group_rows, at_most=at_most,
+        rows, keys, ["step"], {"__s": "__ln", "__m": "__p0"}, group_rows=group_rows, at_most=0 if small else group_rows + 1
     ).where(F.col("step") > 0)
     at_step = W.partitionBy(*RUN, "step")
     previous = F.col("__s") - F.col("__ln")

@@ -9,6 +9,7 @@ from ..functions.columns import full_mask, mask_indices
 from ..operators import beliefs as B
 from ..operators import lattice as L
 from ..operators import leakage as K
+from ..operators import scoring
 from ..operators.geometry import clusters, pairs
 from ..operators.scale import percentiles, summarise
 from . import views as V
@@ -360,10 +361,14 @@ def tau_scaling(spark, sf):
     return out.select("tau", "n", rounded("r").alias("mean_ratio"), rounded(1.0 / F.col("tau")).alias("expected"))
 
 
-sql_view("allocated", """
-  SELECT subject_id, m, mask, ord, (0.98 * CASE WHEN t > 0 THEN r / t ELSE 1.0 / n END + 0.02 / n) AS p
-  FROM (SELECT *, sum(r) OVER w AS t, count(*) OVER w AS n FROM (SELECT *, greatest(0.0, least(1.0, 60.0 * score)) AS r FROM score_rows)
-        WINDOW w AS (PARTITION BY subject_id, mask))""")
+sql_view("method_raw", """
+  SELECT 'independent' AS method, subject_id, m, mask, ord, greatest(0.0, least(1.0, 60.0 * score)) AS r FROM score_rows
+  UNION ALL SELECT 'allocate', subject_id, m, mask, ord, greatest(0.0, 60.0 * score) FROM score_rows WHERE mask IN (0, (1 << m) - 1)
+  UNION ALL SELECT 'logprob', subject_id, m, mask, ord, 1.0 / (1.0 + exp(-60.0 * score)) FROM score_rows WHERE mask IN (0, (1 << m) - 1)""")
+sql_view("shared_out", """
+  SELECT method, subject_id, m, mask, ord, (0.98 * CASE WHEN t > 0 THEN r / t ELSE 1.0 / n END + 0.02 / n) AS p
+  FROM (SELECT *, sum(r) OVER w AS t, count(*) OVER w AS n FROM method_raw WINDOW w AS (PARTITION BY method, subject_id, mask))""")
+sql_view("allocated", "SELECT subject_id, m, mask, ord, p FROM shared_out WHERE method = 'independent'")
 sql_view("alloc_shifts", """
   SELECT a.subject_id, a.m, a.mask, a.ord, ln(b.p / a.p) AS llr FROM allocated a JOIN allocated b ON a.subject_id = b.subject_id AND a.ord = b.ord AND b.mask = 0""")
 sql_view("alloc_leaks", """
@@ -385,7 +390,7 @@ sql_view("alloc_leaks", """
   FROM v JOIN v o ON v.subject_id = o.subject_id AND o.beta = 1.0 WHERE o.x > 1e-9 GROUP BY v.beta""")
 def power_scaling(spark, sf):
     g = V.geometry_small(spark, sf)
-    leak = K.mpl(V.wide_beliefs(spark, sf, method="allocate"), g).where(F.col("mask") > 0)
+    leak = K.mpl(V.wide_beliefs(spark, sf, method="independent"), g).where(F.col("mask") > 0)
     rank = F.struct(F.round("leak.mean", 9), -F.col("mask"))
     best = leak.groupBy("subject_id").agg(F.max_by(F.struct("p", "full"), rank).alias("b"), F.max("leak.mean").alias("v")).where(F.col("v") > 1e-9)
     sides = best.select("subject_id", F.posexplode(F.arrays_zip(F.col("b.p").alias("prior"), F.col("b.full").alias("post"))).alias("ord", "z"))
@@ -474,7 +479,7 @@ def method_rows(spark, sf):
     """Full and masked view per subject for each elicitation method."""
     g = V.geometry_small(spark, sf)
     out = None
-    for method in ("softmax", "allocate"):
+    for method in scoring.METHODS:
         wide = K.mpl(V.wide_beliefs(spark, sf, method=method, every_mask=False), g).where(F.col("mask") > 0)
         one = wide.select(F.lit(method).alias("method"), "subject_id", "truth", "p", "full", F.col("leak.mean").alias("mpl"))
         out = one if out is None else out.unionByName(one)
@@ -483,7 +488,7 @@ def method_rows(spark, sf):
 
 sql_view("method_beliefs", """
   SELECT 'softmax' AS method, subject_id, m, mask, ord, p FROM beliefs WHERE mask IN (0, (1 << m) - 1)
-  UNION ALL SELECT 'allocate', subject_id, m, mask, ord, p FROM allocated WHERE mask IN (0, (1 << m) - 1)""")
+  UNION ALL SELECT method, subject_id, m, mask, ord, p FROM shared_out WHERE mask IN (0, (1 << m) - 1)""")
 sql_view("method_views", """
   SELECT f.method, f.subject_id, f.ord, s.truth, f.p AS pf, m.p AS pm FROM method_beliefs f JOIN method_beliefs m
    ON f.method = m.method AND f.subject_id = m.subject_id AND f.ord = m.ord AND f.mask = 0 AND m.mask > 0 JOIN subjects s ON s.subject_id = f.subject_id""")
@@ -493,7 +498,8 @@ sql_view("method_views", """
   WITH per AS (SELECT method, subject_id, 1 + sum(pf * log2(pf + 1e-12)) / log2(count(*)) AS conc, 0.5 * sum(abs(pf - pm)) AS tv,
                       max(CASE WHEN ord = truth THEN pf END) AS tf, max(CASE WHEN ord = truth THEN pm END) AS tm,
                       arg_max((pf, pm), (pf, -ord)) FILTER (WHERE ord <> truth) AS d FROM method_views GROUP BY ALL),
-       leak AS (SELECT 'softmax' AS method, subject_id, mean_mpl AS v FROM leaks WHERE mask = (1 << m) - 1 UNION ALL SELECT 'allocate', subject_id, v FROM alloc_leaks WHERE mask = (1 << m) - 1),
+       leak AS (SELECT a.method, a.subject_id, avg(abs(ln(a.pf / a.pm) - ln(b.pf / b.pm)) / d) * 1000 AS v FROM pairs_small p
+                JOIN method_views a ON a.ord = p.i JOIN method_views b ON b.ord = p.j AND a.subject_id = b.subject_id AND a.method = b.method GROUP BY ALL),
        r AS (SELECT per.method, conc, tv, v, ln(tm / d[2]) - ln(tf / d[1]) AS dlo FROM per JOIN leak USING (method, subject_id))
   SELECT method, count(*) AS n, round(quantile_cont(conc, 0.5), 6) + 0.0 AS conc_median, round(quantile_cont(dlo, 0.5), 6) + 0.0 AS dlogodds_median,
          sum(CASE WHEN dlo < 0 THEN 1 ELSE 0 END)::BIGINT AS n_negative, round(quantile_cont(tv, 0.5), 6) + 0.0 AS tv_median,

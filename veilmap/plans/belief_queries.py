@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.columns import p_yes
 from ..operators import beliefs as B
@@ -263,11 +262,10 @@ sql_view("written_names", """
 
 
 def written_names(spark, sf):
-    aliases = B.alias_table(spark)  # 31 fixed rows
-    numbered = aliases.select("alias", (F.row_number().over(W.orderBy("alias")) - 1).alias("i"))
-    c = V.table(spark, sf, "customer").select("c_custkey", "c_nationkey").withColumn("i", F.col("c_custkey") % F.lit(len(COUNTRY_ALIASES)))
+    aliases = F.array(*map(F.lit, sorted(COUNTRY_ALIASES)))
+    c = V.table(spark, sf, "customer").select("c_custkey", "c_nationkey").withColumn("alias", aliases[(F.col("c_custkey") % len(COUNTRY_ALIASES)).cast("int")])
     n = V.table(spark, sf, "nation").select("n_nationkey", "n_name")
-    j = c.join(F.broadcast(numbered), "i").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
+    j = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
     odd = F.concat(F.lit("  "), F.upper("alias"), F.when(F.col("c_custkey") % 3 == 0, " ").otherwise(""))
     return j.select(F.col("c_custkey").alias("subject_id"), F.when(F.col("c_custkey") % 4 == 0, F.col("n_name")).otherwise(odd).alias("name"))
 

@@ -39,10 +39,8 @@ def parse_replies(spark, sf):
         .when(form == 4, F.concat("props", F.lit(" and "), "props"))
         .otherwise(F.regexp_replace("props", "[{}]", ""))
     )
-    good, bad = P.parse_replies(e.select("event_id", text.alias("text")), "text", "k bigint")
-    return good.select("event_id", F.lit("read").alias("status"), "parsed.k").unionByName(
-        bad.select("event_id", F.lit("rejected").alias("status"), F.lit(None).cast("bigint").alias("k"))
-    )
+    out = e.select("event_id", text.alias("text")).select("event_id", P.read_object("text", "k bigint").alias("o"))
+    return out.select("event_id", F.when(F.col("o").isNull(), "rejected").otherwise("read").alias("status"), "o.k")
 
 
 @query("parse_cues", """

@@ -85,7 +85,7 @@ def mask_translate(spark, sf):
     GROUP BY ALL) r USING (subject_id, cue_idx, y) GROUP BY subject_id, cue_idx HAVING sum(bit_count(c.bits & r.others)) > 0""")
 def mask_overlap(spark, sf):
     """Pixels each cue shares with the cue after it (line 7 with line 1)."""
-    u = M.union_rows(V.instance_rows(spark, sf))
+    u = M.words(V.instance_rows(spark, sf))
     following = u.withColumn("cue_idx", (F.col("cue_idx") + 5) % 7 + 1)
     return M.overlap(u, following, on=("subject_id", "cue_idx"))
 

@@ -12,7 +12,7 @@ from ..operators import cues as Q
 from ..operators import evaluation as E
 from ..operators import geometry as G
 from ..operators import leakage as K
-from ..operators.scale import row_numbers, summarise
+from ..operators.scale import largest_group, summarise
 from . import views as V
 from .registry import query, sql_view
 from .views import rounded, sql_haversine
@@ -422,7 +422,8 @@ def localization_outcome(spark, sf):
 @query("maskable_cues", """
   SELECT l_orderkey AS subject_id, l_linenumber, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) - 1 AS cue_idx FROM annotations WHERE n_good > 0""")
 def maskable_cues(spark, sf):
-    return Q.maskable_cues(annotations(spark, sf), ORDER).select("subject_id", "l_linenumber", "l_partkey", "l_suppkey", "cue_idx")
+    most = largest_group(V.table(spark, sf, "lineitem"), ["l_orderkey"])
+    return Q.maskable_cues(annotations(spark, sf), ORDER, at_most=most).select("subject_id", "l_linenumber", "l_partkey", "l_suppkey", "cue_idx")
 
 
 @query("cue_statistics", """

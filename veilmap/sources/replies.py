@@ -20,12 +20,12 @@ def _object(candidate: Column, schema: str) -> Column:
     fields = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in T.StructType.fromDDL(schema).fields)
     element = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<struct<{fields}>>", {"mode": "PERMISSIVE"})
     field = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), f"v struct<{fields}>, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    whole = text.startswith("{") & text.endswith("}") & (F.size(element) == 1) & field["_bad"].isNull()
-    return F.when(whole, field["v"])
+    # Nested, so that text without braces is never parsed.
+    return F.when(text.startswith("{") & text.endswith("}"), F.when((F.size(element) == 1) & field["_bad"].isNull(), field["v"]))
 
 
-def parse_replies(df: DataFrame, text: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(rows with ``parsed``, rejected rows).
+def read_object(text: str, schema: str) -> Column:
+    """The first JSON object of a reply, else null.
 
     Tried in order: the whole reply, each fenced block, the span from the
     first { to the last }. Arrays and scalars are not accepted.
@@ -33,10 +33,14 @@ def parse_replies(df: DataFrame, text: str, schema: str) -> tuple[DataFrame, Dat
     t = F.col(text)
     start, end = F.instr(t, "{"), F.length(t) - F.instr(F.reverse(t), "}") + 1
     span = F.when((start > 0) & (F.instr(t, "}") > 0) & (start < end), F.substring(t, start, end - start + 1))
-    blocks = F.regexp_extract_all(t, F.lit(FENCE), F.lit(1))
+    blocks = F.when(F.instr(t, "```") > 0, F.regexp_extract_all(t, F.lit(FENCE), F.lit(1)))
     fenced = F.filter(F.transform(blocks, lambda b: _object(b, schema)), lambda o: o.isNotNull())
-    found = F.coalesce(_object(t, schema), F.try_element_at(fenced, F.lit(1)), _object(span, schema))
-    out = df.withColumn("parsed", found)
+    return F.coalesce(_object(t, schema), F.try_element_at(fenced, F.lit(1)), _object(span, schema))
+
+
+def parse_replies(df: DataFrame, text: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``parsed``, rejected rows)."""
+    out = df.withColumn("parsed", read_object(text, schema))
     return out.where(F.col("parsed").isNotNull()), out.where(F.col("parsed").isNull()).drop("parsed")
 
 
