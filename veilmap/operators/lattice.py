@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,12 +65,13 @@ def _fact(c: Column) -> Column:
     return F.factorial(c.cast("int")).cast("double")
 
 
-def shapley(lattice: DataFrame, *, value: str = "v") -> DataFrame:
+def shapley(lattice: DataFrame, *, value: str = "v", carry: Sequence[str] = ()) -> DataFrame:
     """Exact Shapley value per cue as one signed, weighted sum over the masks.
 
-    v(empty) need not be 0. ``v_all`` is v(N).
+    v(empty) need not be 0. ``v_all`` is v(N), ``v_single`` the value of the
+    cue alone. ``carry`` names columns that are constant per subject.
     """
-    each = lattice.select("subject_id", "m", "mask", value, F.explode(F.sequence(F.lit(0), F.col("m").cast("int") - 1)).alias("k"))
+    each = lattice.select("subject_id", "m", "mask", value, *carry, F.explode(F.sequence(F.lit(0), F.col("m").cast("int") - 1)).alias("k"))
     inside = has_bit("mask", "k")
     size = F.bit_count("mask") - inside.cast("int")
     weight = _fact(size) * _fact(F.col("m") - size - 1) / _fact(F.col("m"))
@@ -76,6 +79,8 @@ def shapley(lattice: DataFrame, *, value: str = "v") -> DataFrame:
     return each.groupBy("subject_id", "m", "k").agg(
         F.sum(signed * weight).alias("phi"),
         F.max(F.when(F.col("mask") == full_mask("m"), F.col(value))).alias("v_all"),
+        F.max(F.when(F.col("mask") == _bit("k"), F.col(value))).alias("v_single"),
+        *[F.max(c).alias(c) for c in carry],
     )
 
 

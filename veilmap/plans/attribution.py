@@ -12,6 +12,7 @@ from ..operators import leakage as K
 from ..operators import scoring
 from ..operators.geometry import clusters, pairs
 from ..operators.scale import percentiles, summarise
+from ..session import checkpointed
 from . import views as V
 from .registry import query, sql_view
 from .views import rounded, sql_haversine
@@ -115,12 +116,9 @@ def cue_values(spark, sf):
         "subject_id", "truth", "m", "mask",
         F.when(F.col("mask") == 0, 0.0).otherwise(F.col("leak.mean")).alias("v"), (best - 1).alias("pos"),
     )
-    each = base.select("*", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("k"))
-    single = F.max(F.when(F.col("mask") == F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("k")), F.col("v")))
-    phi = L.shapley(base)
-    extra = each.groupBy("subject_id", "k").agg(single.alias("v_single"), F.first("truth").alias("truth"), F.first("pos").alias("pos"))
+    phi = L.shapley(base, carry=("truth", "pos"))
     g = V.gallery_small(spark, sf).select("pos", "ord")
-    out = phi.join(extra, ["subject_id", "k"]).join(F.broadcast(g), "pos")
+    out = phi.join(F.broadcast(g), "pos")
     return with_category(spark, sf, out.withColumn("hit", F.col("ord") == F.col("truth")).drop("pos", "ord"))
 
 
@@ -146,7 +144,7 @@ def category_attribution(spark, sf):
   SELECT 'negative_phi' AS kind, NULL::BIGINT AS subject_id, NULL::BIGINT AS k, NULL::BIGINT AS l, count(*)::DOUBLE AS value FROM attribution WHERE phi < -0.01
   UNION ALL (SELECT 'interaction', subject_id, k, l, round(sii, 6) + 0.0 FROM pair_index ORDER BY round(abs(sii), 9) DESC, subject_id, k, l LIMIT 5)""")
 def negative_and_strong(spark, sf):
-    lat = V.lattice(spark, sf)
+    lat = checkpointed(V.lattice(spark, sf))  # read twice
     none = F.lit(None).cast("bigint")
     neg = L.shapley(lat).where(F.col("phi") < -0.01).agg(F.count(F.lit(1)).cast("double").alias("value"))
     top = L.interactions(lat).orderBy(F.round(F.abs("sii"), 9).desc(), "subject_id", "k", "l").limit(5)
@@ -160,7 +158,7 @@ def negative_and_strong(spark, sf):
   FROM (SELECT subject_id, m, sum(v_single) AS sum_single, max(v_all) AS v_all FROM attribution GROUP BY ALL)
   LEFT JOIN (SELECT subject_id, max(sii) AS max_i, min(sii) AS min_i FROM pair_index GROUP BY ALL) USING (subject_id)""")
 def case_table(spark, sf):
-    lat = V.lattice(spark, sf)
+    lat = checkpointed(V.lattice(spark, sf))  # read twice
     singles = lat.groupBy("subject_id", "m").agg(
         F.sum(F.when(F.bit_count("mask") == 1, F.col("v"))).alias("sum_single"),
         F.max(F.when(F.col("mask") == full_mask("m"), F.col("v"))).alias("v_all"),
@@ -192,7 +190,7 @@ def lattice_gaps(spark, sf):
   FROM (SELECT subject_id, m, count(*) AS n FROM lattice WHERE mask > 0 AND v > 0.02 GROUP BY ALL) GROUP BY m""")
 def lattice_gate(spark, sf):
     """Lattices that stay complete when values up to 0.02 count as missing."""
-    full, skipped = L.build_lattice(V.lattice(spark, sf).where(F.col("v") > 0.02))
+    full, skipped = L.build_lattice(checkpointed(V.lattice(spark, sf).where(F.col("v") > 0.02)))
     kept = full.where(F.col("mask") == 0).select("m", F.lit(1).alias("ok"))
     return kept.unionByName(skipped.select("m", F.lit(0).alias("ok"))).groupBy("m").agg(
         F.sum("ok").alias("n_complete"), F.sum(1 - F.col("ok")).alias("n_skipped")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import full_mask
 from ..operators import cues as Q
 from ..operators import lattice as L
-from ..session import scratch_path
+from ..session import checkpointed, scratch_path
 from ..sources import replies as P
 from ..sources import sampling as S
 from ..sources import sinks
@@ -130,7 +130,7 @@ def last_shard_wins(spark, sf):
   SELECT m, count(*) AS n_masks, sum(mask)::BIGINT AS mask_sum FROM subject_masks WHERE mask > 0 GROUP BY m""")
 def lattice_union(spark, sf):
     """Values of single cues, all cues and the subsets in between come from three sources."""
-    v = V.lattice(spark, sf).where(F.col("mask") > 0)
+    v = checkpointed(V.lattice(spark, sf).where(F.col("mask") > 0))
     size = F.bit_count("mask")
     single, every = v.where(size == 1), v.where(F.col("mask") == full_mask("m"))
     between = v.where((size >= 2) & (size < F.col("m")))
