@@ -200,8 +200,8 @@ def place_controls(
             return np.repeat(np.arange(len(y)), y.value_lengths().to_numpy(zero_copy_only=False)), *flat
 
         found = [[np.zeros((0, n), dtype=np.int64)] for _ in range(4)]
-        # A slice holds one frame per row; about 2^22 pixels at a time.
-        step = max(1, (1 << 22) // (height * (width + 1)))
+        # A slice holds one frame per row; about 2^18 pixels at a time stay in the cache.
+        step = max(1, (1 << 18) // (height * (width + 1)))
         for at in range(0, len(keys), step):
             k, *cells = (a.slice(at, step) for a in (keys, cy, cw, cb, uy, uw, ub))
             draws = k.to_numpy(zero_copy_only=False).astype(np.int64)

@@ -35,6 +35,16 @@ def fits(df: DataFrame, keys: Sequence[str], group_rows: int, at_most: int | Non
     return (largest_group(df, keys) if at_most is None else at_most) <= group_rows
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Fan a scan of few splits out over the cores before heavy work per row.
+
+    A scan with at least as many splits as there are cores is left alone, so a
+    large table is never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def broadcast_within(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint only when the row count is proven to be within the bound."""
     if df.limit(max_rows + 1).count() <= max_rows:

@@ -140,9 +140,6 @@ def lattice_union(spark, sf):
 
 # Streams -------------------------------------------------------------------------------
 
-STREAM = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
-
-
 def event_stream(spark, sf) -> DataFrame:
     # The table was written with its own timestamp type, so the schema comes from the file itself.
     schema = V.table(spark, sf, "events").schema
@@ -215,8 +212,6 @@ def sliding_evidence(spark, sf):
   SELECT user_id AS subject_id, n, count(*) AS sessions FROM w WHERE e <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL""")
 def session_evidence(spark, sf):
     """Closed sessions with a pause of two hours, by subject and length."""
-    # Sessions are merged within each map task first, so a busy subject sends few rows.
-    spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     stream = event_stream(spark, sf).select(F.col("user_id").alias("subject_id"), "ts")
     out = _append(spark, "session", X.session_evidence(stream, "2 hours", "1 hour"))
     return out.groupBy("subject_id", "n").agg(F.count(F.lit(1)).alias("sessions"))

@@ -12,7 +12,7 @@ from ..operators import cues as Q
 from ..operators import evaluation as E
 from ..operators import geometry as G
 from ..operators import leakage as K
-from ..operators.scale import largest_group, summarise
+from ..operators.scale import largest_group, spread, summarise
 from . import views as V
 from .registry import query, sql_view
 from .views import rounded, sql_haversine
@@ -398,7 +398,7 @@ ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedpric
 
 def annotations(spark, sf):
     """Nested cue annotations: every line item is a cue with 0 to 3 boxes."""
-    l = V.table(spark, sf, "lineitem")
+    l = spread(V.table(spark, sf, "lineitem").select("l_orderkey", *ORDER))
     p = V.table(spark, sf, "part").select("p_partkey", F.col("p_type").alias("category"))
     w = lambda i: 1 + (F.col("l_quantity").cast("int") + 17 * i) % 60
     h = lambda i: 1 + ((F.col("l_partkey") + 5 * i) * 7) % 46
@@ -466,7 +466,7 @@ _STOP = ", ".join(f"'{w}'" for w in CUE_STOP_WORDS)
 @query("cue_terms", f"""
   SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents) WHERE length(term) > 2 AND term NOT IN ({_STOP}) GROUP BY term ORDER BY n DESC, term LIMIT 15""")
 def cue_terms(spark, sf):
-    return E.terms(V.table(spark, sf, "documents"), "text")
+    return E.terms(spread(V.table(spark, sf, "documents").select("text")), "text")
 
 
 @query("worst_risk", """

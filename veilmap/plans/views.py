@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 
 from ..functions.columns import rounded  # noqa: F401  (re-exported for the query modules)
 from ..operators import scoring
-from ..operators.scale import largest_group, row_numbers
+from ..operators.scale import largest_group, row_numbers, spread
 from .registry import sql_view
 
 
@@ -349,7 +349,7 @@ sql_view("subject_pixels", "SELECT subject_id, y, bit_or(bits) AS bits FROM cue_
 
 def instances(spark, sf) -> DataFrame:
     """Boxes of each cue, clipped to the frame; boxes over 40 % of the frame are degenerate."""
-    l = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount")
+    l = spread(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount"))
     p = table(spark, sf, "part").select("p_partkey", F.col("p_type").alias("category"))
     boxes = l.join(p, l.l_partkey == p.p_partkey).select(
         F.col("l_orderkey").alias("subject_id"), F.col("l_linenumber").alias("cue_idx"), "category",

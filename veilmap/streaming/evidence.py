@@ -127,6 +127,8 @@ def window_evidence(stream: DataFrame, size: str, watermark: str, slide: str | N
 
 def session_evidence(stream: DataFrame, gap: str, watermark: str) -> DataFrame:
     """Evidence of one subject until it pauses for ``gap``."""
+    # Sessions are merged within each map task first, so a busy subject sends few rows.
+    stream.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     out = stream.withWatermark("ts", watermark).groupBy(F.session_window("ts", gap).alias("w"), "subject_id").agg(F.count(F.lit(1)).alias("n"))
     return out.select("subject_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
