@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing
+from . import bpe, fingerprints, language, mixing, quality
 from .common import fold, table
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,7 +25,29 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "copies", "taken")
 
 
+@query
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fingerprints.with_edits(docs).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op5_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels").where(~fold("doc_id", 4, 2)))
+    out = quality.score_column(docs, model, keep=["doc_id"])
+    return out.select("doc_id", fold("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 @query
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode_column(docs, bpe.read_spec(), keep=["doc_id"], outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.train(docs.where(~fold("doc_id", 5, 0)))
+    out = language.predict(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return out.select("doc_id", fold("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")
