@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, language, mixing, quality
+from . import bpe, fingerprints, language, mixing, quality, spans
 from .common import fold, table
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,9 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.train(docs.where(~fold("doc_id", 5, 0)))
     out = language.predict(docs.select("doc_id", "text"), model, keep=["doc_id"])
     return out.select("doc_id", fold("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spans.digests(docs).withColumnRenamed("id", "doc_id")
