@@ -86,10 +86,11 @@ def with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     document is its own next one. An empty table gives an empty result.
     """
     order = followers(docs, id_col, text_col)
-    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    before = order.select(F.col("next_id").alias("key"), F.col("id").alias("to"), F.col("longest").alias("room"))
+    # Ids are compared as one-field structs, in which null equals null, so that joins and window share one partitioning.
+    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(F.col(id_col).alias("id")).alias("key"))
+    before = order.select(F.struct(F.col("next_id").alias("id")).alias("next"), F.struct("id").alias("to"), F.col("longest").alias("room"))
     # The start of each document, no longer than its predecessor needs, goes to the predecessor with the sketch.
-    placed = own.join(before, F.col("id").eqNullSafe(F.col("key"))).withColumn("hash", F.xxhash64("text"))
+    placed = own.join(before, F.col("key") == F.col("next")).withColumn("hash", F.xxhash64("text"))
     first = placed.withColumn("rn", F.row_number().over(W.partitionBy("key").orderBy("hash"))).where("rn = 1")
     sent = first.select(
         F.col("to"), F.substring(F.col("text"), F.lit(1), F.floor(F.col("room") / 2).cast("int")).alias("start"),
@@ -97,7 +98,7 @@ def with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     )
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    both = own.join(sent, F.col("id").eqNullSafe(F.col("to"))).withColumn("n_chars", n.cast("bigint"))
+    both = own.join(sent, F.col("key") == F.col("to")).withColumn("n_chars", n.cast("bigint"))
     both = both.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("start"), F.lit(1), half)))
     both = both.withColumns({"own_sketch": sketch(F.col("text"), shingle=shingle, fraction=fraction), "edited_sketch": sketch(F.col("edited"), shingle=shingle, fraction=fraction)})
     return both.select(

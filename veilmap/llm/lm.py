@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import blocks as B
 
 ORDER = 2
-STRENGTH = 2.0
+STRENGTH = 300.0
 #: The symbol that ends a text and starts the next; no word holds a blank.
 END = b" "
 
