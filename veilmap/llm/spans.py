@@ -141,24 +141,28 @@ def digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return parse(docs, out, finish, id_col=id_col, text_col=text_col, carry=[], window=window, block_bytes=block_bytes)
 
 
-def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, window: int = WINDOW, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     """``docs`` with duplicate spans cut out of the texts; all columns stay.
 
     A text that loses nothing stays as it is; of others the kept words are joined by one blank. A document that loses
-    all its words goes.
+    all its words goes. A column named by ``length_col`` gets the code points of the text where the text has changed.
     """
     carry = [c for c in docs.columns if c not in (id_col, text_col)]
     fields = {c: docs.schema[c].dataType.simpleString() for c in docs.columns}
 
     def finish(group: pa.Table, lengths: np.ndarray, removed: np.ndarray) -> pa.Table:
-        texts, stays = [], []
+        texts, stays, changed = [], [], []
         for text, gone in per_document(group, lengths, removed):
             stays.append(not gone.all() or not len(gone))
-            texts.append(cut_words(text, gone).decode() if gone.any() else text)
-        done = group.drop_columns(["block"]).set_column(1, "text", pa.array(texts, pa.string()))
+            changed.append(bool(gone.any()))
+            texts.append(cut_words(text, gone).decode() if changed[-1] else text)
+        done = group.drop_columns(["block"]).set_column(1, "text", pa.array(texts, pa.string())).append_column("changed", pa.array(changed, pa.bool_()))
         return done.filter(pa.array(stays, pa.bool_()))
 
-    out = ", ".join([f"id {fields[id_col]}", f"text {fields[text_col]}", *[f"x{i} {fields[c]}" for i, c in enumerate(carry)]])
+    out = ", ".join([f"id {fields[id_col]}", f"text {fields[text_col]}", *[f"x{i} {fields[c]}" for i, c in enumerate(carry)], "changed boolean"])
     got = parse(docs, out, finish, id_col=id_col, text_col=text_col, carry=carry, window=window, block_bytes=block_bytes)
+    if length_col is not None:
+        at = f"x{carry.index(length_col)}"
+        got = got.withColumn(at, F.when(F.col("changed"), F.length("text").cast(fields[length_col])).otherwise(F.col(at)))
     names = {id_col: "id", text_col: "text"} | {c: f"x{i}" for i, c in enumerate(carry)}
     return got.select(*[F.col(names[c]).alias(c) for c in docs.columns])
