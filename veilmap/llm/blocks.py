@@ -50,8 +50,10 @@ def bucket_bits(docs: DataFrame, key_bytes: int, bucket_bytes: int = BUCKET_BYTE
 
 def packed(block: int, kind: int, keys: np.ndarray, bits: int, more: np.ndarray | None = None) -> Iterator[dict]:
     """A block's sorted distinct keys by bucket; ``more`` goes along with the keys."""
+    if not len(keys):
+        return
     buckets = (keys >> np.uint64(64 - bits)).astype(np.int64)
-    at = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]]) if len(keys) else np.empty(0, np.int64)
+    at = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]])
     for lo, hi in zip(at, [*at[1:], len(keys)], strict=True):
         yield {"bucket": int(buckets[lo]), "block": block, "kind": kind, "keys": keys[lo:hi].tobytes(), "more": b"" if more is None else shrink(more[lo:hi])}
 
