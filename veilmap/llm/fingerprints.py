@@ -25,7 +25,7 @@ def words(text: Column) -> Column:
 
 def sketch(text: Column, *, shingle: int = SHINGLE, fraction: float = FRACTION) -> Column:
     """Sorted distinct shingle hashes below the threshold. A text of fewer words than a shingle is one shingle."""
-    limit = F.lit(-(1 << 63) + round(fraction * (1 << 64)))
+    limit = F.lit(min((1 << 63) - 1, -(1 << 63) + round(fraction * (1 << 64))))
     parts = words(text)
 
     def hashes(w: Column) -> Column:
