@@ -113,6 +113,21 @@ def test_missing_label_is_not_valid(spark):
     assert [x["valid"] for x in U.sequential_posterior(p, r).collect()] == [False]
 
 
+def test_steps_that_do_not_rate_their_prior(spark):
+    p = spark.createDataFrame([(s, "country", l, o, m) for s in "uzrdk" for o, (l, m) in enumerate([("a", 0.5), ("b", 0.5), ("none", 0.0)])], "subject_id string, level string, label string, ord int, p double")
+    good = [("a", 0, "5", 1.0), ("b", 1, "1", 1.0), ("none", 2, "5", 1.0)]
+    bad = {"u": [*good, ("Z", 3, "5", 1.0)], "z": good[:2], "r": [good[0], ("b", 1, "x", 1.0), good[2]], "d": [*good, good[0]], "k": good}
+    rows = [(s, "country", t, *r) for s, rs in bad.items() for t in (1, 2) for r in (rs if t == 1 else good)]
+    r = spark.createDataFrame(rows, "subject_id string, level string, step int, label string, ord int, c string, alpha double")
+    got = {(x["subject_id"], x["step"], x["label"]): x for x in U.sequential_posterior(p, r).collect()}
+    assert all(x["valid"] == (s == "k" or t == 2) and (x["p"] is None) == (not x["valid"]) for (s, t, _), x in got.items())
+    assert abs(got[("k", 1, "a")]["p"] - 16 / 17) < 1e-12 and got[("k", 1, "none")]["p"] == 0
+    # An unknown label never gains mass; an unreadable rating moves nothing.
+    assert abs(got[("u", 2, "a")]["p"] - 256 / 257) < 1e-12 and abs(got[("r", 2, "a")]["p"] - 64 / 65) < 1e-12
+    kept, rejected = U.split_ratings(r)
+    assert rejected.count() == 1 and kept.count() == len(rows) - 1
+
+
 def test_bayes_step_errors(spark):
     b = spark.createDataFrame([("ok", "a", 0, 0.5), ("ok", "b", 1, 0.5), ("bad", "a", 0, 1.0), ("zero", "a", 0, 1.0)], "subject_id string, label string, ord int, p double")
     w = spark.createDataFrame([("ok", "a", 4.0), ("ok", "b", 1.0), ("bad", "x", 1.0), ("zero", "a", 0.0)], "subject_id string, label string, w double")

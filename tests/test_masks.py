@@ -13,14 +13,10 @@ W, H = 8, 6
 
 
 def counts(mask):
-    out, value, run = [], False, 0
-    for v in np.asarray(mask, bool).ravel():
-        if v == value:
-            run += 1
-        else:
-            out.append(run)
-            value, run = v, 1
-    return out + [run]
+    """Lengths between the places where the value changes, the first of them of zeros."""
+    flat = np.r_[False, np.asarray(mask, bool).ravel()]
+    turns = np.flatnonzero(np.diff(flat))
+    return np.diff(np.r_[0, turns, len(flat) - 1]).tolist()
 
 
 def box(y1, y2, x1, x2, h=H, w=W):

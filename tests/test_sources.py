@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from veilmap.operators import updating as U
@@ -168,6 +169,43 @@ def test_stream_posterior_converges_whatever_the_order(spark, tmp_path):
         assert abs(got[(r["subject_id"], r["label"])][0] - r["p"]) < 1e-9 and got[(r["subject_id"], r["label"])][1] == 10
 
 
+def test_a_batch_of_one_hypothesis_keeps_the_others(spark, tmp_path):
+    """Snapshots and changes: twelve batches, each rating one label of one subject."""
+    rated = [(1, f"h{i % 3}", i % 3, float(i % 5 + 1), (i % 7) / 7.0) for i in range(12)] + [(1, "h0", 0, None, 1.0)]
+    schema = "subject_id bigint, label string, ord int, c double, alpha double, level string"
+    for i, r in enumerate(rated):
+        spark.createDataFrame([(*r, "country")], schema).coalesce(1).write.parquet(str(tmp_path / f"in/f={i:02d}"))
+    stream = spark.readStream.schema(schema + ", f int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    X.run_available(X.stream_posterior(stream, priors(spark), str(tmp_path / "out"), str(tmp_path / "cp")))
+    assert (tmp_path / "out/sums/snapshot").exists()
+    weight = [0.2, 0.3, 0.5]
+    for _, _, o, c, a in rated[:12]:
+        weight[o] *= 2 ** (a * (c - 3))
+    got = {r["label"]: (r["p"], r["n_evidence"]) for r in X.latest_posterior(spark, str(tmp_path / "out")).where("subject_id = 1").collect()}
+    assert {l: n for l, (_, n) in got.items()} == {"h0": 4, "h1": 4, "h2": 4}
+    assert all(abs(got[f"h{o}"][0] - w / sum(weight)) < 1e-12 for o, w in enumerate(weight))
+
+
+def test_a_foreign_table_is_an_error(spark, tmp_path):
+    spark.createDataFrame([(1,)], "other int").write.parquet(str(tmp_path / "t"))
+    todo = spark.createDataFrame([(1,), (2,)], "id int")
+    with pytest.raises(Exception, match="id"):
+        sinks.append_missing(todo, lambda k: k, str(tmp_path / "t"), ["id"])
+    spark.createDataFrame([(1, 2)], "id int, more int").write.parquet(str(tmp_path / "u"))
+    with pytest.raises(ValueError, match="more"):
+        sinks.append_missing(todo, lambda k: k, str(tmp_path / "u"), ["id"])
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 1 and sinks.read_if_there(spark, str(tmp_path / "none")) is None
+
+
+def test_one_odd_element_takes_no_other_with_it(spark):
+    good = '{"name": "a", "bbox": [1, 2, 3, 4]}'
+    texts = {"mixed": f'[{good}, "noise", null, 7, [1], {good}]', "no": good, "bad": "[{", "null": None, "empty": "[]"}
+    kept, rejected = P.split_cues(spark.createDataFrame(list(texts.items()), "subject_id string, text string"), "text")
+    assert sorted((r["subject_id"], r["pos"]) for r in kept.collect()) == [("mixed", 0), ("mixed", 5)]
+    assert sorted((r["subject_id"], -1 if r["pos"] is None else r["pos"], r["reason"]) for r in rejected.collect()) == [
+        ("bad", -1, "no array"), *[("mixed", i, "no object") for i in (1, 2, 3, 4)], ("no", -1, "no array"), ("null", -1, "no array")]
+
+
 def test_stream_trajectory_equals_batch(spark, tmp_path):
     path, events = evidence_files(spark, tmp_path)
     # Files are read by modification time; the three were written in order.

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,6 +30,11 @@ def rating(c: str | Column) -> Column:
     return F.when(number.isNotNull(), F.least(F.lit(5.0), F.greatest(F.lit(1.0), F.bround(number)))).cast("int")
 
 
+def readable_rating(c: str | Column, alpha: str | Column) -> Column:
+    """Whether both parts of a rating can be read; never null."""
+    return rating(c).isNotNull() & col(alpha).try_cast("double").isNotNull()
+
+
 def weight_bits(c: str | Column, alpha: str | Column) -> Column:
     """Weight of evidence log2 W = alpha * (c - 3)."""
     return clamp01(col(alpha).try_cast("double")) * (rating(c) - F.lit(3))
@@ -94,12 +97,6 @@ def mask_indices(mask: str | Column, m: str | Column) -> Column:
     return F.filter(positions, lambda k: F.call_function("getbit", col(mask), k) == 1)
 
 
-def arithmetic_draw(*terms: tuple[Column, int], modulus: int) -> Column:
-    """Deterministic draw in [0, modulus) that any SQL engine can repeat."""
-    total = reduce(lambda a, b: a + b, (col(c).cast("bigint") * F.lit(k) for c, k in terms))
-    return F.pmod(total, F.lit(modulus))
-
-
 def p_yes(logprob_yes: str | Column, logprob_no: str | Column) -> Column:
     """Two-way normalised yes probability, with one-sided and empty cases."""
     yes, no = col(logprob_yes), col(logprob_no)

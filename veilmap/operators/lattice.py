@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import full_mask, has_bit
 
-MAX_CUES = 20  # factorial() is exact up to 20
+MAX_CUES = 20  # 2^20 subsets a subject; factorial() is exact up to 20
 
 
 def _bit(k) -> Column:
@@ -35,13 +35,17 @@ def expand_subsets(cue_counts: DataFrame, *, max_full: int = 6) -> DataFrame:
     return counted.select("subject_id", "m", F.explode(subset_masks("m", max_full)).alias("mask"))
 
 
-def missing_subsets(cue_counts: DataFrame, done: DataFrame) -> DataFrame:
-    """Intermediate subsets (2 <= size <= m - 1) that are not in ``done(subject_id, mask)``."""
+def missing_subsets(cue_counts: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(intermediate subsets, 2 <= size <= m - 1, that are not in ``done(subject_id, mask)``; subjects of too many cues).
+
+    The subsets of more than ``MAX_CUES`` cues are not listed; those subjects come back as (subject_id, m).
+    """
+    unlisted = cue_counts.where(F.col("m") > MAX_CUES).select("subject_id", "m")
     wanted = cue_counts.where(F.col("m").between(3, MAX_CUES)).select(
         "subject_id", "m", F.explode(F.sequence(F.lit(1).cast("bigint"), full_mask("m"))).alias("mask")
     )
     wanted = wanted.where((F.bit_count("mask") >= 2) & (F.bit_count("mask") < F.col("m")))
-    return wanted.join(done.select("subject_id", "mask"), ["subject_id", "mask"], "left_anti")
+    return wanted.join(done.select("subject_id", "mask"), ["subject_id", "mask"], "left_anti"), unlisted
 
 
 def build_lattice(values: DataFrame) -> tuple[DataFrame, DataFrame]:

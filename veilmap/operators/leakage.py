@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .geometry import Geometry
+from .scale import broadcast_within
 
+KERNEL_VALUES = 1 << 20
 RESULT = "struct<mean:double,sup:double,i:int,j:int,n_pairs:bigint>"
 
 
@@ -40,9 +42,15 @@ def pair_kernel(geometry: Geometry, tau: float | None = None):
     member, inverse = geometry.member, geometry.inverse_km
     merge = member.shape[0] != member.shape[1] or not np.array_equal(member, np.eye(member.shape[0]))
     width, k = member.shape
+    step = max(1, KERNEL_VALUES // max(width, 1))  # rows at a time, so that the temporaries stay small whatever the gallery
+    empty = pa.struct([("mean", pa.float64()), ("sup", pa.float64()), ("i", pa.int32()), ("j", pa.int32()), ("n_pairs", pa.int64())])
 
     @F.arrow_udf(RESULT)
     def kernel(prior: pa.Array, post: pa.Array) -> pa.Array:
+        parts = [work(prior.slice(at, step), post.slice(at, step)) for at in range(0, len(prior), step)]
+        return pa.concat_arrays(parts) if parts else pa.array([], empty)
+
+    def work(prior: pa.Array, post: pa.Array) -> pa.StructArray:
         a, b = _matrix(prior, width), _matrix(post, width)
         if merge:
             a, b = a @ member, b @ member
@@ -88,7 +96,7 @@ def mpl_relational(shift: DataFrame, pairs: DataFrame, *, keys=("subject_id", "m
     a = shift.select(*keys, F.col("ord").alias("i"), F.col("llr").alias("__a"))
     b = shift.select(*keys, F.col("ord").alias("j"), F.col("llr").alias("__b"))
     value = F.abs(F.col("__a") - F.col("__b")) / F.col("d")
-    valued = a.join(F.broadcast(pairs), "i").join(b, [*keys, "j"]).withColumn("__v", value)
+    valued = a.join(broadcast_within(pairs), "i").join(b, [*keys, "j"]).withColumn("__v", value)
     out = valued.groupBy(*keys).agg(
         (F.avg("__v") * 1000.0).alias("mean"),
         F.max("__v").alias("sup"),

@@ -19,16 +19,18 @@ from ..functions.fixed_values import SCORE_SMOOTHING
 from .geometry import GALLERY_ROWS
 from .lattice import MAX_CUES
 
+CENTROID_VALUES = 8_000_000  # 64 MB: 5,000 labels of 1,600 dimensions
+SLICE_VALUES = 1 << 20  # values of one output batch
 # (features n x d, cue count m) -> scores n x 2^m-or-fewer masks x labels, for the given masks
 Scorer = Callable[[np.ndarray, int, np.ndarray], np.ndarray]
 
 
 def collect_centroids(means: DataFrame) -> np.ndarray:
-    """(label, dim, c) -> labels x dims. The table is gallery-sized; that is checked."""
-    limit = GALLERY_ROWS * 64
-    rows = means.limit(limit + 1).toPandas()
-    if len(rows) > limit:
-        raise ValueError("more centroids than a gallery may hold")
+    """(label, dim, c) -> labels x dims. Both the labels, as in any gallery, and all values are checked to be within bounds."""
+    size = means.agg(F.count_distinct("label"), F.count(F.lit(1))).first()
+    if size[0] > GALLERY_ROWS or size[1] > CENTROID_VALUES:
+        raise ValueError(f"{size[0]} labels with {size[1]} values; a gallery holds up to {GALLERY_ROWS} labels and {CENTROID_VALUES} values")
+    rows = means.toPandas()
     return rows.pivot(index="label", columns="dim", values="c").sort_index().sort_index(axis=1).to_numpy()
 
 
@@ -79,7 +81,8 @@ def score_subsets(features: DataFrame, scorer: Scorer, *, subsets: Literal["all"
     """(subject_id, truth, m, x) -> (subject_id, truth, m, mask, p, full).
 
     Mask 0 is the full view, whose belief is repeated as ``full``. ``subsets``
-    is every mask, or only the full and the fully masked view.
+    is every mask, or only the full and the fully masked view. Rows without cues
+    or with more than ``MAX_CUES`` are not scored; ``unscored`` gives them.
     """
     schema = T.StructType([
         features.schema["subject_id"], features.schema["truth"], T.StructField("m", T.IntegerType()),
@@ -91,35 +94,47 @@ def score_subsets(features: DataFrame, scorer: Scorer, *, subsets: Literal["all"
         offsets = np.arange(0, values.size + 1, values.shape[-1], dtype=np.int32)
         return pa.ListArray.from_arrays(offsets, values.reshape(-1))
 
+    def values(part: pa.RecordBatch) -> np.ndarray:
+        return part.column("x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(part.num_rows, -1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ms = batch.column("m").to_numpy()
             for m in np.unique(ms):
                 group = batch.filter(pa.array(ms == m))
-                if m > MAX_CUES:
-                    raise ValueError(f"{m} cues: every subset is scored only up to {MAX_CUES} cues")
-                masks = _masks(int(m), subsets)
-                # Slices bound the memory of one output batch to about 2^20 values per label.
-                rows = max(1, (1 << 14) // len(masks))
+                everything = _masks(int(m), subsets)
+                one = group.slice(0, 1)
+                labels = scorer(values(one), int(m), everything[:1]).shape[-1]
+                # Rows first, then the masks of a row, are cut into slices of about SLICE_VALUES values.
+                rows = max(1, SLICE_VALUES // (len(everything) * labels))
+                step = max(1, SLICE_VALUES // (rows * labels))
                 for at in range(0, group.num_rows, rows):
                     part = group.slice(at, rows)
-                    x = part.column("x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(part.num_rows, -1)
-                    p = scorer(x, int(m), masks)
-                    n, s, k = p.shape
-                    again = pa.array(np.repeat(np.arange(n), s))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            part.column("subject_id").take(again), part.column("truth").take(again),
-                            pa.array(np.full(n * s, m, dtype=np.int32)), pa.array(np.tile(masks, n).astype(np.int64)),
-                            lists(p.reshape(n * s, k)), lists(np.repeat(p[:, 0, :], s, axis=0)),
-                        ],
-                        names=["subject_id", "truth", "m", "mask", "p", "full"],
-                    )
-
-    inside = features.where(F.col("m") >= 1)
+                    x = values(part)
+                    full = scorer(x, int(m), everything[:1])[:, 0, :]
+                    for first in range(0, len(everything), step):
+                        masks = everything[first : first + step]
+                        p = scorer(x, int(m), masks)
+                        n, s, k = p.shape
+                        again = pa.array(np.repeat(np.arange(n), s))
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                part.column("subject_id").take(again), part.column("truth").take(again),
+                                pa.array(np.full(n * s, m, dtype=np.int32)), pa.array(np.tile(masks, n).astype(np.int64)),
+                                lists(p.reshape(n * s, k)), lists(np.repeat(full, s, axis=0)),
+                            ],
+                            names=["subject_id", "truth", "m", "mask", "p", "full"],
+                        )
+
+    inside = features.where(F.col("m").between(1, MAX_CUES))
     return inside.select("subject_id", "truth", F.col("m").cast("int").alias("m"), "x").mapInArrow(run, schema)
 
 
+def unscored(features: DataFrame) -> DataFrame:
+    """The rows that ``score_subsets`` leaves out: no cues, or more than ``MAX_CUES``."""
+    return features.where(F.col("m").isNull() | ~F.col("m").between(1, MAX_CUES))
+
+
 def score_views(rows: DataFrame, scorer: Scorer, views: dict[str, str]) -> DataFrame:
     """Beliefs of ready-made views: each feature column in ``views`` is scored
     unmasked and replaced by the belief column it maps to."""

@@ -6,14 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.columns import rating, support_weight, weight_bits
+from ..functions.columns import rating, readable_rating, support_weight, weight_bits
 from ..functions.fixed_values import KEY_BITS, LEVELS, STALL_CHANGE, STOP_PROBABILITY
 from .scale import GROUP_ROWS, fits, running_sums
 
 RUN = ("subject_id", "level", "segment")
+LABELS_AT_ONCE = 1000
+
+
+def split_ratings(ratings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(readable ratings, rejected ones): c must be a number, alpha a number or NaN (which counts as 0)."""
+    ok = readable_rating("c", "alpha")
+    return ratings.where(ok), ratings.where(~ok)
 
 
 def support_score(ratings: DataFrame) -> DataFrame:
+    """Weight and bits of each rating, null where it cannot be read (see ``split_ratings``)."""
     return ratings.withColumns({"w": support_weight("c", "alpha"), "woe_bits": weight_bits("c", "alpha")})
 
 
@@ -58,6 +66,10 @@ def sequential_posterior(
     The normalisation of each step cancels, so P_t is the softmax of
     ln P_0 + the running sum of ln W. The prior enters the scan as step 0,
     which saves a join. Every (level, segment) restarts from its own prior.
+
+    A step is ``valid`` if it rates exactly the labels of its prior, once each and readably, and leaves some mass.
+    Other steps have no p and delta_p; an unreadable or missing rating then moves its label by nothing, and a label
+    without a prior stays at 0.
     A prior may bring ``log_p``, its logarithm up to a constant, to continue
     from an earlier trajectory without underflow.
     """
@@ -69,34 +81,39 @@ def sequential_posterior(
     known = F.when(F.col("p") > 0, F.log("p")).otherwise(F.lit(float("-inf")))
     if "log_p" in prior.columns:
         known = F.col("log_p")
+    prior = prior.withColumn("__labels", F.count(F.lit(1)).over(W.partitionBy(*RUN)))
     start = prior.select(
         *RUN, F.lit(0).cast("bigint").alias("step"), "label", "ord",
         F.lit(None).cast("double").alias("c"), F.lit(None).cast("double").alias("alpha"),
         F.lit(None).cast("double").alias("w"), F.lit(0.0).alias("woe_bits"),
-        known.alias("__ln"), F.col("p").alias("__p0"),
+        known.alias("__ln"), F.lit(1).alias("__has"), F.col("__labels").alias("__of"),
     )
     moves = rated.select(
         *RUN, F.col("step").cast("bigint").alias("step"), "label", "ord",
-        F.col("c").cast("double").alias("c"), F.col("alpha").cast("double").alias("alpha"),
-        "w", "woe_bits", F.log("w").alias("__ln"), F.lit(0.0).alias("__p0"),
+        F.col("c").try_cast("double").alias("c"), F.col("alpha").try_cast("double").alias("alpha"),
+        "w", "woe_bits", F.log("w").alias("__ln"), F.lit(0).alias("__has"), F.lit(0).cast("bigint").alias("__of"),
     )
     rows = start.unionByName(moves)
     keys = [*RUN, "label"]
     small = fits(rows, keys, group_rows, at_most)
-    if small:
-        rows = rows.repartition(*RUN)  # one shuffle serves the windows by label and by step
+    if at_most is not None and at_most * LABELS_AT_ONCE <= group_rows:
+        rows = rows.repartition(*RUN)  # runs are known to be short, so that one shuffle serves the windows by label and by step
     scanned = running_sums(
-        rows, keys, ["step"], {"__s": "__ln", "__m": "__p0"}, group_rows=group_rows, at_most=0 if small else group_rows + 1
+        rows, keys, ["step"], {"__s": "__ln", "__k": "__has", "__n": "__of"}, group_rows=group_rows, at_most=0 if small else group_rows + 1
     ).where(F.col("step") > 0)
+    # A label that the prior does not know has no mass.
+    scanned = scanned.withColumn("__s", F.when(F.col("__k") > 0, F.col("__s")).otherwise(F.lit(float("-inf"))))
     at_step = W.partitionBy(*RUN, "step")
-    previous = F.col("__s") - F.col("__ln")
+    previous = F.col("__s") - F.coalesce("__ln", F.lit(0.0))
     soft = lambda c: F.exp(c - F.max(c).over(at_step))
     out = scanned.withColumns({"__e": soft(F.col("__s")), "__f": soft(previous)})
     out = out.withColumns({"p": F.col("__e") / F.sum("__e").over(at_step), "__q": F.col("__f") / F.sum("__f").over(at_step)})
-    return out.withColumns({
+    whole = F.min((F.col("__k") > 0) & F.col("w").isNotNull()).over(at_step) & (F.count(F.lit(1)).over(at_step) == F.max("__n").over(at_step))
+    out = out.withColumns({
         "delta_p": F.max(F.abs(F.col("p") - F.col("__q"))).over(at_step),
-        "valid": F.sum("__m").over(at_step) > 1 - 1e-9,
-    }).select(*RUN, "step", "label", "ord", "c", "alpha", "w", "woe_bits", "p", "delta_p", "valid", F.col("__s").alias("log_p"))
+        "valid": whole & (F.max("__s").over(at_step) > float("-inf")),
+    })
+    return out.withColumns({c: F.when(F.col("valid"), F.col(c)) for c in ("p", "delta_p")}).select(*RUN, "step", "label", "ord", "c", "alpha", "w", "woe_bits", "p", "delta_p", "valid", F.col("__s").alias("log_p"))
 
 
 def step_facts(trajectory: DataFrame) -> DataFrame:

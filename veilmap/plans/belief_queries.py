@@ -151,11 +151,67 @@ def sequential_posterior(spark, sf):
     return t.select("subject_id", "level", "step", "label", *[rounded(c).alias(c) for c in ("w", "woe_bits", "p", "delta_p")])
 
 
+sql_view("broken_ratings", """
+  SELECT subject_id, level, step, event_id % 10 AS kind, label, CASE WHEN event_id % 10 = 7 AND ord = 1 THEN NULL ELSE c END AS c
+  FROM ratings WHERE NOT (event_id % 10 = 3 AND ord = 2)
+  UNION ALL SELECT subject_id, level, step, event_id % 10, 'Atlantis', 3 FROM ratings WHERE event_id % 10 = 5 AND ord = 0
+  UNION ALL SELECT subject_id, level, step, event_id % 10, label, c FROM ratings WHERE event_id % 10 = 8 AND ord = 4""")
+
+
+def broken_ratings(spark, sf):
+    """Ratings of which every tenth step lacks a label, has an unknown one, an unreadable one, or one twice."""
+    r = V.ratings(spark, sf).withColumn("c", F.col("c").cast("string"))
+    kind = F.col("event_id") % 10
+    kept = r.where(~((kind == 3) & (F.col("ord") == 2))).withColumn("c", F.when((kind == 7) & (F.col("ord") == 1), "unsure").otherwise(F.col("c")))
+    extra = r.where((kind == 5) & (F.col("ord") == 0)).withColumns({"label": F.lit("Atlantis"), "c": F.lit("3"), "ord": F.lit(9).cast(r.schema["ord"].dataType)})
+    twice = r.where((kind == 8) & (F.col("ord") == 4))
+    return kept.unionByName(extra).unionByName(twice)
+
+
 @query("step_errors", """
-  SELECT count(*) AS n_rows, 0::BIGINT AS n_invalid FROM trajectory""")
+  SELECT kind, count(*) AS n_steps, sum(invalid)::BIGINT AS n_invalid FROM (
+    SELECT b.subject_id, b.level, b.step, b.kind,
+           CASE WHEN bool_or(p.label IS NULL OR b.c IS NULL) OR count(*) <> (SELECT count(*) FROM region) THEN 1 ELSE 0 END AS invalid
+    FROM broken_ratings b LEFT JOIN priors p ON b.subject_id = p.subject_id AND b.level = p.level AND b.label = p.label GROUP BY ALL)
+  GROUP BY kind""")
 def step_errors(spark, sf):
-    t = V.trajectory(spark, sf)
-    return t.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~F.col("valid")).alias("n_invalid"))
+    """Steps that do not rate exactly the labels of their prior, by what was done to them."""
+    r = broken_ratings(spark, sf)
+    t = U.sequential_posterior(V.priors(spark, sf), r)
+    steps = t.groupBy("subject_id", "level", "step").agg(F.bool_and("valid").alias("valid"))
+    kinds = r.select("subject_id", "level", F.col("step").cast("bigint").alias("step"), (F.col("event_id") % 10).alias("kind")).distinct()
+    return steps.join(kinds, ["subject_id", "level", "step"]).groupBy("kind").agg(F.count(F.lit(1)).alias("n_steps"), F.count_if(~F.col("valid")).alias("n_invalid"))
+
+
+@query("rejected_ratings", """
+  SELECT event_id % 10 AS kind, count(*) AS n FROM ratings WHERE event_id % 10 = 7 AND ord = 1 GROUP BY ALL""")
+def rejected_ratings(spark, sf):
+    """Ratings that cannot be read, split off."""
+    return U.split_ratings(broken_ratings(spark, sf))[1].groupBy((F.col("event_id") % 10).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+sql_view("step_weights", """
+  SELECT subject_id, level, label, CASE WHEN subject_id % 7 = 3 THEN 0.0 ELSE pow(2.0, (ord + subject_id) % 3 - 1) END AS w
+  FROM priors WHERE NOT (subject_id % 7 = 1 AND ord = 0)
+  UNION ALL SELECT subject_id, level, 'Atlantis', 1.0 FROM priors WHERE subject_id % 7 = 2 AND ord = 0""")
+
+
+@query("bayes_step", """
+  SELECT subject_id, level, label, CASE WHEN error IS NULL THEN round(u / mass, 6) + 0.0 END AS p, error FROM (
+    SELECT *, CASE WHEN odd THEN 'support mismatch' WHEN coalesce(mass, 0) <= 0 THEN 'zero mass' END AS error FROM (
+      SELECT coalesce(p.subject_id, w.subject_id) AS subject_id, coalesce(p.level, w.level) AS level, coalesce(p.label, w.label) AS label, p.p * w.w AS u,
+             bool_or(p.p IS NULL OR w.w IS NULL) OVER g AS odd, sum(p.p * w.w) OVER g AS mass
+      FROM priors p FULL JOIN step_weights w ON p.subject_id = w.subject_id AND p.level = w.level AND p.label = w.label
+      WINDOW g AS (PARTITION BY coalesce(p.subject_id, w.subject_id), coalesce(p.level, w.level))))""")
+def bayes_step(spark, sf):
+    """One update of every prior; some weights lack a label, bring an unknown one, or are all zero."""
+    p = V.priors(spark, sf)
+    seventh = F.col("subject_id") % 7
+    w = F.when(seventh == 3, 0.0).otherwise(F.pow(F.lit(2.0), (F.col("ord") + F.col("subject_id")) % 3 - 1))
+    given = p.where(~((seventh == 1) & (F.col("ord") == 0))).select("subject_id", "level", "label", w.alias("w"))
+    extra = p.where((seventh == 2) & (F.col("ord") == 0)).select("subject_id", "level", F.lit("Atlantis").alias("label"), F.lit(1.0).alias("w"))
+    out = U.bayes_step(p, given.unionByName(extra), keys=("subject_id", "level"))
+    return out.select("subject_id", "level", "label", rounded("p").alias("p"), "error")
 
 
 @query("belief_events", "SELECT * FROM belief_event_rows")

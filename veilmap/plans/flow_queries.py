@@ -61,6 +61,27 @@ def parse_cues(spark, sf):
     )
 
 
+@query("split_cues", """
+  SELECT CASE event_id % 6 WHEN 0 THEN 'kept' WHEN 1 THEN 'no object' WHEN 2 THEN 'no name' WHEN 3 THEN 'no box' WHEN 4 THEN 'no array' ELSE 'no object' END AS what,
+         count(*) AS n, sum(CASE WHEN event_id % 6 = 4 THEN NULL ELSE 1 END)::BIGINT AS positions FROM events GROUP BY 1
+  UNION ALL SELECT 'kept', 2 * count(*), (0 + 2 * count(*))::BIGINT FROM events WHERE event_id % 6 IN (1, 2, 3, 5) HAVING count(*) > 0""")
+def split_cues(spark, sf):
+    """Arrays of a good cue, one odd element and another good cue: the odd one alone is rejected."""
+    e = V.table(spark, sf, "events").select("event_id")
+    form = F.col("event_id") % 6
+    good = F.concat(F.lit('{"name": "cue '), "event_id", F.lit('", "bbox": [1, 2, 3, 4]}'))
+    odd = (
+        F.when(form == 1, '"noise"').when(form == 2, '{"bbox": [1, 2, 3, 4]}').when(form == 3, '{"name": "x", "bbox": [1, "wide", 3, 4]}').when(form == 5, "[7]")
+    )
+    text = F.when(form == 0, F.concat(F.lit("["), good, F.lit("]"))).when(form == 4, good).otherwise(F.concat(F.lit("["), good, F.lit(", "), odd, F.lit(", "), good, F.lit("]")))
+    kept, rejected = P.split_cues(e.select(F.col("event_id").alias("subject_id"), text.alias("text")), "text")
+    what = kept.select("subject_id", F.lit("kept").alias("what"), "pos").unionByName(rejected.select("subject_id", F.col("reason").alias("what"), "pos"))
+    # Odd elements stand at place 1 of their array, good ones at 0 and 2.
+    alone = (F.col("what") == "kept") & (F.col("subject_id") % 6 != 0)
+    places = F.when(alone, F.col("pos")).when(F.col("subject_id") % 6 == 0, F.col("pos") + 1).otherwise(F.col("pos"))
+    return what.groupBy(alone.alias("__alone"), "what").agg(F.count(F.lit(1)).alias("n"), F.sum(places).alias("positions")).drop("__alone")
+
+
 # Sampling and resuming ---------------------------------------------------------------
 
 sql_view("shuffled_orders", """
@@ -160,6 +181,18 @@ def stream_posterior(spark, sf):
     return out.select("subject_id", "level", "label", rounded("p").alias("p"), "n_evidence")
 
 
+@query("stream_posterior_batches", """
+  SELECT subject_id, level, label, round(arg_max(p, step), 6) + 0.0 AS p, count(*) AS n_evidence FROM trajectory GROUP BY subject_id, level, label""")
+def stream_posterior_batches(spark, sf):
+    """The same over micro-batches that each bring the ratings of a few labels only."""
+    base = scratch_path(spark, "posterior-batches")
+    V.ratings(spark, sf).repartition(5, "ord").write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{base}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    X.run_available(X.stream_posterior(stream, V.priors(spark, sf), f"{base}/out", f"{base}/checkpoint"))
+    out = X.latest_posterior(spark, f"{base}/out")
+    return out.select("subject_id", "level", "label", rounded("p").alias("p"), "n_evidence")
+
+
 def _trajectory_stream(spark, sf) -> str:
     base = scratch_path(spark, "trajectory")
     regions = V.table(spark, sf, "region")

@@ -15,6 +15,7 @@ def local_session(cores: int | str = 8, name: str = "veilmap") -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
@@ -29,7 +30,8 @@ def durable_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written intermediates.
 
     The cluster names it in ``spark.checkpoint.dir``; a temporary one is used
-    only where that setting is missing (tests).
+    only where that setting is missing and all executors are on this machine
+    (tests). Elsewhere a missing setting is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -37,6 +39,8 @@ def durable_dir(spark: SparkSession) -> str:
     else:
         base = spark.sparkContext.getCheckpointDir()
         if base is None:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)

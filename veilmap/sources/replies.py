@@ -44,18 +44,33 @@ def parse_replies(df: DataFrame, text: str, schema: str) -> tuple[DataFrame, Dat
     return out.where(F.col("parsed").isNotNull()), out.where(F.col("parsed").isNull()).drop("parsed")
 
 
-def parse_cues(df: DataFrame, text: str, *, keys=("subject_id",)) -> DataFrame:
-    """Cue rows from JSON arrays: rows without a name or four numeric box values
-    are dropped; category defaults to 'other', confidence to 0."""
-    item = "name string, cue string, bbox array<string>, category string, segment_query string, reasoning string, confidence string"
-    items = F.from_json(text, f"array<struct<{', '.join(p.replace(' ', ':', 1) for p in item.split(', '))}>>")
-    each = df.select(*keys, F.posexplode(items).alias("pos", "e"))
+def split_cues(df: DataFrame, text: str, *, keys=("subject_id",)) -> tuple[DataFrame, DataFrame]:
+    """(cue rows, rejected elements) of replies that are JSON arrays.
+
+    Every element is read by itself: one that is no object, or has no name or no four numeric box values, is rejected
+    with its text and a reason and takes no other with it. A reply that is no array is rejected as a whole (pos null).
+    Category defaults to 'other', confidence to 0.
+    """
+    fields = "name:string,cue:string,bbox:array<string>,category:string,segment_query:string,reasoning:string,confidence:string"
+    parsed = df.select(*keys, F.col(text).alias("element"), F.expr(f"try_variant_get(try_parse_json(`{text}`), '$', 'array<variant>')").alias("__a"))
+    whole = parsed.where(F.col("__a").isNull()).select(*keys, F.lit(None).cast("int").alias("pos"), "element", F.lit("no array").alias("reason"))
+    each = parsed.where(F.col("__a").isNotNull()).select(*keys, F.posexplode("__a").alias("pos", "__v"))
+    is_object = F.coalesce(F.schema_of_variant("__v").startswith("OBJECT"), F.lit(False))
+    each = each.withColumn("element", F.to_json("__v")).withColumn("e", F.when(is_object, F.from_json("element", f"struct<{fields}>")))
     box = F.transform("e.bbox", lambda v: v.try_cast("double"))
     name = F.coalesce(F.nullif(F.col("e.name"), F.lit("")), F.nullif(F.col("e.cue"), F.lit("")))
     rows = each.select(
-        *keys, "pos", name.alias("cue"), F.coalesce("e.category", F.lit("other")).alias("category"), box.alias("bbox"),
-        F.trim(F.coalesce("e.segment_query", F.lit(""))).alias("segment_query"), F.coalesce("e.reasoning", F.lit("")).alias("reasoning"),
+        *keys, "pos", "element", F.col("e").isNotNull().alias("__object"), name.alias("cue"), F.coalesce("e.category", F.lit("other")).alias("category"),
+        box.alias("bbox"), F.trim(F.coalesce("e.segment_query", F.lit(""))).alias("segment_query"), F.coalesce("e.reasoning", F.lit("")).alias("reasoning"),
         F.coalesce(F.col("e.confidence").try_cast("double"), F.lit(0.0)).alias("confidence"),
     )
-    kept = rows.where(F.col("cue").isNotNull() & (F.size("bbox") == 4) & ~F.exists("bbox", lambda v: v.isNull()))
-    return kept.withColumn("is_text", F.col("category") == "text/signage")
+    boxed = F.coalesce((F.size("bbox") == 4) & ~F.exists("bbox", lambda v: v.isNull()), F.lit(False))
+    reason = F.when(~F.col("__object"), "no object").when(F.col("cue").isNull(), "no name").when(~boxed, "no box")
+    rows = rows.withColumn("reason", reason)
+    kept = rows.where(F.col("reason").isNull()).drop("reason", "element", "__object").withColumn("is_text", F.col("category") == "text/signage")
+    return kept, rows.where(F.col("reason").isNotNull()).select(*keys, "pos", "element", "reason").unionByName(whole)
+
+
+def parse_cues(df: DataFrame, text: str, *, keys=("subject_id",)) -> DataFrame:
+    """The cue rows alone."""
+    return split_cues(df, text, keys=keys)[0]

@@ -9,6 +9,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 
+def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table in a folder; None where there is no folder or nothing has been written to it."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def missing(keys: DataFrame, done: DataFrame, on: Sequence[str]) -> DataFrame:
     """Keys that have no result yet."""
     return keys.join(done.select(*on), list(on), "left_anti")
@@ -19,16 +29,15 @@ def append_missing(
 ) -> DataFrame:
     """Compute and append only what is not in ``path`` yet; returns the whole table.
 
-    Results are appended in one commit per call, never rewritten.
+    Results are appended in one commit per call, never rewritten. A stored table without the key columns, or with
+    other columns than the results, is an error.
     """
     spark: SparkSession = keys.sparkSession
-    todo = keys
-    try:
-        # The schema of the stored table is read back, so an empty or absent folder means nothing is done.
-        todo = missing(keys, spark.read.parquet(path), on)
-    except AnalysisException:
-        pass
-    writer = compute(todo).write.mode("append")
+    stored = read_if_there(spark, path)
+    fresh = compute(keys if stored is None else missing(keys, stored, on))
+    if stored is not None and set(stored.columns) != set(fresh.columns):
+        raise ValueError(f"the table in {path} has the columns {sorted(stored.columns)}, the results have {sorted(fresh.columns)}")
+    writer = fresh.write.mode("append")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.parquet(path)
 

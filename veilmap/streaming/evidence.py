@@ -14,12 +14,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.utils import AnalysisException
 
-from ..functions.columns import support_weight
+from ..functions.columns import readable_rating, support_weight
 from ..operators.beliefs import softmax
 from ..operators.scale import row_numbers
 from ..operators.updating import belief_events, sequential_posterior, step_facts
+from ..sources.sinks import read_if_there
 
 
 def run_available(writer: DataStreamWriter) -> None:
@@ -28,16 +28,44 @@ def run_available(writer: DataStreamWriter) -> None:
     query.awaitTermination()
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+class Generations:
+    """The latest row of each key over micro-batches, in folders.
+
+    A batch writes the rows it changed; every ``every`` batches a snapshot of all keys is written too. So a read takes
+    one snapshot and the few changes after it, however long the stream has run, and a repeated batch overwrites its own
+    folders. Folders older than the last snapshot can be removed at any time.
+    """
+
+    def __init__(self, path: str, keys: list[str], every: int = 10):
+        self.path, self.keys, self.every = path, keys, every
+
+    def before(self, spark: SparkSession, batch: int | None = None) -> DataFrame | None:
+        """The state before a batch, or now."""
+        until = F.lit(True) if batch is None else F.col("batch") < batch
+        snapshots, changes = (read_if_there(spark, f"{self.path}/{kind}") for kind in ("snapshot", "changes"))
+        base, rows = -1, None if changes is None else changes.where(until)
+        if snapshots is not None:
+            base = snapshots.where(until).agg(F.max("batch")).first()[0]  # from folder names
+            base = -1 if base is None else base
+        if rows is None:
+            return None
+        rows = rows.where(F.col("batch") > base)
+        if base >= 0:
+            rows = rows.unionByName(snapshots.where(F.col("batch") == base))
+        values = [c for c in rows.columns if c not in (*self.keys, "batch")]
+        newest = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*values), "batch").alias("__v"))
+        return newest.select(*self.keys, "__v.*")
+
+    def write(self, rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/changes/batch={batch}")
+        if batch % self.every == self.every - 1:
+            self.before(rows.sparkSession, batch + 1).write.mode("overwrite").parquet(f"{self.path}/snapshot/batch={batch}")
 
 
 def log_sums(stream: DataFrame) -> DataFrame:
-    """Running evidence per hypothesis; works on a stream and on a table."""
-    return stream.groupBy("subject_id", "level", "ord", "label").agg(
+    """Running evidence per hypothesis; works on a stream and on a table. Ratings that cannot be read are left out
+    (``operators.updating.split_ratings`` gives them as a stream of their own)."""
+    return stream.where(readable_rating("c", "alpha")).groupBy("subject_id", "level", "ord", "label").agg(
         F.sum(F.log(support_weight("c", "alpha"))).alias("log_w"), F.count(F.lit(1)).alias("n_evidence")
     )
 
@@ -54,19 +82,34 @@ def posterior_of(sums: DataFrame, priors: DataFrame) -> DataFrame:
 
 
 def stream_posterior(stream: DataFrame, priors: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Writes the posterior of every subject a micro-batch touched, one folder per batch."""
+    """Keeps log sums and the posterior of every subject and level; read it with ``latest_posterior``.
+
+    A micro-batch brings only the hypotheses it touched; they are put beside the stored sums of the others before the
+    posterior is normalised.
+    """
+    totals, posterior = _sums(path), _posterior(path)
 
     def write(sums: DataFrame, batch: int) -> None:
-        posterior_of(sums, priors).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        totals.write(sums, batch)
+        spark = sums.sparkSession
+        touched = read_if_there(spark, f"{path}/sums/changes/batch={batch}").select("subject_id", "level").distinct()
+        now = totals.before(spark, batch + 1).join(touched, ["subject_id", "level"], "left_semi")
+        posterior.write(posterior_of(now, priors), batch)
 
     return log_sums(stream).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
 
 
+def _sums(path: str) -> Generations:
+    return Generations(f"{path}/sums", ["subject_id", "level", "ord", "label"])
+
+
+def _posterior(path: str) -> Generations:
+    return Generations(f"{path}/posterior", ["subject_id", "level", "ord", "label"])
+
+
 def latest_posterior(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.parquet(path)
-    keys = ["subject_id", "level", "ord", "label"]
-    last = F.max_by(F.struct("p", "n_evidence"), "batch")
-    return rows.groupBy(*keys).agg(last.alias("__l")).select(*keys, "__l.p", "__l.n_evidence")
+    """The posterior as of the last finished micro-batch."""
+    return _posterior(path).before(spark)
 
 
 def stream_trajectory(
@@ -77,26 +120,24 @@ def stream_trajectory(
     ``events(user_id, ts, event_id, level)`` arrive as a stream; ``rate`` turns
     numbered events into ratings. Each batch orders its own rows, continues the
     stored step numbers and log sums, and writes trajectory, state and events to
-    its own folders, so a repeated batch overwrites itself.
+    its own folders, so a repeated batch overwrites itself. Of the past only the
+    current state is read, not the history.
     """
     keys = ["subject_id", "level"]
-
-    def before(spark: SparkSession, kind: str, batch: int) -> DataFrame | None:
-        stored = _stored(spark, f"{path}/{kind}")
-        return None if stored is None else stored.where(F.col("batch") < batch)
+    held = Generations(f"{path}/state", [*keys, "label"])
+    crossed = Generations(f"{path}/crossed", ["subject_id", "type"])
 
     def step(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
         numbered = row_numbers(rows, ["user_id"], ["ts", "event_id"], "step")
-        state = before(spark, "state", batch)
+        state = held.before(spark, batch)
         start = priors.select(*keys, "ord", "label", "p")
         start = start.withColumn("log_p", F.when(F.col("p") > 0, F.log("p")).otherwise(F.lit(float("-inf"))))
         if state is not None:
             offset = state.groupBy(F.col("subject_id").alias("user_id")).agg(F.max("step").alias("__o"))
             numbered = numbered.join(offset, "user_id", "left").withColumn("step", F.col("step") + F.coalesce("__o", F.lit(0))).drop("__o")
-            last = F.max_by(F.struct("p", "log_p"), "batch")
-            held = state.groupBy(*keys, "label").agg(last.alias("__s"))
-            start = start.join(held, [*keys, "label"], "left").select(
+            known = state.select(*keys, "label", F.struct("p", "log_p").alias("__s"))
+            start = start.join(known, [*keys, "label"], "left").select(
                 *keys, "ord", "label", F.coalesce("__s.p", "p").alias("p"), F.coalesce("__s.log_p", "log_p").alias("log_p")
             )
         rated = rate(numbered)
@@ -105,12 +146,13 @@ def stream_trajectory(
         out.write.mode("overwrite").parquet(f"{path}/trajectory/batch={batch}")
         done = spark.read.parquet(f"{path}/trajectory/batch={batch}")
         ends = done.groupBy(*keys, "label").agg(F.max_by(F.struct("step", "p", "log_p"), "step").alias("e")).select(*keys, "label", "e.*")
-        ends.write.mode("overwrite").parquet(f"{path}/state/batch={batch}")
+        held.write(ends, batch)
         found = belief_events(step_facts(done))
-        earlier = before(spark, "events", batch)
+        earlier = crossed.before(spark, batch)
         if earlier is not None:
-            crossed = earlier.where(F.col("type") == "threshold_crossed").select("subject_id", "type").distinct()
-            found = found.join(crossed, ["subject_id", "type"], "left_anti")
+            found = found.join(earlier.select("subject_id", "type"), ["subject_id", "type"], "left_anti")
+        once = found.where(F.col("type") == "threshold_crossed")
+        crossed.write(once.groupBy("subject_id", "type").agg(F.min("step").alias("step")), batch)
         found.select("subject_id", "level", "step", "type").write.mode("overwrite").parquet(f"{path}/events/batch={batch}")
 
     return events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step)
@@ -126,9 +168,11 @@ def window_evidence(stream: DataFrame, size: str, watermark: str, slide: str | N
 
 
 def session_evidence(stream: DataFrame, gap: str, watermark: str) -> DataFrame:
-    """Evidence of one subject until it pauses for ``gap``."""
-    # Sessions are merged within each map task first, so a busy subject sends few rows.
-    stream.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+    """Evidence of one subject until it pauses for ``gap``.
+
+    With spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition, which the session sets, sessions are
+    merged within each map task first, so that a busy subject sends few rows.
+    """
     out = stream.withWatermark("ts", watermark).groupBy(F.session_window("ts", gap).alias("w"), "subject_id").agg(F.count(F.lit(1)).alias("n"))
     return out.select("subject_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
@@ -144,7 +188,7 @@ def append_once(stream: DataFrame, path: str, checkpoint: str, on: list[str]) ->
     def write(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
         fresh = rows.dropDuplicates(on)
-        stored = _stored(spark, path)
+        stored = read_if_there(spark, path)
         if stored is not None:
             fresh = fresh.join(stored.where(F.col("batch") < batch).select(*on), on, "left_anti")
         fresh.write.mode("overwrite").parquet(f"{path}/batch={batch}")
