@@ -119,3 +119,27 @@ def test_degenerate_and_maskable(spark):
     for limit in (100, 0):
         kept = Q.maskable_cues(out, ["pos"], group_rows=limit).collect()
         assert sorted((r["pos"], r["cue_idx"]) for r in kept) == [(1, 0), (3, 1)]
+
+
+def test_frames_per_image(spark):
+    """Subjects with frames of their own size: the same as each size by itself."""
+    rng = np.random.default_rng(9)
+    runs, sizes = [], {0: (40, 30), 1: (70, 20), 2: (40, 30), 3: (25, 60)}
+    for s, (w, h) in sizes.items():
+        for c in range(3):
+            y, x = int(rng.integers(0, h - 5)), int(rng.integers(0, w - 8))
+            runs += [(s, c, y + i, x, x + 6, w, h) for i in range(4)]
+    rows = spark.createDataFrame(runs, "subject_id int, cue_idx int, y int, x1 int, x2 int, w int, h int")
+    key = F.col("subject_id") * 31 + F.col("cue_idx") * 17
+    got = sorted(map(tuple, M.place_controls(rows, "w", "h", 2, key=key).collect()))
+    want = [tuple(r) for w, h in set(sizes.values()) for r in M.place_controls(rows.where((F.col("w") == w) & (F.col("h") == h)), w, h, 2, key=key).collect()]
+    assert got == sorted(want) and len(got) == 24
+    moved = M.translate(rows, F.lit(10), F.lit(0), "w", "h").collect()
+    assert all(r["x2"] <= r["w"] for r in moved) and len(moved) <= len(runs)
+
+
+def test_masks_of_another_size_are_not_united(spark):
+    masks = spark.createDataFrame([(1, 0, 0, 2, 4, [0, 8]), (1, 0, 1, 4, 2, [0, 8]), (2, 0, 0, 2, 4, [8])], "subject_id int, cue_idx int, inst_idx int, h int, w int, counts array<int>")
+    kept, dropped = M.of_frame(masks, spark.createDataFrame([(1, 2, 4)], "subject_id int, h int, w int"))
+    assert [(r["subject_id"], r["inst_idx"]) for r in kept.collect()] == [(1, 0)]
+    assert sorted((r["subject_id"], r["inst_idx"]) for r in dropped.collect()) == [(1, 1), (2, 0)]

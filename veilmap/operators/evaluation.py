@@ -124,3 +124,9 @@ def terms(df: DataFrame, text: str, *, stop=CUE_STOP_WORDS, min_length: int = 3,
 def worst_risk(df: DataFrame, *, keys: Sequence[str] = ("subject_id",)) -> DataFrame:
     rank = F.when(F.col("risk") == "high", 3).when(F.col("risk") == "medium", 2).when(F.col("risk") == "low", 1).otherwise(0)
     return df.groupBy(*keys).agg(F.max_by("risk", rank).alias("risk"))
+
+
+def confidence_level(confidence: str) -> Column:
+    """Confidence given in words: high, medium or low, whatever the case and blanks; anything else is other."""
+    word = F.lower(F.trim(confidence))
+    return F.when(word.isin("high", "medium", "low"), word).otherwise("other")

@@ -37,6 +37,22 @@ def decode(masks: DataFrame, *, keys: Sequence[str] = INSTANCE) -> DataFrame:
     return runs.where(F.col("start") < F.col("end"))
 
 
+def of_frame(masks: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(masks of their image's size, the others): ``images(subject_id, h, w)`` says what the size is.
+
+    Only masks of one size may be united, so this comes before ``decode``.
+    """
+    size = images.select("subject_id", F.col("h").alias("__h"), F.col("w").alias("__w"))
+    joined = masks.join(size, "subject_id", "left")
+    fits = F.coalesce((F.col("h") == F.col("__h")) & (F.col("w") == F.col("__w")), F.lit(False))
+    return joined.where(fits).drop("__h", "__w"), joined.where(~fits).drop("__h", "__w")
+
+
+def _size(x: int | str | Column) -> Column:
+    """A frame side: a number, or a column of the rows."""
+    return F.col(x) if isinstance(x, str) else x if isinstance(x, Column) else F.lit(x)
+
+
 def encode(runs: DataFrame, *, keys: Sequence[str] = INSTANCE, frames: DataFrame | None = None) -> DataFrame:
     """Linear runs -> run-length counts; touching runs are joined first.
 
@@ -106,21 +122,19 @@ def area(cells: DataFrame, *, keys: Sequence[str] = CUE) -> DataFrame:
 
 def coverage(rows: DataFrame, width: int | Column, height: int | Column, *, keys: Sequence[str] = CUE) -> DataFrame:
     """Union area over frame area, overlaps counted once."""
-    w = width if isinstance(width, Column) else F.lit(width)
-    h = height if isinstance(height, Column) else F.lit(height)
-    return area(words(rows, keys=keys), keys=keys).withColumn("cov", F.col("area") / (w * h))
+    return area(words(rows, keys=keys), keys=keys).withColumn("cov", F.col("area") / (_size(width) * _size(height)))
 
 
-def translate(rows: DataFrame, dx: str | Column, dy: str | Column, width: int, height: int) -> DataFrame:
-    """Shift row runs; what leaves the frame is clipped."""
+def translate(rows: DataFrame, dx: str | Column, dy: str | Column, width: int | str | Column, height: int | str | Column) -> DataFrame:
+    """Shift row runs; what leaves the frame is clipped. The frame's sides are numbers or columns."""
     dx = F.col(dx) if isinstance(dx, str) else dx
     dy = F.col(dy) if isinstance(dy, str) else dy
     moved = rows.withColumns({
         "y": F.col("y") + dy,
         "x1": F.greatest(F.col("x1") + dx, F.lit(0)),
-        "x2": F.least(F.col("x2") + dx, F.lit(width)),
+        "x2": F.least(F.col("x2") + dx, _size(width)),
     })
-    return moved.where((F.col("y") >= 0) & (F.col("y") < height) & (F.col("x1") < F.col("x2")))
+    return moved.where((F.col("y") >= 0) & (F.col("y") < _size(height)) & (F.col("x1") < F.col("x2")))
 
 
 def overlap(a: DataFrame, b: DataFrame, *, keys: Sequence[str] = CUE, on: Sequence[str] = ("subject_id",)) -> DataFrame:
@@ -177,7 +191,7 @@ def _place_slice(keys, cue, everything, width, height, n, tries):
 
 
 def place_controls(
-    cue_rows: DataFrame, width: int, height: int, n: int, *, key: Column | None = None, tries: int = 40, seed: int = 42
+    cue_rows: DataFrame, width: int | str, height: int | str, n: int, *, key: Column | None = None, tries: int = 40, seed: int = 42
 ) -> DataFrame:
     """Equal-area control placements per cue: (keys, placement, dx, dy, overlap, overlap_frac).
 
@@ -187,14 +201,32 @@ def place_controls(
     also the first without overlap.
 
     The packed words of a cue and of a subject's union are bounded by the frame.
+    ``width`` and ``height`` are numbers, or columns of ``cue_rows`` that hold the
+    size of the subject's frame.
     """
+    cue_rows = cue_rows.withColumns({"__fw": _size(width).cast("int"), "__fh": _size(height).cast("int")})
+    sized = isinstance(width, str) or isinstance(height, str)
     cue = words(cue_rows, keys=CUE)
     everything = _word_lists(merge_words(cue, keys=("subject_id",)), ["subject_id"], "u_")
     each = _word_lists(cue, list(CUE), "c_").join(everything, "subject_id")
+    if sized:
+        each = each.join(cue_rows.groupBy("subject_id").agg(F.max("__fw").alias("__fw"), F.max("__fh").alias("__fh")), "subject_id")
+    else:
+        each = each.withColumns({"__fw": F.lit(width), "__fh": F.lit(height)})
     draw = key if key is not None else F.pmod(F.xxhash64(F.lit(seed), *CUE), F.lit(1 << 31))
 
     @F.arrow_udf("array<struct<placement:int,dx:int,dy:int,overlap:bigint,area:bigint>>")
-    def place(keys: pa.Array, cy: pa.Array, cw: pa.Array, cb: pa.Array, uy: pa.Array, uw: pa.Array, ub: pa.Array) -> pa.Array:
+    def place(keys: pa.Array, fw: pa.Array, fh: pa.Array, cy: pa.Array, cw: pa.Array, cb: pa.Array, uy: pa.Array, uw: pa.Array, ub: pa.Array) -> pa.Array:
+        # Frames of one size go through together.
+        size = np.stack([fw.to_numpy(zero_copy_only=False), fh.to_numpy(zero_copy_only=False)], axis=1).astype(np.int64)
+        order, parts = np.lexsort((size[:, 1], size[:, 0])), []
+        for rows in np.split(order, np.flatnonzero((np.diff(size[order], axis=0) != 0).any(axis=1)) + 1) if len(order) else []:
+            parts.append(placed_in(*size[rows[0]].tolist(), *(a.take(pa.array(rows)) for a in (keys, cy, cw, cb, uy, uw, ub))))
+        if not parts:
+            return placed_in(1, 1, keys, cy, cw, cb, uy, uw, ub)
+        return pa.concat_arrays(parts).take(pa.array(np.argsort(order)))
+
+    def placed_in(width: int, height: int, keys: pa.Array, cy: pa.Array, cw: pa.Array, cb: pa.Array, uy: pa.Array, uw: pa.Array, ub: pa.Array) -> pa.Array:
         def side(y: pa.Array, word: pa.Array, bits: pa.Array):
             flat = [a.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for a in (y, word, bits)]
             return np.repeat(np.arange(len(y)), y.value_lengths().to_numpy(zero_copy_only=False)), *flat
@@ -215,7 +247,7 @@ def place_controls(
         )
         return pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * n, structs)
 
-    placed = each.select(*CUE, F.explode(place(draw, "c_y", "c_word", "c_bits", "u_y", "u_word", "u_bits")).alias("p"))
+    placed = each.select(*CUE, F.explode(place(draw, "__fw", "__fh", "c_y", "c_word", "c_bits", "u_y", "u_word", "u_bits")).alias("p"))
     return placed.select(
         *CUE, "p.placement", "p.dx", "p.dy", "p.overlap", "p.area",
         (F.col("p.overlap") / F.greatest(F.col("p.area"), F.lit(1))).alias("overlap_frac"),
