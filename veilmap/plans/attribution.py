@@ -9,7 +9,7 @@ from ..functions.columns import full_mask, mask_indices
 from ..operators import beliefs as B
 from ..operators import lattice as L
 from ..operators import leakage as K
-from ..operators import scoring
+from ..operators import reports, scoring
 from ..operators.geometry import clusters, pairs
 from ..operators.scale import percentiles, summarise
 from ..session import checkpointed
@@ -467,21 +467,23 @@ def noise_floor(spark, sf):
     noise = ((F.col("subject_id") * 7 + F.col("run") * 13 + F.col("ord") * 29 + shift) % 11 - 5) / F.lit(1000.0)
     keys = ("subject_id", "cond", "run")
     wide = B.to_wide(B.normalise(runs.withColumn("e", F.col("p") * F.exp(noise)), "e", keys), keys=keys)
-    # A subject has 2 x RUNS runs: they are paired inside one row instead of by a self join.
-    per = wide.groupBy("subject_id").agg(F.collect_list(F.struct("cond", "run", "p")).alias("runs"))
-    a, z = F.col("a"), F.col("z")
-    pairs_ = per.select("subject_id", "runs", F.explode("runs").alias("a")).select("subject_id", "a", F.explode("runs").alias("z")).where(
-        ((a.cond == z.cond) & (a.run < z.run)) | ((a.cond == "masked") & (z.cond == "full"))
-    )
-    x = K.mpl(pairs_, V.geometry_small(spark, sf), prior=F.col("a.p"), post=F.col("z.p")).select(
-        "subject_id", (a.cond == z.cond).alias("noise"), F.col("leak.mean").alias("x")
-    )
-    own = W.partitionBy("subject_id")  # at most (2 RUNS)^2 rows
-    x = x.withColumn("floor", F.max(F.when(F.col("noise"), F.col("x"))).over(own)).where(~F.col("noise"))
-    out = x.groupBy("subject_id").agg(
-        F.max("floor").alias("f"), F.percentile("x", F.lit(0.5)).alias("s"), F.avg((F.col("x") > F.col("floor")).cast("double")).alias("above")
-    )
-    return out.select("subject_id", rounded("f").alias("noise_floor"), rounded("s").alias("signal_median"), rounded(F.col("s") / F.col("f"), 4).alias("snr"), rounded("above").alias("share_above"))
+    out = reports.noise_floor(wide, V.geometry_small(spark, sf))
+    return out.select("subject_id", *[rounded(c).alias(c) for c in ("noise_floor", "signal_median")], rounded("snr", 4).alias("snr"), rounded("share_above").alias("share_above"))
+
+
+@query("noise_free_floor", """
+  SELECT subject_id, 0.0::DOUBLE AS noise_floor, s.x > 0 AS above_nothing FROM (
+    SELECT a.subject_id, avg(abs(ln(a.full_p / a.p) - ln(b.full_p / b.p)) / d) AS x FROM pairs_small q
+    JOIN (SELECT f.subject_id, f.ord, f.p AS full_p, m.p FROM beliefs f JOIN beliefs m ON f.subject_id = m.subject_id AND f.ord = m.ord AND f.mask = 0 AND m.mask = (1 << m.m) - 1) a ON a.ord = q.i
+    JOIN (SELECT f.subject_id, f.ord, f.p AS full_p, m.p FROM beliefs f JOIN beliefs m ON f.subject_id = m.subject_id AND f.ord = m.ord AND f.mask = 0 AND m.mask = (1 << m.m) - 1) b ON b.ord = q.j AND a.subject_id = b.subject_id
+    GROUP BY a.subject_id) s""")
+def noise_free_floor(spark, sf):
+    """A scorer that repeats itself exactly: the floor is zero, and the ratio stays finite."""
+    b = V.wide_beliefs(spark, sf, every_mask=False).where(F.col("mask") > 0)
+    both = F.array(F.struct(F.lit("full").alias("cond"), F.col("full").alias("p")), F.struct(F.lit("masked").alias("cond"), F.col("p").alias("p")))
+    runs = b.select("subject_id", F.inline(both)).withColumn("run", F.explode(F.array(F.lit(0), F.lit(1))))
+    out = reports.noise_floor(runs, V.geometry_small(spark, sf))
+    return out.select("subject_id", rounded("noise_floor").alias("noise_floor"), ((F.col("snr") > 0) & (F.col("snr") < float("inf"))).alias("above_nothing"))
 
 
 @query("competitive_subset", """
@@ -489,9 +491,7 @@ def noise_floor(spark, sf):
     SELECT subject_id, label, row_number() OVER (PARTITION BY subject_id ORDER BY CASE WHEN ord = truth THEN 0 ELSE 1 END, p DESC, ord) - 1 AS rank
     FROM beliefs JOIN subjects USING (subject_id) WHERE mask = 0) WHERE rank < 5""")
 def competitive_subset(spark, sf):
-    b = V.long_beliefs(spark, sf, every_mask=False).where(F.col("mask") == 0)
-    order = W.partitionBy("subject_id").orderBy((F.col("ord") != F.col("truth")).cast("int"), F.col("p").desc(), "ord")
-    return b.select("subject_id", "label", (F.row_number().over(order) - 1).alias("rank")).where(F.col("rank") < 5)
+    return reports.competitive_subset(V.long_beliefs(spark, sf, every_mask=False).where(F.col("mask") == 0))
 
 
 def method_rows(spark, sf):
@@ -529,15 +529,7 @@ def method_comparison(spark, sf):
     long = rows.select("method", "subject_id", "truth", "mpl", F.posexplode(F.arrays_zip("full", "p")).alias("pos", "z"))
     g = V.gallery_small(spark, sf).select("pos", "ord", "label")
     long = long.join(F.broadcast(g), "pos").select("method", "subject_id", "truth", "mpl", "ord", F.col("z.full").alias("pf"), F.col("z.p").alias("pm"))
-    own = F.col("ord") == F.col("truth")
-    per = long.groupBy("method", "subject_id").agg(
-        F.max("mpl").alias("mpl"),
-        (1.0 + F.sum(F.col("pf") * F.log2(F.col("pf") + 1e-12)) / F.log2(F.count(F.lit(1)))).alias("conc"),
-        (0.5 * F.sum(F.abs(F.col("pf") - F.col("pm")))).alias("tv"),
-        F.max(F.when(own, F.struct("pf", "pm"))).alias("t"),
-        F.max_by(F.struct("pf", "pm"), F.when(~own, F.struct(F.col("pf"), -F.col("ord")))).alias("d"),
-    )
-    per = per.withColumn("dlo", F.log(F.col("t.pm") / F.col("d.pm")) - F.log(F.col("t.pf") / F.col("d.pf")))
+    per = reports.method_effects(long)
     out = summarise(
         per, ["method"],
         [F.count(F.lit(1)).alias("n"), F.count_if(F.col("dlo") < 0).alias("n_negative"), F.count_if(F.col("mpl") > 1e-6).alias("n_nonzero")],
@@ -601,9 +593,6 @@ def merge_radius_sweep(spark, sf):
     for km in (1.0, 4000.0):
         one = clusters(g, km).withColumn("km", F.lit(km))
         maps = one if maps is None else maps.unionByName(one)
-    maps = F.broadcast(maps)  # radii x gallery labels
     b = V.long_beliefs(spark, sf, every_mask=False).where(F.col("mask") > 0)
-    merged = b.join(maps, "label").groupBy("km", "subject_id", "rep").agg(F.sum("p").alias("p"), F.sum("full").alias("full"))
-    per = merged.groupBy("km", "subject_id").agg((B.entropy("p") - B.entropy("full")).alias("drop"), F.count(F.lit(1)).alias("k"))
-    out = per.groupBy("km").agg(F.max("k").alias("n_clusters"), F.avg("drop").alias("d"), F.count(F.lit(1)).alias("n"))
-    return out.select("km", "n_clusters", rounded("d").alias("mean_entropy_drop"), "n")
+    out = reports.entropy_drops(b, maps)
+    return out.select("km", "n_clusters", rounded("drop").alias("mean_entropy_drop"), "n")
