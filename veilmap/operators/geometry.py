@@ -151,25 +151,33 @@ def nearest_labels(queries: DataFrame, pool: DataFrame, k: int) -> DataFrame:
     same_place = W.partitionBy("lat", "lon").orderBy("ord")
     # No query needs more than k + 1 labels of one site (one may be the truth itself).
     unique = unique.withColumn("__r", F.row_number().over(same_place)).where(F.col("__r") <= k + 1).drop("__r")
+    unique = checkpointed(unique)  # read by every grid below
     grids = F.explode(F.sequence(F.lit(0), F.lit(GRIDS - 1))).alias("grid")
     km = F.pow(F.lit(4.0), F.col("grid"))
     placed = with_cell(unique.select("*", grids), km)
     crowded = placed.groupBy("grid", "band", "cell").count().where(F.col("count") > k).drop("count")
     own = with_cell(queries.select("label", "lat", "lon", grids), km).join(crowded, ["grid", "band", "cell"], "left_semi")
     chosen = queries.select("label", "lat", "lon").join(own.groupBy("label").agg(F.min("grid").alias("grid")), "label", "left")
-    # A query whose widest cell holds too few labels searches everywhere: grid -1 has one cell for the whole pool.
-    everywhere = [F.lit(-1).alias("grid"), F.lit(0).cast("bigint").alias("band"), F.lit(0).cast("bigint").alias("cell")]
-    points = placed.unionByName(unique.select("*", *everywhere))
+    chosen = checkpointed(chosen)
     spread = with_cover(chosen.where(F.col("grid").isNotNull()), km).select("label", "lat", "lon", "grid", "band", "cell")
-    probes = spread.unionByName(chosen.where(F.col("grid").isNull()).select("label", "lat", "lon", *everywhere))
-    near = probes.withColumnsRenamed({"label": "truth", "lat": "tlat", "lon": "tlon"}).join(points, ["grid", "band", "cell"])
-    near = near.where(F.col("label") != F.col("truth")).withColumn("d", haversine_km("tlat", "tlon", "lat", "lon"))
-    order = W.partitionBy("truth").orderBy("d", "ord")
-    return (
-        near.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-        .select(F.col("truth").alias("label"), F.col("label").alias("negative"), "rank", "d")
-    )
+    nearby = _ranked(spread, placed, ["grid", "band", "cell"], ["truth"], k)
+    # A query whose widest cell holds too few labels searches everywhere: in each of many shares of the pool, then among their best.
+    parts = int(unique.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = unique.withColumn("share", F.pmod(F.xxhash64("label"), F.lit(parts)))
+    lost = chosen.where(F.col("grid").isNull()).select("label", "lat", "lon", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))).alias("share"))
+    best = _ranked(lost, shares, ["share"], ["truth", "share"], k)
+    best = best.withColumn("rank", F.row_number().over(W.partitionBy("truth").orderBy("d", "ord"))).where(F.col("rank") <= k)
+    columns = [F.col("truth").alias("label"), F.col("label").alias("negative"), "rank", "d"]
+    return nearby.select(*columns).unionByName(best.select(*columns))
+
+
+def _ranked(probes: DataFrame, points: DataFrame, on: list[str], keys: list[str], k: int) -> DataFrame:
+    """The k nearest points of every probe among those that share the columns of ``on``."""
+    named = probes.withColumnsRenamed({"label": "truth", "lat": "tlat", "lon": "tlon"})
+    near = named.join(points.select(*on, "label", "ord", "lat", "lon"), on).where(F.col("label") != F.col("truth"))
+    near = near.withColumn("d", haversine_km("tlat", "tlon", "lat", "lon"))
+    order = W.partitionBy(*keys).orderBy("d", "ord")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def hard_negatives(truth: DataFrame, pool: DataFrame, k: int) -> DataFrame:
