@@ -3,6 +3,7 @@
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,22 +59,18 @@ def test_nothing_to_learn_from(awkward):
 
 
 def test_model_probabilities_sum_to_one():
-    grams = lm.Grams(["a b a c", "b b a"], 2)
-    counts = [grams.counts(k, __import__("numpy").array([True, True])) for k in range(2)]
+    words = ["a", "b", "c"]
+    texts = ["a b a c", "b b a", *words, *[f"{x} {y}" for x in words for y in words]]
+    grams = lm.Grams(texts, 2)
+    train = np.arange(len(texts)) < 2
+    counts = [grams.counts(k, train) for k in range(2)]
     tokens, types = int(counts[0].sum()), int((counts[0] > 0).sum())
     machine = lm.Automaton(grams, counts, tokens, types, 3.0)
-    words = grams.of[0]
-    for first in set(words.tolist()):
-        state = machine.next[machine.arcs[first]]
-        mass = 0.0
-        for w in set(words.tolist()):
-            s, cost = state, 0.0
-            while (arc := machine.arcs.get(s * machine.n_words + w)) is None:
-                cost += machine.fail_cost[s]
-                s = machine.fail[s]
-            mass += 10 ** (cost + machine.weight[arc])
-        unknown = 1 / (tokens + types + 1) * 3.0 / (counts[0][first] + 3.0)
-        assert mass + unknown == pytest.approx(1)
+    ends = 1 + np.cumsum(grams.lengths)
+    second = {t: 10 ** list(machine.walk(int(e - n), int(e)))[1] for t, e, n in zip(texts, ends, grams.lengths)}
+    for x, c in zip(words, (3, 3, 1)):
+        mass = second[x] + sum(second[f"{x} {y}"] for y in words)  # the end, or a word
+        assert mass + 3.0 / (c + 3.0) / (tokens + types + 1) == pytest.approx(1)
 
 
 def test_fold_of_null_id(spark):

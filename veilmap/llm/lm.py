@@ -69,59 +69,54 @@ class Grams:
 
 
 class Automaton:
-    """States, arcs and failure arcs for the grams of a block, from their corpus-wide counts."""
+    """States, arcs and failure arcs for the grams of a block, from their corpus-wide counts.
+
+    State 0 is the root; the others are the seen grams shorter than the order. Arcs are numbered in line over the
+    levels; ``arc_at[k][i]`` is the arc that leaves the context of k words before place i with the word at i (-1: none).
+    """
 
     def __init__(self, grams: Grams, counts: list[np.ndarray], tokens: int, types: int, strength: float):
         order = len(counts)
-        # State 0 is the root; then the seen grams shorter than the order.
-        state_of, n_states = [], 1
-        for k in range(order - 1):
-            seen = counts[k] > 0
-            state_of.append(np.where(seen, n_states + np.cumsum(seen) - 1, 0))
-            n_states += int(seen.sum())
-        self.fail, self.fail_cost = [0] * n_states, [0.0] * n_states
-        self.arcs: dict[int, int] = {}
-        self.weight: list[float] = []
-        self.next: list[int] = []
-        self.n_words = len(counts[0])
-        p_before = None
+        state_of, n_states, n_arcs, p_before = [], 1, 0, None
+        fail, cost, length, weight, target, self.arc_at = [np.zeros(1, np.int64)], [np.zeros(1)], [np.zeros(1, np.int64)], [], [], []
         for k in range(order):
             at, c = grams.first[k], counts[k]
-            word = grams.of[0][at]
+            seen = c > 0
+            shorter = state_of[k - 1][grams.of[k - 1][at]] if k else np.zeros(len(c), np.int64)
+            if k < order - 1:
+                state_of.append(np.where(seen, n_states + np.cumsum(seen) - 1, 0))
+                n_states += int(seen.sum())
+                fail.append(shorter[seen])
+                cost.append(np.log10(strength / (c[seen] + strength)))
+                length.append(np.full(int(seen.sum()), k + 1))
             if k == 0:
-                p = (c + 1) / (tokens + types + 1)
-                source, kept = np.zeros(len(c), np.int64), np.ones(len(c), bool)
-                target = state_of[0] if order > 1 else source
+                p, arc = (c + 1) / (tokens + types + 1), np.ones(len(c), bool)  # the root has an arc for every word
             else:
                 context, suffix = grams.of[k - 1][at - 1], grams.of[k - 1][at]
-                p = (c + strength * p_before[suffix]) / (counts[k - 1][context] + strength)
-                source, kept = state_of[k - 1][context], c > 0
-                target = state_of[k] if k < order - 1 else state_of[k - 1][suffix]
-            if k < order - 1:
-                own = state_of[k]
-                shorter = np.zeros(len(c), np.int64) if k == 0 else state_of[k - 1][grams.of[k - 1][at]]
-                for s, f, cost in zip(own[c > 0].tolist(), shorter[c > 0].tolist(), np.log10(strength / (c[c > 0] + strength)).tolist(), strict=True):
-                    self.fail[s], self.fail_cost[s] = f, cost
-            first = len(self.weight)
-            self.arcs.update(zip((source[kept] * self.n_words + word[kept]).tolist(), range(first, first + int(kept.sum())), strict=True))
-            self.weight += np.log10(p[kept]).tolist()
-            self.next += target[kept].tolist()
+                p, arc = (c + strength * p_before[suffix]) / (counts[k - 1][context] + strength), seen
+            weight.append(np.log10(p[arc]))
+            target.append((state_of[k] if k < order - 1 else shorter)[arc])
+            number = np.where(arc, n_arcs + np.cumsum(arc) - 1, -1)
+            n_arcs += int(arc.sum())
+            self.arc_at.append(np.where(grams.of[k] >= 0, number[grams.of[k]], -1) if len(number) else grams.of[k])
             p_before = p
-        self.start = state_of[0][grams.of[0][0]] if order > 1 else 0
-
-    def score(self, words: list[int]) -> float:
-        """log10 probability of a text's tokens."""
-        arcs, weight, nxt, fail, cost, n = self.arcs, self.weight, self.next, self.fail, self.fail_cost, self.n_words
-        state, total = int(self.start), 0.0
-        for w in words:
-            arc = arcs.get(state * n + w)
-            while arc is None:
+        self.start = int(state_of[0][grams.of[0][0]]) if order > 1 else 0
+        self.fail, self.cost, self.length, self.weight, self.target = (np.concatenate(x).tolist() for x in (fail, cost, length, weight, target))
+
+    def walk(self, first: int, last: int) -> Iterator[float]:
+        """log10 probability of each token of a text, whose words stand at the places from first to last."""
+        fail, cost, length, weight, target = self.fail, self.cost, self.length, self.weight, self.target
+        arc_at = [a[first:last].tolist() for a in self.arc_at]
+        state = self.start
+        for i in range(last - first):
+            total = 0.0
+            arc = arc_at[length[state]][i]
+            while arc < 0:
                 total += cost[state]
                 state = fail[state]
-                arc = arcs.get(state * n + w)
-            total += weight[arc]
-            state = nxt[arc]
-        return total
+                arc = arc_at[length[state]][i]
+            yield total + weight[arc]
+            state = target[arc]
 
 
 def totals(docs: DataFrame, text_col: str, bits: int) -> tuple[int, int]:
@@ -143,7 +138,7 @@ def totals(docs: DataFrame, text_col: str, bits: int) -> tuple[int, int]:
     return got[0] or 0, got[1] or 0
 
 
-def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, strength: float = STRENGTH, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, strength: float = STRENGTH, block_bytes: int = B.BLOCK_BYTES // 2) -> DataFrame:
     """Scores every document by the model of the documents for which ``train`` holds.
 
     Columns: id, n_tokens (words and the end), n_known (tokens seen in training), train_tokens, base_score (add-one
@@ -175,9 +170,7 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
         machine = Automaton(grams, counts, tokens, types, strength)
         uses = counts[0][grams.of[0]][1:]
         starts = np.cumsum(grams.lengths) - grams.lengths
-        scores, words = [], grams.of[0][1:]
-        for s, n in zip(starts.tolist(), grams.lengths.tolist(), strict=True):
-            scores.append(machine.score(words[s : s + n].tolist()))
+        scores = [sum(machine.walk(1 + s, 1 + s + n)) for s, n in zip(starts.tolist(), grams.lengths.tolist(), strict=True)]
         base = np.add.reduceat(np.log10(uses + 1.0), starts) - grams.lengths * np.log10(tokens + types + 1.0)
         known = np.add.reduceat((uses > 0).astype(np.int64), starts)
         return pa.table({"id": group.column("id"), "n_tokens": grams.lengths, "n_known": known, "train_tokens": np.full(len(starts), tokens), "base_score": base, "score": np.array(scores)})
