@@ -38,14 +38,15 @@ def text_bytes(docs: DataFrame, text_col: str) -> int:
 
 
 def plan_blocks(docs: DataFrame, size: int, block_bytes: int = BLOCK_BYTES) -> int:
-    """Blocks of about ``block_bytes`` each; at least two a partition, so that small tables use the cluster too."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(2 * parts, -(-size // block_bytes))
+    """Blocks of about ``block_bytes`` each; at least one a partition, so that small tables use the cluster too."""
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // block_bytes))
 
 
 def bucket_bits(docs: DataFrame, key_bytes: int, bucket_bytes: int = BUCKET_BYTES) -> int:
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(2 * parts, -(-key_bytes // bucket_bytes)).bit_length()
+    """Buckets, a power of two, of about ``bucket_bytes`` each. A block sends a row to each bucket, so that there are no
+    more than 32 of them where the keys do not ask for more."""
+    parts = min(32, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(2, max(parts, -(-key_bytes // bucket_bytes)) - 1).bit_length()
 
 
 def packed(block: int, kind: int, keys: np.ndarray, bits: int, more: np.ndarray | None = None) -> Iterator[dict]:
