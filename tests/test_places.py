@@ -196,3 +196,13 @@ def test_broadcast_is_checked(spark):
         assert "BroadcastHashJoin" not in plan(S.broadcast_within(spark.range(50), 10))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    """1,000 places in four chains, each within the radius of the next, in label order along the chain."""
+    pts = {f"p{i:04d}": (-60.0 + (i // 250) * 20.0, -170.0 + (i % 250) * 0.2) for i in range(1000)}
+    rounds = []
+    real = G.range_join
+    monkeypatch.setattr(G, "range_join", lambda *a, **k: rounds.append(1) or real(*a, **k))
+    got = {x["label"]: x["rep"] for x in G.clusters(places(spark, pts), 25.0).collect()}
+    assert got == greedy(pts, 25.0) and len(rounds) < 60

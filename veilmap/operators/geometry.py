@@ -12,6 +12,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -101,27 +102,62 @@ def near_sites(places: DataFrame, km: float) -> DataFrame:
     return across.unionByName(within)
 
 
+LISTED = 8  # first undecided places of a cell that a round looks at
+TILE = 16  # side of a tile in radii
+
+
+def _settle(km: float):
+    """Works through the listed places of one tile in label order and gives those that are surely centres.
+
+    A place is taken if a centre with a smaller label is near, a centre if all nearer places of smaller label are taken,
+    and left open if one of them is open, belongs to another tile, or may stand unlisted in a crowded cell.
+    """
+
+    def settle(tile: pa.Table) -> pa.Table:
+        tile = tile.sort_by("lat")
+        label = np.array(tile.column("label").to_pylist(), dtype=object)
+        lat, lon = (np.radians(tile.column(c).to_numpy()) for c in ("lat", "lon"))
+        home, last = (tile.column(c).to_numpy() for c in ("home", "last"))
+        reach = 2 * km / EARTH_RADIUS_KM * 1.001
+        state = np.zeros(len(label), np.int8)  # 0 open, 1 centre, 2 taken
+        for p in sorted(np.flatnonzero(home).tolist(), key=lambda i: label[i]):
+            lo, hi = np.searchsorted(lat, [lat[p] - reach, lat[p] + reach])
+            a = np.sin((lat[lo:hi] - lat[p]) / 2) ** 2 + np.cos(lat[p]) * np.cos(lat[lo:hi]) * np.sin((lon[lo:hi] - lon[p]) / 2) ** 2
+            d = 2 * EARTH_RADIUS_KM * np.arcsin(np.sqrt(np.minimum(1.0, a)))
+            before = (label[lo:hi] < label[p]).astype(bool)
+            near = before & (d < km)
+            if (state[lo:hi][near] == 1).any():
+                state[p] = 2
+            elif not (state[lo:hi][near] == 0).any() and not (before & last[lo:hi] & (d < 2 * km)).any():
+                state[p] = 1
+        return tile.select(["label", "lat", "lon"]).filter(pa.array(state == 1))
+
+    return settle
+
+
 def cluster_centres(places: DataFrame, km: float) -> DataFrame:
     """Centres of the greedy clustering in label order.
 
     A place is a centre when no earlier centre is closer than ``km``: the
     lexicographically first maximal independent set of the neighbour graph.
-    Each round settles every place that has no undecided smaller neighbour and
-    is the smallest of its cell; only one place per cell is ever compared with
-    others, so a dense spot costs its size, not its square.
+    Each round looks at the first few undecided places of every cell, so a dense
+    spot costs its size, not its square, and works through tiles of many cells
+    one by one. A chain of places that wait for each other is settled as far as
+    it runs inside a tile, so that rounds follow the tiles a chain crosses.
     """
     undecided = checkpointed(with_cell(sites(places).drop("n"), km).withColumn("centre", F.lit(False)))
     centres = undecided.where("centre")
+    kind = undecided.schema["label"].dataType.simpleString()
+    cell = W.partitionBy("band", "cell")
     while not undecided.isEmpty():
-        first = undecided.groupBy("band", "cell").agg(F.min_by(F.struct("label", "lat", "lon"), "label").alias("f"))
-        candidates = first.select("f.label", "f.lat", "f.lon", "band", "cell")
-        spread = with_cover(candidates.drop("band", "cell"), km).select(
-            F.col("label").alias("c"), F.col("lat").alias("clat"), F.col("lon").alias("clon"), "band", "cell"
-        )
-        close = undecided.join(spread, ["band", "cell"]).where(
-            (F.col("label") < F.col("c")) & (haversine_km("lat", "lon", "clat", "clon") < km)
-        )
-        settled = candidates.join(close.select(F.col("c").alias("label")).distinct(), "label", "left_anti")
+        # The rank filter is applied before the shuffle, so a crowded cell sends few rows.
+        listed = undecided.withColumn("__r", F.row_number().over(cell.orderBy("label"))).where(F.col("__r") <= LISTED + 1)
+        listed = listed.withColumn("__n", F.max("__r").over(cell)).where(F.col("__r") <= LISTED)
+        listed = listed.select("label", "lat", "lon", ((F.col("__n") > LISTED) & (F.col("__r") == LISTED)).alias("last"))
+        owned = with_cell(listed, km * TILE).withColumnsRenamed({"band": "tband", "cell": "tcell"})
+        seen = with_cover(owned, km * TILE).withColumn("home", (F.col("band") == F.col("tband")) & (F.col("cell") == F.col("tcell")))
+        settled = seen.groupBy("band", "cell").applyInArrow(_settle(km), f"label {kind}, lat double, lon double")
+        settled = checkpointed(with_cell(settled, km))
         taken = range_join(undecided, settled, km).select(F.col("point").alias("label")).distinct()
         left = undecided.join(taken, "label", "left_anti")
         now = checkpointed(left.unionByName(settled.withColumn("centre", F.lit(True))))
