@@ -87,7 +87,8 @@ def with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """
     order = followers(docs, id_col, text_col)
     # Ids are compared as one-field structs, in which null equals null, so that joins and window share one partitioning.
-    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(F.col(id_col).alias("id")).alias("key"))
+    # Both joins read the same two columns, so that the texts are shuffled once.
+    own = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(F.col(id_col).alias("id")).alias("key"))
     before = order.select(F.struct(F.col("next_id").alias("id")).alias("next"), F.struct("id").alias("to"), F.col("longest").alias("room"))
     # The start of each document, no longer than its predecessor needs, goes to the predecessor with the sketch.
     placed = own.join(before, F.col("key") == F.col("next")).withColumn("hash", F.xxhash64("text"))
@@ -102,7 +103,7 @@ def with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     both = both.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("start"), F.lit(1), half)))
     both = both.withColumns({"own_sketch": sketch(F.col("text"), shingle=shingle, fraction=fraction), "edited_sketch": sketch(F.col("edited"), shingle=shingle, fraction=fraction)})
     return both.select(
-        "id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"),
+        F.col("key.id").alias("id"), "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"),
         printed(F.col("own_sketch")).alias("fingerprint"), printed(F.col("edited_sketch")).alias("edited_fingerprint"),
         alike(resemblance(F.col("own_sketch"), F.col("edited_sketch")), F.col("text") == F.col("edited")).alias("near_edited"),
         alike(resemblance(F.col("own_sketch"), F.col("next_sketch")), F.xxhash64("text") == F.col("next_hash")).alias("near_next"),
