@@ -15,9 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: Text bytes of a block, and packed keys of a bucket, that one task holds at a time.
-BLOCK_BYTES = 6 << 20
-BUCKET_BYTES = 8 << 20
+BLOCK_BYTES = 3 << 20
+BUCKET_BYTES = 6 << 20
 PACKED = "bucket int, block int, kind int, keys binary, more binary"
 ANSWER = "block int, kind int, bucket int, answer binary"
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -60,7 +62,10 @@ def packed(block: int, kind: int, keys: np.ndarray, bits: int, more: np.ndarray
 
 
 def rows(schema: pa.Schema, made: Iterable[dict]) -> pa.Table:
-    return pa.Table.from_pylist(list(made), schema=schema)
+    """What a block or bucket sends; it is done with its own tables then."""
+    out = pa.Table.from_pylist(list(made), schema=schema)
+    tidy()
+    return out
 
 
 PACKED_SCHEMA = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("more", pa.binary())])

@@ -18,9 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidy
+
 LEAF = 20_000
 REACH = 400
-BATCH_CHARS = 400_000
+BATCH_CHARS = 200_000
 
 
 def byte_table(vocabulary: dict[str, int], added: dict[int, str]) -> list[bytes]:
@@ -177,6 +179,7 @@ def encode_column(docs: DataFrame, spec: str, *, text_col: str = "text", keep: l
                 own = [batch.column(k).slice(start, len(group)) for k in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*own, *[made[k] for k in outputs]], names=[*keep, *outputs])
                 start += len(group)
+            tidy()
 
     made_fields = T.StructType.fromDDL(", ".join(f"{k} {kinds[k]}" for k in outputs)).fields
     return source.mapInArrow(run, T.StructType(source.drop("__text").schema.fields + made_fields))

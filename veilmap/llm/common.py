@@ -44,3 +44,15 @@ def join_small(df: DataFrame, small: DataFrame, key: str, *, rows: int = BROADCA
     right = right.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     on = F.col(key).eqNullSafe(F.col("__key")) & (F.col("__salt") == F.col("__copy"))
     return left.join(right, on).drop("__key", "__salt", "__copy")
+
+
+def tidy() -> None:
+    """Give freed memory back to the system: a Python worker lives on for many tasks and would keep its largest one's."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -20,7 +20,7 @@ LONGEST = 4
 #: About so many documents of each language at most are learned from, chosen by hash.
 ROWS_PER_LANGUAGE = 800
 LETTERS = re.compile(r"[^\W\d_]+")
-WORDS_REMEMBERED = 150_000
+WORDS_REMEMBERED = 100_000
 
 
 def training_counts(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, rows: int, min_count: int) -> tuple[DataFrame, DataFrame]:

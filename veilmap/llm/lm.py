@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
+from .common import tidy
 
 ORDER = 2
 STRENGTH = 300.0
@@ -138,7 +139,7 @@ def totals(docs: DataFrame, text_col: str, bits: int) -> tuple[int, int]:
     return got[0] or 0, got[1] or 0
 
 
-def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, strength: float = STRENGTH, block_bytes: int = B.BLOCK_BYTES // 2) -> DataFrame:
+def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, strength: float = STRENGTH, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     """Scores every document by the model of the documents for which ``train`` holds.
 
     Columns: id, n_tokens (words and the end), n_known (tokens seen in training), train_tokens, base_score (add-one
@@ -173,6 +174,7 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
         scores = [sum(machine.walk(1 + s, 1 + s + n)) for s, n in zip(starts.tolist(), grams.lengths.tolist(), strict=True)]
         base = np.add.reduceat(np.log10(uses + 1.0), starts) - grams.lengths * np.log10(tokens + types + 1.0)
         known = np.add.reduceat((uses > 0).astype(np.int64), starts)
+        tidy()
         return pa.table({"id": group.column("id"), "n_tokens": grams.lengths, "n_known": known, "train_tokens": np.full(len(starts), tokens), "base_score": base, "score": np.array(scores)})
 
     sent = blocked.groupBy("block").applyInArrow(send, B.PACKED)

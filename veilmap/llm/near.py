@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLANKS, join_small, stored
+from .common import BLANKS, join_small, stored, tidy
 from .components import components
 
 SHINGLE = 5
@@ -133,6 +133,7 @@ def features(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
                 sizes.append(len(s))
                 sigs.append(sign(s) if len(s) else None)
                 lengths.append(len(text.as_py() or ""))
+            tidy()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary()), pa.array(lengths, pa.int64())], names=["id", "mark", "node", "n", "sig", "size"])
 
     own = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("mark"), F.col(f"`{text_col}`").alias("text"))
@@ -140,6 +141,10 @@ def features(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
     return own.mapInArrow(run, T.StructType([own.schema["id"], own.schema["mark"], *extra]))
 
 
+def partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def grid(df: DataFrame, blocks: str, key: list[str]) -> DataFrame:
     """Deals the rows of each key over its number of blocks, and copies them to every pair of blocks they belong to."""
     own = F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
@@ -172,7 +177,7 @@ def candidate_edges(reps: DataFrame, threshold: float, tolerance: float, block_n
     shared = in_bands.groupBy("band").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1")
     members = grid(in_bands.join(shared, "band").withColumn("blocks", F.ceil(F.col("nodes") / block_nodes)).drop("nodes"), "blocks", ["band"])
     members = stored(members, "near-bands")
-    tasks = max(1, members.count() // BATCH_ROWS)
+    tasks = max(partitions(reps), members.count() // BATCH_ROWS)
     members = members.join(reps.select("node", "n", "sig"), "node").withColumn("task", F.pmod(F.xxhash64("band", "i", "j"), F.lit(tasks)))
 
     def compare(group: pa.Table) -> pa.Table:
@@ -197,6 +202,7 @@ def candidate_edges(reps: DataFrame, threshold: float, tolerance: float, block_n
                             tree[tree == max(tree[x], tree[y])] = min(tree[x], tree[y])
             a += [nodes[x] for x, _ in forest.edges]
             b += [nodes[y] for _, y in forest.edges]
+        tidy()
         return pa.Table.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=EDGES)
 
     return members.groupBy("task").applyInArrow(compare, "a binary, b binary")
@@ -208,7 +214,7 @@ def exact_links(docs: DataFrame, clustered: DataFrame, reps: DataFrame, *, id_co
     known = clustered.join(reps, "node")
     blocks = known.groupBy("root").agg(F.ceil(F.sum("size") / F.lit(block_bytes)).alias("blocks"))
     known = grid(known.join(blocks, "root"), "blocks", ["root"])
-    tasks = max(1, (known.agg(F.sum("size")).first()[0] or 0) // (2 * block_bytes))
+    tasks = max(partitions(reps), (known.agg(F.sum("size")).first()[0] or 0) // (2 * block_bytes))
     known = known.select(F.col("rep").alias("id"), "node", "root", "own", "i", "j", "copies", "sig", F.pmod(F.xxhash64("root", "i", "j"), F.lit(tasks)).alias("task"))
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     # A repeated id brings other texts too; those of another node are told by their shingles below.
@@ -257,6 +263,7 @@ def exact_links(docs: DataFrame, clustered: DataFrame, reps: DataFrame, *, id_co
             a += nodes + [nodes[x] for x, _ in forest.edges]
             b += [None] * len(nodes) + [nodes[y] for _, y in forest.edges]
             links += found.tolist() + [0] * len(forest.edges)
+        tidy()
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "links": pa.array(links, pa.int64())})
 
     return held.groupBy("task").applyInArrow(verify, "a binary, b binary, links bigint")

@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold
+from .common import fold, tidy
 
 BUCKETS = 1 << 17
 DIM = 16
 GRAMS = (3, 5)
 #: The labelled rows fitted on: about this many at most, chosen by hash, however many there are.
 SAMPLE_ROWS = 4000
-WORDS_REMEMBERED = 150_000
+WORDS_REMEMBERED = 100_000
 #: The vector of "the word before, again".
 AGAIN = zlib.crc32(b"again", 99)
 
@@ -144,6 +144,7 @@ def score_column(docs: DataFrame, model: tuple[np.ndarray, float], *, text_col:
                 z = bias + ((sums[at].sum() + again * table[AGAIN % buckets]) / (sizes[at].sum() + again) if words else 0.0)
                 out[r] = 1 / (1 + np.exp(-z)) if z > -500 else 0.0
             own = [batch.column(k) for k in range(len(keep))]
+            tidy()
             yield pa.RecordBatch.from_arrays([*own, pa.array(out)], names=[*keep, name])
 
     return source.mapInArrow(run, T.StructType([*source.drop("__text").schema.fields, T.StructField(name, T.DoubleType())]))

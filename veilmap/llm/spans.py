@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..operators.scale import running_sums
 from . import blocks as B
+from .common import tidy
 
 WINDOW = 20
 
@@ -100,6 +101,7 @@ def parse(docs: DataFrame, out_schema: str, finish, *, id_col: str, text_col: st
         change = np.zeros(int(lengths.sum()) + 1, np.int64)
         np.add.at(change, starts[begin], 1)
         np.add.at(change, starts[end - 1] + window, -1)
+        tidy()
         return finish(group, lengths, np.cumsum(change[:-1]) > 0)
 
     sent = blocked.groupBy("block").applyInArrow(send, B.PACKED)

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
+from .common import tidy
 
 LENGTH = 200
 #: Occurrences from which on an anchor's windows are dealt by digest.
@@ -321,6 +322,7 @@ def cut(docs: DataFrame, out_schema: str, finish, *, id_col: str, text_col: str,
         starts = np.flatnonzero(hit)
         change[starts] += 1
         change[starts + length] -= 1
+        tidy()
         return finish(group, block, np.cumsum(change[:-1]) > 0)
 
     counted = blocked.groupBy("block").applyInArrow(send_anchors, B.PACKED).groupBy("bucket").applyInArrow(count_anchors, B.ANSWER)
@@ -329,7 +331,7 @@ def cut(docs: DataFrame, out_schema: str, finish, *, id_col: str, text_col: str,
     return blocked.groupBy("block").cogroup(counted.unionByName(marked).groupBy("block")).applyInArrow(remove, out_schema)
 
 
-def digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, frequent: int = FREQUENT, block_bytes: int = B.BLOCK_BYTES // 2, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, frequent: int = FREQUENT, block_bytes: int = B.BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of the bytes that stay.
 
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere else, in this text or another;
