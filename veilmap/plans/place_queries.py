@@ -435,9 +435,11 @@ def cue_statistics(spark, sf):
     )
     out = summarise(
         rows, ["category"],
-        [F.count(F.lit(1)).alias("n"), (100.0 * F.avg((F.col("outcome") == "Localized").cast("int"))).alias("a"), F.avg(F.col("category").startswith("S").cast("int")).alias("b"), F.size(F.collect_set("l_linenumber")).alias("n_kinds")],
+        [F.count(F.lit(1)).alias("n"), (100.0 * F.avg((F.col("outcome") == "Localized").cast("int"))).alias("a"), F.avg(F.col("category").startswith("S").cast("int")).alias("b")],
         {"c": ("area", 0.5)},
     )
+    kinds = rows.select("category", "l_linenumber").distinct().groupBy("category").agg(F.count(F.lit(1)).alias("n_kinds"))
+    out = out.join(kinds, "category")
     return out.select("category", "n", rounded("a").alias("pct_localized"), rounded("b").alias("text_share"), rounded("c").alias("median_area"), F.col("n_kinds").cast("bigint").alias("n_kinds"))
 
 
@@ -478,13 +480,13 @@ def worst_risk(spark, sf):
 
 
 @query("hit_strata", """
-  SELECT CASE WHEN quality IS NULL THEN 'all' WHEN quality = 1 THEN 'hit' ELSE 'miss' END AS stratum, count(*) AS n, round(avg(n_chars), 6) + 0.0 AS mean_chars, round(avg(toxic), 6) + 0.0 AS toxic_share
+  SELECT CASE WHEN grouping(quality) = 1 THEN 'all' WHEN quality = 1 THEN 'hit' WHEN quality = 0 THEN 'miss' ELSE 'unknown' END AS stratum, count(*) AS n, round(avg(n_chars), 6) + 0.0 AS mean_chars, round(avg(toxic), 6) + 0.0 AS toxic_share
   FROM labels JOIN documents USING (doc_id) GROUP BY GROUPING SETS ((), (quality))""")
 def hit_strata(spark, sf):
     """One pass over all rows and both strata by grouping sets."""
     rows = V.table(spark, sf, "labels").join(V.table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
     out = rows.groupingSets([[], [F.col("quality")]], F.col("quality")).agg(
-        F.count(F.lit(1)).alias("n"), rounded(F.avg("n_chars")).alias("mean_chars"), rounded(F.avg("toxic")).alias("toxic_share")
+        F.grouping("quality").alias("whole"), F.count(F.lit(1)).alias("n"), rounded(F.avg("n_chars")).alias("mean_chars"), rounded(F.avg("toxic")).alias("toxic_share")
     )
-    stratum = F.when(F.col("quality").isNull(), "all").when(F.col("quality") == 1, "hit").otherwise("miss")
+    stratum = F.when(F.col("whole") == 1, "all").when(F.col("quality") == 1, "hit").when(F.col("quality") == 0, "miss").otherwise("unknown")
     return out.select(stratum.alias("stratum"), "n", "mean_chars", "toxic_share")
