@@ -26,8 +26,8 @@ from .common import tidy
 
 LENGTH = 200
 #: Occurrences from which on an anchor's windows are dealt by digest.
-FREQUENT = 20_000
-SHARD_BYTES = 3 << 20
+FREQUENT = 3_000
+SHARD_BYTES = 2 << 20
 CHUNK = 1 << 20
 SENT = "shard int, block int, kind int, keys binary, sizes binary, data binary"
 SENT_SCHEMA = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("sizes", pa.binary()), ("data", pa.binary())])
@@ -65,15 +65,16 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     first = packed8(text)
     sa = np.argsort(first, kind="stable")
     heads = np.r_[True, first[sa][1:] != first[sa][:-1]] if n else np.zeros(0, bool)
-    rank = np.empty(n + 1, np.int64)
+    del first
+    sa = sa.astype(np.int32)
+    rank = np.empty(n + 1, np.int32)
     rank[n] = -1
-    start = np.maximum.accumulate(np.where(heads, np.arange(n), 0))
-    rank[sa] = start
+    rank[sa] = np.maximum.accumulate(np.where(heads, np.arange(n, dtype=np.int32), 0))
     active = np.flatnonzero(~(heads & np.r_[heads[1:], True])) if n else np.zeros(0, np.int64)
     h = 8
     while len(active):
         places = sa[active]
-        key = rank[places] * (n + 2) + rank[np.minimum(places + h, n)] + 1
+        key = rank[places].astype(np.int64) * (n + 2) + rank[np.minimum(places.astype(np.int64) + h, n)] + 1
         order = np.argsort(key, kind="stable")
         places, key = places[order], key[order]
         sa[active] = places
@@ -92,10 +93,10 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, cap: int, lanes: int = 409
     walked in many lanes at once, and eight bytes are compared at a time.
     """
     n = len(text)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
     eight = np.r_[packed8(text), np.zeros(cap + 8, np.uint64)]
-    out = np.zeros(n, np.int64)
+    out = np.zeros(n, np.int32)
     lanes = max(1, min(lanes, n // (2 * cap) or 1))
     width = -(-n // lanes)
     base = np.arange(lanes) * width
@@ -104,7 +105,7 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, cap: int, lanes: int = 409
         place = base + t
         live = np.flatnonzero(place < n)
         p = place[live]
-        q = before[p]
+        q = before[p].astype(np.int64)
         h = np.maximum(shared[live] - 1, 0)
         h[q < 0] = 0
         go = np.flatnonzero((q >= 0) & (h < cap))
@@ -306,6 +307,7 @@ def cut(docs: DataFrame, out_schema: str, finish, *, id_col: str, text_col: str,
             own = [r for r in rows if r["kind"] == kind]
             for r, hits in zip(own, work(own) if own else [], strict=True):
                 made.append({"block": r["block"], "kind": kind, "bucket": shard, "answer": marks(hits)})
+        del rows
         return B.rows(B.ANSWER_SCHEMA, made)
 
     def remove(key: tuple, group: pa.Table, back: pa.Table) -> pa.Table:
