@@ -176,7 +176,9 @@ class Anchored:
         places = np.concatenate([c[0] for c in chosen]) if chosen else np.zeros(0, np.int64)
         values = np.concatenate([c[1] for c in chosen]) if chosen else np.zeros(0, np.uint64)
         _, once = np.unique(places, return_index=True)  # chunks overlap by a window
-        self.keys, self.counts = np.unique(values[once], return_counts=True)
+        # The least of many hashes are small numbers; spread again, they fill buckets and shards evenly.
+        self.anchor = np.where(self.inside, B.mixed(self.anchor), np.uint64(0))
+        self.keys, self.counts = np.unique(B.mixed(values[once]), return_counts=True)
 
     def runs(self, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Runs of windows of one repeated anchor: first, one past the last, anchor, its corpus-wide count."""
