@@ -48,6 +48,22 @@ def missing_subsets(cue_counts: DataFrame, done: DataFrame) -> tuple[DataFrame,
     return wanted.join(done.select("subject_id", "mask"), ["subject_id", "mask"], "left_anti"), unlisted
 
 
+def gap_counts(cue_counts: DataFrame, done: DataFrame) -> DataFrame:
+    """(subject_id, m, n_gaps): how many intermediate subsets are not in ``done(subject_id, mask)``, for every number of cues.
+
+    Nothing is listed: of the 2^m - 2 - m intermediate subsets those in ``done`` are taken off, so there is no largest m
+    of ``missing_subsets`` here. Above 62 cues the number does not fit and is null.
+    """
+    full = full_mask("m")
+    scored = done.select("subject_id", "mask").join(cue_counts.select("subject_id", "m"), "subject_id")
+    scored = scored.where(F.col("mask").between(1, full) & (F.bit_count("mask") >= 2) & (F.bit_count("mask") < F.col("m")))
+    scored = scored.select("subject_id", "m", "mask").distinct().groupBy("subject_id", "m").agg(F.count(F.lit(1)).alias("n_done"))
+    inner = F.when(F.col("m") < 3, 0).when(F.col("m") <= 62, full - 1 - F.col("m"))
+    return cue_counts.join(scored, ["subject_id", "m"], "left").select(
+        "subject_id", "m", (inner - F.coalesce("n_done", F.lit(0))).cast("bigint").alias("n_gaps")
+    )
+
+
 def build_lattice(values: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Complete lattices with v(empty) = 0, and the subjects left out as incomplete.
 

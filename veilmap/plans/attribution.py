@@ -193,17 +193,16 @@ def lattice_gaps(spark, sf):
          CASE WHEN o_orderkey % 25 BETWEEN 3 AND 8 THEN (1 << (o_orderkey % 25)) - 2 - o_orderkey % 25 ELSE 0 END::BIGINT AS n_gaps
   FROM (SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey)""")
 def lattice_sizes(spark, sf):
-    """Subjects of 0 to 24 cues: the masks to evaluate, the gaps of those up to 8 cues, and who is reported as too large."""
+    """Subjects of 0 to 24 cues: the masks to evaluate, the gaps while nothing is scored, and who is too large to be listed."""
     o = V.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("subject_id")).agg((F.max("o_orderkey") % 25).alias("m"))
     masks = L.expand_subsets(o).groupBy("subject_id").agg(F.count(F.lit(1)).alias("n_masks"))
     none = o.select("subject_id", F.lit(0).cast("bigint").alias("mask")).limit(0)
-    listed = o.where(~F.col("m").between(9, 20))
-    gaps, unlisted = L.missing_subsets(listed, none)
-    gaps = gaps.groupBy("subject_id").agg(F.count(F.lit(1)).alias("n_gaps"))
+    gaps = L.gap_counts(o, none).select("subject_id", "n_gaps")
+    _, unlisted = L.missing_subsets(o, none)
     large = unlisted.select("subject_id", F.lit(True).alias("large"))
     out = o.join(masks, "subject_id", "left").join(gaps, "subject_id", "left").join(large, "subject_id", "left")
     kind = F.when(F.col("large"), "too many cues").when(F.col("m") > 6, "reduced").when(F.col("m") > 0, "full").otherwise("no cues")
-    return out.select("subject_id", "m", kind.alias("kind"), F.coalesce("n_masks", F.lit(0)).alias("n_masks"), F.coalesce("n_gaps", F.lit(0)).alias("n_gaps"))
+    return out.select("subject_id", "m", kind.alias("kind"), F.coalesce("n_masks", F.lit(0)).alias("n_masks"), "n_gaps")
 
 
 @query("lattice_gate", """
