@@ -1,6 +1,7 @@
 """Mixing budgets and threshold-scaled fingerprints."""
 
 import hashlib
+import random
 from collections import defaultdict
 
 from pyspark.sql import functions as F
@@ -97,6 +98,30 @@ def test_fingerprints_of_edited_texts(awkward):
     assert fingerprints.with_edits(docs.limit(0)).count() == 0
 
 
+def test_short_texts_keep_their_hashes_and_likeness(spark):
+    rng = random.Random(7)
+    texts = []
+    for n in [*range(1, 16), *range(20, 60, 8), 120, 400, 900]:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        texts += [" ".join(words), " ".join(words[:-1] + ["other"])]  # the next document is a near copy
+    rows = list(enumerate(texts))
+    got = {r.id: r for r in fingerprints.with_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+    def sh(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    for i, t in rows:
+        nxt = texts[(i + 1) % len(texts)]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + nxt[:half]
+        r = got[i]
+        assert r.fingerprint and r.edited_fingerprint
+        for near, other in ((r.near_edited, edited), (r.near_next, nxt)):
+            a, b = sh(t), sh(other)
+            assert abs(near - len(a & b) / len(a | b)) < (1e-9 if max(len(a), len(b)) <= 256 else 0.1), (i, near)
+
+
 def test_a_table_of_one_document(spark):
     r = fingerprints.with_edits(spark.createDataFrame([(4, "a b c d e f g h")], "doc_id long, text string")).first()
     assert r.n_chars == 15 and r.edited_sha256 == hashlib.sha256(b"a b c d a b c d"[:8] + b"a b c d").hexdigest() and r.near_next == 1.0

@@ -2,7 +2,8 @@
 
 A document's sketch holds every hash of its word shingles that falls below a fixed fraction of the hash range. The same
 hashes survive in every document, so that sketches can be united, and resemblance and containment of documents of very
-different length are ratios of plain set sizes.
+different length are ratios of plain set sizes. A short text would keep few hashes or none; ``with_edits`` keeps all
+hashes of a short text and compares two short texts exactly.
 """
 
 from __future__ import annotations
@@ -15,7 +16,9 @@ from ..operators.scale import row_numbers
 from .common import BLANKS, stored
 
 SHINGLE = 5
-FRACTION = 0.125
+FRACTION = 0.5
+#: Texts of at most this many distinct shingles keep every hash.
+SHORT = 256
 
 
 def words(text: Column) -> Column:
@@ -23,9 +26,14 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), BLANKS), lambda w: w != "")
 
 
+def below(hashes: Column, fraction: float) -> Column:
+    """The hashes in the lowest ``fraction`` of the range."""
+    limit = F.lit(min((1 << 63) - 1, -(1 << 63) + round(fraction * (1 << 64))))
+    return hashes if fraction >= 1 else F.filter(hashes, lambda h: h < limit)
+
+
 def sketch(text: Column, *, shingle: int = SHINGLE, fraction: float = FRACTION) -> Column:
     """Sorted distinct shingle hashes below the threshold. A text of fewer words than a shingle is one shingle."""
-    limit = F.lit(min((1 << 63) - 1, -(1 << 63) + round(fraction * (1 << 64))))
     parts = words(text)
 
     def hashes(w: Column) -> Column:
@@ -34,7 +42,7 @@ def sketch(text: Column, *, shingle: int = SHINGLE, fraction: float = FRACTION)
         return F.when(F.size(w) > 0, each).otherwise(F.array().cast("array<bigint>"))
 
     # One-element transform: the words are split once and used by name below.
-    kept = F.filter(F.flatten(F.transform(F.array(parts), hashes)), lambda h: h < limit)
+    kept = below(F.flatten(F.transform(F.array(parts), hashes)), fraction)
     return F.array_sort(F.array_distinct(kept))
 
 
@@ -63,48 +71,59 @@ def alike(near: Column, same_text: Column) -> Column:
     return F.when(same_text, 1.0).otherwise(F.coalesce(near, F.lit(0.0)))
 
 
-def followers(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, next_id, longest): every distinct id with the next one in ascending order, the last with the first.
+def likeness(a: str, b: str, same_text: Column, short: int) -> Column:
+    """Of two texts with columns ``x_all`` (every hash) and ``x_kept`` (those below the fixed fraction)."""
+    few = (F.size(f"{a}_all") <= short) & (F.size(f"{b}_all") <= short)
+    return alike(F.when(few, resemblance(F.col(f"{a}_all"), F.col(f"{b}_all"))).otherwise(resemblance(F.col(f"{a}_kept"), F.col(f"{b}_kept"))), same_text)
+
+
+def followers(docs: DataFrame, id_col: str) -> DataFrame:
+    """(id, next_id): every distinct id with the next one in ascending order, the last with the first.
 
     Works on ids only: they are range-partitioned and numbered, and each is joined with the number after its own.
-    A null id comes last. ``longest`` is the length of the longest text under the id.
+    A null id comes last.
     """
-    ids = docs.groupBy(F.col(id_col).alias("id")).agg(F.max(F.coalesce(F.length(text_col), F.lit(0))).alias("longest"))
+    ids = docs.select(F.col(id_col).alias("id")).distinct()
     ids = ids.withColumn("last", F.col("id").isNull().cast("int"))
     numbered = stored(row_numbers(ids, [], ["last", "id"], "rn", group_rows=0, at_most=1).drop("last"), "fp-order")
     n = numbered.count()
     after = numbered.select(F.when(F.col("rn") == 1, F.lit(n)).otherwise(F.col("rn") - 1).alias("rn"), F.col("id").alias("next_id"))
-    return numbered.join(after, "rn").select("id", "next_id", "longest")
+    return numbered.join(after, "rn").select("id", "next_id")
 
 
-def with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, fraction: float = FRACTION) -> DataFrame:
+def with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, fraction: float = FRACTION, short: int = SHORT) -> DataFrame:
     """Fingerprints of every text and of its edited text, whose second half is replaced by the next document's start.
 
-    Columns: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Likeness is the
-    estimated Jaccard similarity, 1 for equal texts, 0 where neither sketch holds a hash. A null text is empty. Rows
+    Columns: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. A fingerprint holds the
+    hashes below ``fraction``, or every hash of a text of at most ``short`` distinct shingles, so only a text without
+    words has an empty one. Likeness is the Jaccard similarity, exact for two such short texts and else estimated from
+    the hashes below ``fraction``; it is 1 for equal texts, 0 where neither has words. A null text is empty. Rows
     with one id have the same next document: of the next id, the row with the least text hash. In a table of one id a
     document is its own next one. An empty table gives an empty result.
     """
-    order = followers(docs, id_col, text_col)
+    order = followers(docs, id_col)
     # Ids are compared as one-field structs, in which null equals null, so that joins and window share one partitioning.
     # Both joins read the same two columns, so that the texts are shuffled once.
     own = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(F.col(id_col).alias("id")).alias("key"))
-    before = order.select(F.struct(F.col("next_id").alias("id")).alias("next"), F.struct("id").alias("to"), F.col("longest").alias("room"))
-    # The start of each document, no longer than its predecessor needs, goes to the predecessor with the sketch.
+    before = order.select(F.struct(F.col("next_id").alias("id")).alias("next"), F.struct("id").alias("to"))
+    # Each document goes to its predecessor as text: whatever the fraction, that is less to shuffle than start and hashes.
     placed = own.join(before, F.col("key") == F.col("next")).withColumn("hash", F.xxhash64("text"))
     first = placed.withColumn("rn", F.row_number().over(W.partitionBy("key").orderBy("hash"))).where("rn = 1")
-    sent = first.select(
-        F.col("to"), F.substring(F.col("text"), F.lit(1), F.floor(F.col("room") / 2).cast("int")).alias("start"),
-        F.col("hash").alias("next_hash"), sketch(F.col("text"), shingle=shingle, fraction=fraction).alias("next_sketch"),
-    )
+    sent = first.select(F.col("to"), F.col("text").alias("next_text"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     both = own.join(sent, F.col("key") == F.col("to")).withColumn("n_chars", n.cast("bigint"))
-    both = both.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("start"), F.lit(1), half)))
-    both = both.withColumns({"own_sketch": sketch(F.col("text"), shingle=shingle, fraction=fraction), "edited_sketch": sketch(F.col("edited"), shingle=shingle, fraction=fraction)})
+    both = both.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)))
+    texts = {"own": "text", "edited": "edited", "next": "next_text"}
+    both = both.withColumns({f"{k}_all": sketch(F.col(c), shingle=shingle, fraction=1.0) for k, c in texts.items()})
+    both = both.withColumns({f"{k}_kept": below(F.col(f"{k}_all"), fraction) for k in texts})
+
+    def shown(k: str) -> Column:
+        return printed(F.when(F.size(f"{k}_all") <= short, F.col(f"{k}_all")).otherwise(F.col(f"{k}_kept")))
+
     return both.select(
         F.col("key.id").alias("id"), "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"),
-        printed(F.col("own_sketch")).alias("fingerprint"), printed(F.col("edited_sketch")).alias("edited_fingerprint"),
-        alike(resemblance(F.col("own_sketch"), F.col("edited_sketch")), F.col("text") == F.col("edited")).alias("near_edited"),
-        alike(resemblance(F.col("own_sketch"), F.col("next_sketch")), F.xxhash64("text") == F.col("next_hash")).alias("near_next"),
+        shown("own").alias("fingerprint"), shown("edited").alias("edited_fingerprint"),
+        likeness("own", "edited", F.col("text") == F.col("edited"), short).alias("near_edited"),
+        likeness("own", "next", F.col("text") == F.col("next_text"), short).alias("near_next"),
     )
