@@ -1,5 +1,6 @@
 """Quality classifier and language identification: bounds, folds and held-out accuracy; awkward rows."""
 
+import inspect
 import random
 from collections import Counter
 
@@ -41,6 +42,12 @@ def test_quality_of_awkward_rows(awkward):
     assert quality.score_column(docs.limit(0), model).count() == 0
 
 
+def test_up_to_6000_labelled_rows_are_all_learned_from(spark):
+    labels = spark.range(6_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    assert quality.labelled_sample(labels, id_col="doc_id", label_col="quality", rows=quality.SAMPLE_ROWS).count() == 6_000
+    assert inspect.signature(quality.fit).parameters["epochs"].default == 8
+
+
 def test_quality_without_labels(spark, awkward):
     docs, rows = awkward
     none = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, quality int")

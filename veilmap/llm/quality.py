@@ -26,7 +26,7 @@ BUCKETS = 1 << 17
 DIM = 16
 GRAMS = (3, 5)
 #: The labelled rows fitted on: about this many at most, chosen by hash, however many there are.
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 6000
 WORDS_REMEMBERED = 100_000
 #: The vector of "the word before, again".
 AGAIN = zlib.crc32(b"again", 99)
@@ -57,7 +57,7 @@ def bag(text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return idx, (share / share.sum()).astype(np.float32)
 
 
-def fit(texts: list[str], labels: list[int], *, buckets: int = BUCKETS, dim: int = DIM, epochs: int = 6, rate: float = 0.5, seed: int = 11) -> tuple[np.ndarray, float]:
+def fit(texts: list[str], labels: list[int], *, buckets: int = BUCKETS, dim: int = DIM, epochs: int = 8, rate: float = 0.5, seed: int = 11) -> tuple[np.ndarray, float]:
     """(score of each bucket, bias): the log odds of label 1 are the bias plus the average of a document's bucket scores.
 
     The step of a document's vectors is scaled so that their average moves by the rate times the gradient, whatever the
