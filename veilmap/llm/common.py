@@ -26,9 +26,20 @@ def fold(id_col: str | Column, n: int, rest: int) -> Column:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a small intermediate to the shared folder and read it back: a fixed, recoverable cut of the lineage."""
+    return stored_at(df, name)[0]
+
+
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As ``stored``, with the folder, for intermediates that ``discard`` removes once nothing reads them any more."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a written intermediate, on whatever file system it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def join_small(df: DataFrame, small: DataFrame, key: str, *, rows: int = BROADCAST_ROWS, salts: int = 32) -> DataFrame:

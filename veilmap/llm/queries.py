@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, language, lm, mixing, near, quality, spans, suffixes, topk
+from . import alignment, bpe, centroids, fingerprints, language, licenses, lm, mixing, near, quality, spans, suffixes, topk
 from .common import fold, table
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,51 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return spans.digests(docs).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.digests(docs).withColumnRenamed("id", "doc_id")
+
+
+ORACLES["op11_license_scan"] = licenses.oracle()
+
+
+@query
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.digests(table(spark, sf_dir, "embeddings"))
+
+
+def _clusters_sql(rounds: int = 5, k: int = 40) -> str:
+    """The rounds one after the other; sums and products of these integers are exact in doubles."""
+    steps = [f"""
+kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS INTEGER) AS c, v FROM kept ORDER BY sha256('2:' || vec_id), v LIMIT {k})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (SELECT vec_id, v, arg_min(c, (d, c)) AS cluster, min(d) AS distance FROM (
+    SELECT e.rowid AS r, e.vec_id, e.v, c.c, list_dot_product(e.v, e.v) - 2 * list_dot_product(e.v, c.v) + list_dot_product(c.v, c.v) AS d
+    FROM (SELECT row_number() OVER () AS rowid, * FROM kept) e CROSS JOIN c{r} c) GROUP BY r, vec_id, v)""")
+        if r < rounds:
+            steps.append(f"""
+c{r + 1} AS MATERIALIZED (SELECT c.c, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN (
+    SELECT cluster, list(CAST(s - ((s % n) + n) % n AS DOUBLE) / n ORDER BY i) AS v FROM (
+        SELECT cluster, i, sum(CAST(x AS BIGINT)) AS s, count(*) AS n FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY cluster, i) GROUP BY cluster) m ON m.cluster = c.c)""")
+    return f"""
+WITH {','.join(steps)},
+inertias AS (SELECT cluster, sum(distance) AS inertia FROM a{rounds} GROUP BY cluster)
+SELECT a.vec_id, a.cluster, CAST(a.distance AS BIGINT) AS distance, CAST(i.inertia AS BIGINT) AS cluster_inertia, CAST((SELECT sum(inertia) FROM inertias) AS BIGINT) AS inertia,
+    sha256(array_to_string(list_transform(c.v, lambda x: CAST(x AS BIGINT)), ',')) AS centroid_sha256
+FROM a{rounds} a JOIN inertias i USING (cluster) JOIN c{rounds} c ON c.c = a.cluster
+"""
+
+
+ORACLES["op12_centroid_clusters"] = _clusters_sql()
+
+
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align(docs, bpe.read_spec(), alignment.read_model(), keep=["doc_id"])
