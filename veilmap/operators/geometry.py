@@ -266,7 +266,7 @@ def build_geometry(gallery: DataFrame, reps: DataFrame | None = None, *, floor_k
         g = g.withColumn("rep", F.col("label"))
     rows = g.limit(GALLERY_ROWS + 1).collect()
     if len(rows) > GALLERY_ROWS:
-        raise ValueError(f"the pair kernel takes galleries up to {GALLERY_ROWS} labels; larger ones take leakage.mpl_relational over geometry.pairs")
+        raise ValueError(f"the pair kernel takes galleries up to {GALLERY_ROWS} labels; larger ones take pair_tiles.mpl_tiled and mpl_sup")
     rows.sort(key=lambda r: r["ord"])
     names = list(dict.fromkeys(r["rep"] for r in rows))
     place = {r["label"]: (r["lat"], r["lon"]) for r in rows}

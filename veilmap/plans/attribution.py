@@ -9,7 +9,7 @@ from ..functions.columns import full_mask, mask_indices
 from ..operators import beliefs as B
 from ..operators import lattice as L
 from ..operators import leakage as K
-from ..operators import reports, scoring
+from ..operators import pair_tiles, reports, scoring
 from ..operators.geometry import clusters, pairs
 from ..operators.scale import percentiles, summarise
 from ..session import checkpointed
@@ -190,7 +190,7 @@ def lattice_gaps(spark, sf):
   SELECT o_custkey AS subject_id, o_orderkey % 25 AS m,
          CASE WHEN o_orderkey % 25 > 20 THEN 'too many cues' WHEN o_orderkey % 25 > 6 THEN 'reduced' WHEN o_orderkey % 25 > 0 THEN 'full' ELSE 'no cues' END AS kind,
          CASE WHEN o_orderkey % 25 = 0 THEN 0 WHEN o_orderkey % 25 <= 6 THEN (1 << (o_orderkey % 25)) - 1 ELSE 2 * (o_orderkey % 25) + 1 END::BIGINT AS n_masks,
-         CASE WHEN o_orderkey % 25 BETWEEN 3 AND 8 THEN (1 << (o_orderkey % 25)) - 2 - o_orderkey % 25 ELSE 0 END::BIGINT AS n_gaps
+         CASE WHEN o_orderkey % 25 >= 3 THEN (1::BIGINT << (o_orderkey % 25)) - 2 - o_orderkey % 25 ELSE 0 END::BIGINT AS n_gaps
   FROM (SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey)""")
 def lattice_sizes(spark, sf):
     """Subjects of 0 to 24 cues: the masks to evaluate, the gaps while nothing is scored, and who is too large to be listed."""
@@ -282,6 +282,51 @@ def top_leaks(spark, sf):
     return leak.select("subject_id", "mask", rounded(F.col("leak.sup") * 1000).alias("sup")).orderBy(F.col("sup").desc(), "subject_id").limit(5)
 
 
+# A gallery that grows with the customers, and beliefs of every region over it.
+sql_view("gallery_customers", """
+  SELECT c_custkey AS ord, ((c_custkey * 7919) % 120001) / 1000.0 - 60.0 AS lat, ((c_custkey * 104729) % 360007) / 1000.0 - 180.0 AS lon FROM customer""")
+sql_view("customer_shifts", """
+  SELECT r_regionkey AS subject_id, c_custkey AS ord,
+         ln(CAST(1 + (c_custkey * 31 + r_regionkey * 17 + CAST(floor(abs(c_acctbal)) AS BIGINT)) % 997 AS DOUBLE)) - ln(CAST(1 + (c_custkey * 13 + r_regionkey * 29) % 991 AS DOUBLE)) AS llr
+  FROM customer CROSS JOIN region WHERE (c_custkey + r_regionkey) % 10 <> 0""")
+sql_view("customer_pairs", f"""
+  SELECT a.ord AS i, b.ord AS j, {sql_haversine('a.', 'b.')} AS d FROM gallery_customers a JOIN gallery_customers b ON a.ord < b.ord""")
+
+
+def _customer_beliefs(spark, sf):
+    c = V.table(spark, sf, "customer")
+    gallery = c.select(F.col("c_custkey").alias("ord"), (((F.col("c_custkey") * 7919) % 120001) / 1000.0 - 60.0).alias("lat"), (((F.col("c_custkey") * 104729) % 360007) / 1000.0 - 180.0).alias("lon"))
+    r = F.broadcast(V.table(spark, sf, "region").select("r_regionkey"))  # five rows
+    both = c.join(r, (F.col("c_custkey") + F.col("r_regionkey")) % 10 != 0)
+    up = 1 + (F.col("c_custkey") * 31 + F.col("r_regionkey") * 17 + F.floor(F.abs("c_acctbal")).cast("bigint")) % 997
+    down = 1 + (F.col("c_custkey") * 13 + F.col("r_regionkey") * 29) % 991
+    return both.select(F.col("r_regionkey").alias("subject_id"), F.col("c_custkey").alias("ord"), (F.log(up.cast("double")) - F.log(down.cast("double"))).alias("llr")), gallery
+
+
+@query("mpl_large_gallery", """
+  SELECT subject_id, count(*) AS n_pairs, round(avg(v) * 1000, 6) + 0.0 AS mpl, round(max(v) * 1000, 6) + 0.0 AS sup FROM (
+    SELECT a.subject_id, abs(a.llr - b.llr) / d AS v FROM customer_pairs p JOIN customer_shifts a ON a.ord = p.i
+    JOIN customer_shifts b ON b.ord = p.j AND a.subject_id = b.subject_id WHERE d > 0) GROUP BY subject_id""")
+def mpl_large_gallery(spark, sf):
+    """Every pair of a gallery of any size, tile by tile."""
+    shift, gallery = _customer_beliefs(spark, sf)
+    out = pair_tiles.mpl_tiled(shift, gallery, keys=["subject_id"])
+    return out.select("subject_id", "n_pairs", rounded("mean").alias("mpl"), rounded(F.col("sup") * 1000).alias("sup"))
+
+
+@query("mpl_large_sup", """
+  SELECT subject_id, i, j, round(v * 1000, 6) + 0.0 AS sup, true AS few_looked_at FROM (
+    SELECT a.subject_id, p.i, p.j, abs(a.llr - b.llr) / d AS v, row_number() OVER (PARTITION BY a.subject_id ORDER BY abs(a.llr - b.llr) / d DESC, p.i, p.j) AS r
+    FROM customer_pairs p JOIN customer_shifts a ON a.ord = p.i JOIN customer_shifts b ON b.ord = p.j AND a.subject_id = b.subject_id WHERE d > 0) WHERE r = 1""")
+def mpl_large_sup(spark, sf):
+    """The leakiest pair by branch and bound, and whether under half of the pairs had to be looked at."""
+    shift, gallery = _customer_beliefs(spark, sf)
+    out = pair_tiles.mpl_sup(shift, gallery, keys=["subject_id"])
+    labels = shift.groupBy("subject_id").agg(F.count(F.lit(1)).alias("n"))
+    few = F.col("n_checked") * 4 < F.col("n") * (F.col("n") - 1)
+    return out.join(labels, "subject_id").select("subject_id", "i", "j", rounded(F.col("sup") * 1000).alias("sup"), few.alias("few_looked_at"))
+
+
 @query("leave_one_out", """
   SELECT k, n, round(median, 6) + 0.0 AS median, round(max, 6) + 0.0 AS max FROM (
     SELECT (log2(mask))::INT AS k, count(*) AS n, quantile_cont(v, 0.5) AS median, max(v) AS max FROM lattice WHERE bit_count(mask) = 1 GROUP BY ALL)""")
