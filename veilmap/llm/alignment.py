@@ -12,6 +12,7 @@ texts are encoded once and never shuffled: what travels are positions of pairs w
 from __future__ import annotations
 
 import hashlib
+import json
 import zlib
 from collections.abc import Iterator
 from itertools import repeat
@@ -19,18 +20,43 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import byte_table
-from .common import stored, tidy
+from .common import slices, stored, tidy
 
 #: Text bytes of a chunk. A longer text is a chunk of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 SHIFT = 32
 
 
+# Fixed value: how byte-level BPE parts a text before merging.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def ranks_of(spec: str) -> dict[bytes, int] | None:
+    """Bytes -> id of a plain byte-level BPE whose ids follow the order of its merges; None for any other tokenizer.
+
+    Such a tokenizer is one of ranks, which a faster library encodes alike.
+    """
+    held = json.loads(spec)
+    model, parts = held["model"], held.get("pre_tokenizer") or {}
+    options = (parts.get("add_prefix_space"), parts.get("use_regex", True), model.get("ignore_merges", False), model.get("dropout"))
+    if model.get("type") != "BPE" or parts.get("type") != "ByteLevel" or held.get("normalizer") or options != (False, True, False, None):
+        return None
+    vocabulary, merges = model["vocab"], [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    made = [vocabulary["".join(m)] for m in merges]
+    ranks = {data: i for i, data in enumerate(byte_table(vocabulary, {})) if data}
+    special = {t["id"] for t in held.get("added_tokens") or []}
+    whole = set(made) | {i for t, i in vocabulary.items() if len(t) == 1} == set(vocabulary.values()) - special
+    if not whole or made != sorted(set(made)) or len({bytes([b]) for b in range(256)} & ranks.keys()) < 256:
+        return None
+    return {data: i for data, i in ranks.items() if i not in special}
+
+
 class Pair:
     """Both tokenizers, with the bytes of each id; made once in each Python worker."""
 
@@ -40,28 +66,44 @@ class Pair:
     def __getstate__(self):
         return {"spec": self.spec, "model": self.model, "made": None}
 
+    def left(self):
+        """The encoder of A for a list of texts, special tokens' strings being plain text, and the bytes of each id."""
+        ranks = ranks_of(self.spec)
+        if ranks is not None:
+            import tiktoken
+
+            fast = tiktoken.Encoding("a", pat_str=PARTS, mergeable_ranks=ranks, special_tokens={})
+            table = [b""] * (max(ranks.values()) + 1)
+            for data, i in ranks.items():
+                table[i] = data
+            return lambda texts: [fast.encode_ordinary(t) for t in texts], table
+        from tokenizers import Tokenizer
+
+        a = Tokenizer.from_str(self.spec)
+        a.no_truncation()
+        a.no_padding()
+        a.encode_special_tokens = True
+        table = byte_table(a.get_vocab(with_added_tokens=False), {i: t.content for i, t in a.get_added_tokens_decoder().items()})
+        return lambda texts: [e.ids for e in a.encode_batch_fast(texts, add_special_tokens=False)], table
+
     def get(self):
         if self.made is None:
             import sentencepiece
-            from tokenizers import Tokenizer
 
-            a = Tokenizer.from_str(self.spec)
-            a.no_truncation()
-            a.no_padding()
-            a.encode_special_tokens = True  # their strings in a text are plain text
-            a_bytes = byte_table(a.get_vocab(with_added_tokens=False), {i: t.content for i, t in a.get_added_tokens_decoder().items()})
+            a, a_bytes = self.left()
             b = sentencepiece.SentencePieceProcessor(model_proto=self.model)
             b_bytes = []
             for i in range(b.get_piece_size()):
                 piece = b.id_to_piece(i)
                 b_bytes.append(bytes([int(piece[3:5], 16)]) if b.is_byte(i) else piece.replace("▁", " ").encode())
-            self.made = a, b, a_bytes, b_bytes
+            spelled = [f"{i}{mark}" for i in range(max(len(a_bytes), len(b_bytes))) for mark in (",", "|", ";", "")]
+            self.made = a, b, a_bytes, b_bytes, spelled
         return self.made
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of both sides; none where the text is empty or a side's bytes differ from blank and text."""
-        a, b, a_bytes, b_bytes = self.get()
-        left = [e.ids for e in a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        a, b, a_bytes, b_bytes, _ = self.get()
+        left = a([" " + t for t in texts])
         right = b.encode(texts, num_threads=1)
         for i, t in enumerate(texts):
             want = b" " + t.encode()
@@ -82,14 +124,22 @@ def offsets(ids: list[list[int]], lengths: np.ndarray, bases: np.ndarray) -> tup
     return flat, doc, ends - size, ends
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by sorting."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 def overlaps(doc_a: np.ndarray, start_a: np.ndarray, end_a: np.ndarray, doc_b: np.ndarray, start_b: np.ndarray, end_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions (a, b) of all pairs of tokens whose byte ranges overlap, each once, by a and then b."""
     a = pd.DataFrame({"doc": doc_a, "at": start_a, "a": np.arange(len(doc_a)), "a_end": end_a})
     b = pd.DataFrame({"doc": doc_b, "at": start_b, "b": np.arange(len(doc_b)), "b_end": end_b})
-    into_b = pd.merge_asof(a, b, on="at", by="doc").dropna(subset=["b"])
-    into_a = pd.merge_asof(b, a, on="at", by="doc").dropna(subset=["a"])
-    both = pd.concat([into_b.loc[into_b["at"] < into_b["b_end"], ["a", "b"]], into_a.loc[into_a["at"] < into_a["a_end"], ["a", "b"]]])
-    key = np.unique(both["a"].to_numpy(np.int64) << SHIFT | both["b"].to_numpy(np.int64))
+    into_b, into_a = pd.merge_asof(a, b, on="at", by="doc"), pd.merge_asof(b, a, on="at", by="doc")
+    both = []
+    for side, end in ((into_b, "b_end"), (into_a, "a_end")):
+        covered = (side["at"] < side[end]).to_numpy()  # a start before the other side's first token has no end there
+        both.append(side["a"].to_numpy()[covered].astype(np.int64) << SHIFT | side["b"].to_numpy()[covered].astype(np.int64))
+    key = distinct(np.concatenate(both))
     return key >> SHIFT, key & ((1 << SHIFT) - 1)
 
 
@@ -101,7 +151,7 @@ class Aligned:
         bases = np.cumsum(text_bytes + 1) - (text_bytes + 1)
         self.a, self.doc_a, start_a, end_a = offsets(left, a_sizes, bases)
         self.b, self.doc_b, start_b, end_b = offsets(right, b_sizes, bases)
-        cuts = np.intersect1d(end_a, end_b)
+        cuts = np.intersect1d(end_a, end_b, assume_unique=True)
         self.group_a, self.group_b = np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b)
         self.groups = np.bincount(np.searchsorted(np.cumsum(text_bytes + 1), cuts), minlength=self.docs)
         self.link_a, self.link_b = overlaps(self.doc_a, start_a, end_a, self.doc_b, start_b, end_b)
@@ -111,8 +161,8 @@ class Aligned:
     def per_doc(self, doc: np.ndarray) -> np.ndarray:
         return np.bincount(doc, minlength=self.docs)
 
-    def texts(self) -> list[str]:
-        """``a1,a2|b1;a3|b2,b3`` of each document."""
+    def texts(self, spelled: list[str]) -> list[str]:
+        """``a1,a2|b1;a3|b2,b3`` of each document; ``spelled`` has every id with each of the four marks that may follow."""
         na = len(self.a)
         # Within a group the tokens of A come before those of B.
         place = np.r_[2 * self.group_a, 2 * self.group_b + 1]
@@ -122,9 +172,7 @@ class Aligned:
         final = np.r_[doc[1:] != doc[:-1], True] if len(doc) else last[:0]
         mark = np.where(final[: len(doc)], 3, np.where(last[: len(doc)], 1 + place % 2, 0))
         ids = np.r_[self.a, self.b][order]
-        known, at = np.unique(ids << 2 | mark, return_inverse=True)
-        spelled = [f"{k >> 2}{',|;'[k & 3] if k & 3 < 3 else ''}" for k in known.tolist()]
-        parts = list(map(spelled.__getitem__, at.tolist()))
+        parts = list(map(spelled.__getitem__, (ids << 2 | mark).tolist()))
         ends = np.cumsum(self.per_doc(doc)).tolist()
         return ["".join(parts[lo:hi]) for lo, hi in zip([0, *ends], ends, strict=False)] if na or len(self.b) else [""] * self.docs
 
@@ -149,15 +197,13 @@ def encoded(docs: DataFrame, pair: Pair, *, carry: list[str], text_col: str, chu
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizers = held.value
-        _, _, a_bytes, b_bytes = tokenizers.get()
+        _, _, a_bytes, b_bytes, spelled = tokenizers.get()
         a_sizes, b_sizes = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a_bytes, b_bytes))
         # Numbers within the written table: a task's output is committed once.
         chunk = TaskContext.get().partitionId() << SHIFT
         for batch in batches:
-            sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(width)), 0).to_numpy(zero_copy_only=False)
-            start = 0
-            while start < batch.num_rows:
-                n = max(1, int(np.searchsorted(np.cumsum(sizes[start:]), chunk_bytes, side="right")))
+            sizes = pc.fill_null(pc.binary_length(batch.column(width)), 0).to_numpy(zero_copy_only=False)
+            for start, n in slices(batch, width, chunk_bytes):
                 texts = [t or "" for t in batch.column(width).slice(start, n).to_pylist()]
                 left, right = tokenizers.encode(texts)
                 found = Aligned(left, right, a_sizes, b_sizes, sizes[start : start + n].astype(np.int64))
@@ -165,7 +211,7 @@ def encoded(docs: DataFrame, pair: Pair, *, carry: list[str], text_col: str, chu
                 cut = np.searchsorted(found.link_doc, np.arange(n + 1))
                 of = of.astype(np.uint32)
                 links = [zlib.compress(of[lo:hi].tobytes(), 1) for lo, hi in zip(cut, cut[1:], strict=False)]
-                shas = [hashlib.sha256(s.encode()).hexdigest() if s else "" for s in found.texts()]
+                shas = [hashlib.sha256(s.encode()).hexdigest() if s else "" for s in found.texts(spelled)]
                 numbers = [found.per_doc(found.doc_a), found.per_doc(found.doc_b), found.groups, found.per_doc(found.link_doc)]
                 own = [pa.concat_arrays([batch.column(k).slice(start, n), pa.nulls(1, batch.column(k).type)]) for k in range(width)]
                 listed = pa.list_(pa.int64())
@@ -174,7 +220,7 @@ def encoded(docs: DataFrame, pair: Pair, *, carry: list[str], text_col: str, chu
                      pa.array([*repeat(None, n), keys], listed), pa.array([*repeat(None, n), np.bincount(of, minlength=len(keys))], listed)],
                     schema=names(batch, width),
                 )
-                chunk, start = chunk + 1, start + n
+                chunk += 1
                 tidy()
 
     def names(batch: pa.RecordBatch, width: int) -> pa.Schema:

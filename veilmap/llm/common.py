@@ -57,6 +57,20 @@ def join_small(df: DataFrame, small: DataFrame, key: str, *, rows: int = BROADCA
     return left.join(right, on).drop("__key", "__salt", "__copy")
 
 
+def slices(batch, at: int, most: int = 1 << 20):
+    """(first row, rows) of the slices of an Arrow batch whose strings in column ``at`` take about ``most`` bytes; a longer one is alone."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < batch.num_rows:
+        done = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + most, side="right")))
+        yield start, stop - start
+        start = stop
+
+
 def tidy() -> None:
     """Give freed memory back to the system: a Python worker lives on for many tasks and would keep its largest one's."""
     import ctypes
