@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, tidy
+from .blocks import ODD, mixed
+from .common import fold, slices, tidy
 
 BUCKETS = 1 << 17
 DIM = 16
@@ -28,31 +29,49 @@ GRAMS = (3, 5)
 #: The labelled rows fitted on: about this many at most, chosen by hash, however many there are.
 SAMPLE_ROWS = 6000
 WORDS_REMEMBERED = 100_000
+#: Text bytes whose new words are hashed at once.
+SLICE_BYTES = 1 << 18
 #: The vector of "the word before, again".
 AGAIN = zlib.crc32(b"again", 99)
+#: Tells a whole word's hash from that of an equal n-gram.
+WHOLE = np.uint64(0xA24BAED4963EE407)
 
 
-def features(word: bytes, buckets: int = BUCKETS, grams: tuple[int, int] = GRAMS) -> list[int]:
-    """Buckets of a word and of its byte n-grams between marks; a very long word gives all of them too."""
-    marked = b"<" + word + b">"
-    out = [zlib.crc32(marked, 7) % buckets]
-    crc = zlib.crc32
-    for n in range(grams[0], min(grams[1], len(marked) - 1) + 1):
-        out += [crc(marked[i : i + n]) % buckets for i in range(len(marked) - n + 1)]
-    return out
+def features(words: list[bytes], buckets: int = BUCKETS, grams: tuple[int, int] = GRAMS) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words and of their byte n-grams between marks, and the word each belongs to; by n, then in order.
+
+    All words are hashed at once: a polynomial over the joined bytes, of which prefix sums give every stretch.
+    """
+    marked = b"".join([b"<" + w + b">" for w in words])
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    ends = np.cumsum(sizes)
+    word = np.repeat(np.arange(len(words)), sizes)
+    n = len(marked)
+    sums, powers, back = np.zeros(n + 1, np.uint64), np.full(n, ODD, np.uint64), np.full(n, pow(int(ODD), -1, 1 << 64), np.uint64)
+    powers[:1] = back[:1] = 1
+    np.cumsum((np.frombuffer(marked, np.uint8).astype(np.uint64) + np.uint64(1)) * np.cumprod(powers, dtype=np.uint64), dtype=np.uint64, out=sums[1:])
+    back = np.cumprod(back, dtype=np.uint64)
+    at, stop = ends - sizes, ends
+    found, owner = [(sums[stop] - sums[at]) * back[at] + WHOLE], [np.arange(len(words))]
+    left = ends[word] - np.arange(n)  # bytes up to the end of the word
+    for k in range(grams[0], grams[1] + 1):
+        at = np.flatnonzero((left >= k) & (sizes[word] > k))
+        found.append((sums[at + k] - sums[at]) * back[at])
+        owner.append(word[at])
+    return (mixed(np.concatenate(found)) % np.uint64(buckets)).astype(np.int64), np.concatenate(owner)
 
 
 def bag(text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and their shares of all its features."""
     words = text.encode().split()
     counts = Counter(words)
-    found, times = [features(w, buckets) for w in counts], list(counts.values())
+    found, owner = features(list(counts), buckets)
+    repeats = np.fromiter(counts.values(), float, len(counts))[owner]
     if again := sum(a == b for a, b in zip(words, words[1:], strict=False)):
-        found, times = [*found, [AGAIN % buckets]], [*times, again]
-    if not found:
+        found, repeats = np.r_[found, AGAIN % buckets], np.r_[repeats, float(again)]
+    if not len(found):
         return np.empty(0, np.int32), np.empty(0, np.float32)
-    repeats = np.repeat(np.asarray(times, float), [len(f) for f in found])
-    idx, at = np.unique(np.concatenate([np.asarray(f, np.int32) for f in found]), return_inverse=True)
+    idx, at = np.unique(found.astype(np.int32), return_inverse=True)
     share = np.bincount(at, repeats)
     return idx, (share / share.sum()).astype(np.float32)
 
@@ -125,27 +144,32 @@ def score_column(docs: DataFrame, model: tuple[np.ndarray, float], *, text_col:
         table, bias = held.value
         buckets = len(table)
         known: dict[bytes, int] = {}
-        sums, sizes = np.zeros(remembered * 2), np.zeros(remembered * 2)
+        sums, sizes = np.zeros(remembered), np.zeros(remembered)
         for batch in batches:
             out = np.empty(batch.num_rows)
-            for r, text in enumerate(batch.column(batch.num_columns - 1)):
-                words = text.as_py().encode().split()
+            for start, rows in slices(batch, batch.num_columns - 1, SLICE_BYTES):
+                texts = [t.encode().split() for t in batch.column(batch.num_columns - 1).slice(start, rows).to_pylist()]
                 if len(known) > remembered:
                     known.clear()
-                new = set(words).difference(known)
-                if len(known) + len(new) > len(sums):
-                    sums, sizes = np.resize(sums, len(known) + len(new)), np.resize(sizes, len(known) + len(new))
-                for w in new:
-                    f = features(w, buckets)
-                    at = known[w] = len(known)
-                    sums[at], sizes[at] = table[f].sum(), len(f)
-                at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-                again = int((at[1:] == at[:-1]).sum())
-                z = bias + ((sums[at].sum() + again * table[AGAIN % buckets]) / (sizes[at].sum() + again) if words else 0.0)
-                out[r] = 1 / (1 + np.exp(-z)) if z > -500 else 0.0
+                new = list(set().union(*texts).difference(known))
+                first = len(known)
+                if first + len(new) > len(sums):
+                    sums, sizes = (np.r_[x, np.zeros(first + len(new))] for x in (sums, sizes))
+                found, owner = features(new, buckets)
+                sums[first : first + len(new)] = np.bincount(owner, table[found], len(new))
+                sizes[first : first + len(new)] = np.bincount(owner, minlength=len(new))
+                known.update(zip(new, range(first, first + len(new)), strict=True))
+                for r, words in enumerate(texts, start):
+                    at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+                    again = int((at[1:] == at[:-1]).sum())
+                    z = bias + ((sums[at].sum() + again * table[AGAIN % buckets]) / (sizes[at].sum() + again) if words else 0.0)
+                    out[r] = 1 / (1 + np.exp(-z)) if z > -500 else 0.0
+                del texts, new, found, owner
             own = [batch.column(k) for k in range(len(keep))]
             tidy()
             yield pa.RecordBatch.from_arrays([*own, pa.array(out)], names=[*keep, name])
+        known.clear()
+        tidy()
 
     return source.mapInArrow(run, T.StructType([*source.drop("__text").schema.fields, T.StructField(name, T.DoubleType())]))
 
