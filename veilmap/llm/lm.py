@@ -20,10 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import tidy
+from .common import slices, tidy
 
 ORDER = 2
 STRENGTH = 300.0
+#: Distinct tokens whose counts a task holds before it sends them.
+HELD_KEYS = 500_000
 #: The symbol that ends a text and starts the next; no word holds a blank.
 END = b" "
 
@@ -123,16 +125,24 @@ class Automaton:
 def totals(docs: DataFrame, text_col: str, bits: int) -> tuple[int, int]:
     """Tokens and distinct tokens of the training documents, ends included."""
 
+    most = HELD_KEYS
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
         for batch in batches:
-            grams = Grams(batch.column(0).to_pylist(), 1)
-            counts = grams.counts(0, np.ones(batch.num_rows, bool))
-            used = counts > 0
-            yield from B.rows(B.PACKED_SCHEMA, B.packed(0, 0, grams.keys[0][used], bits, counts[used])).to_batches()
+            for start, n in slices(batch, 0):
+                grams = Grams(batch.column(0).slice(start, n).to_pylist(), 1)
+                keys, of = np.unique(np.concatenate([keys, grams.keys[0]]), return_inverse=True)
+                counts = np.bincount(of, np.concatenate([counts, grams.counts(0, np.ones(n, bool))])).astype(np.int64)
+                if len(keys) > most:
+                    yield from B.rows(B.PACKED_SCHEMA, B.packed(0, 0, keys, bits, counts)).to_batches()
+                    keys, counts = keys[:0], counts[:0]
+        used = counts > 0
+        yield from B.rows(B.PACKED_SCHEMA, B.packed(0, 0, keys[used], bits, counts[used])).to_batches()
 
     def add(key: tuple, group: pa.Table) -> pa.Table:
         _, _, keys, counts = B.unpack(group)
-        return pa.table({"tokens": [int(counts.sum())], "types": [len(np.unique(keys))]})
+        return pa.table({"tokens": [int(counts.sum())], "types": [len(np.unique(keys[counts > 0]))]})
 
     sent = docs.select(F.col(text_col)).mapInArrow(send, B.PACKED)
     got = sent.groupBy("bucket").applyInArrow(add, "tokens bigint, types bigint").agg(F.sum("tokens"), F.sum("types")).first()
