@@ -103,3 +103,68 @@ def test_folds_are_never_learned_from(spark):
     lied = docs.withColumn("lang", F.when(fold("doc_id", 5, 0), "xx").otherwise(F.col("lang")))
     model = language.train(lied.where(~fold("doc_id", 5, 0)))
     assert "xx" not in model["langs"] and Counter(model["langs"])["en"] == 1
+
+
+def test_letter_like_numbers_are_no_letters(spark):
+    rows = [(1, "½"), (2, "² ①"), (3, "Ⅷ 12 _"), (4, "½a"), (5, "日"), (6, "́")]
+    model = language.build([("a", "en", 5), ("b", "de", 5)], [("a", "en", 5), ("日", "de", 5)])
+    got = {r.doc_id: r.lang_pred for r in language.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got == {1: "und", 2: "und", 3: "und", 4: "en", 5: "de", 6: "und"}
+
+
+def test_language_against_brute_force(spark):
+    rng = random.Random(8)
+    alphabets = {"aa": "abcdeé", "bb": "bcdfgñ", "cc": "cdghüß"}
+    docs = [(i, " ".join("".join(rng.choice(alphabets[lang]) for _ in range(rng.randint(1, 6))) + rng.choice(["", ",", "½", "7", "'"]) for _ in range(rng.randint(1, 40))), lang) for i, lang in enumerate(sorted(alphabets) * 30)]
+    docs += [(900, None, "aa"), (901, "abc", None), (902, "", "bb")]
+    split = lambda t: "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()
+    words, grams = Counter(), Counter()
+    for _, text, lang in docs:
+        if text is not None and lang is not None:
+            words.update((w, lang) for w in split(text))
+    for (w, lang), n in words.items():
+        m = f"<{w}>"
+        grams.update({(m[i : i + k], lang): 0 for k in range(1, 5) for i in range(len(m) - k + 1)})
+        for k in range(1, 5):
+            for i in range(len(m) - k + 1):
+                grams[m[i : i + k], lang] += n
+    words, grams = ({k: n for k, n in c.items() if n >= 2} for c in (words, grams))
+    langs = sorted(alphabets)
+
+    def table(counts):
+        total = {x: sum(n for (_, y), n in counts.items() if y == x) + 0.1 * len({t for t, _ in counts}) for x in langs}
+        return {t: np.log([(counts.get((t, x), 0) + 0.1) / total[x] for x in langs]) for t, _ in counts}
+
+    known, by_length = table(words), {k: table({g: n for g, n in grams.items() if len(g[0]) == k}) for k in range(1, 5)}
+
+    def vector(word):
+        if word in known:
+            return known[word]
+        m = f"<{word}>"
+        for k in (4, 3, 2, 1):
+            hits = [by_length[k][m[i : i + k]] for i in range(len(m) - k + 1) if m[i : i + k] in by_length[k]]
+            if hits and (k > 1 or len(hits) > 2):
+                return np.mean(hits, axis=0)
+        return np.zeros(len(langs))
+
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    asked = spark.createDataFrame([(i, t) for i, t, _ in docs] + [(990, "abüß zzz"), (991, "qq ñ")], "doc_id long, text string")
+    for r in language.predict(asked, language.train(frame)).collect():
+        z = sum((vector(w) for w in split(r.text)), np.zeros(len(langs)))
+        if not split(r.text):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+        else:
+            assert r.lang_pred == langs[int(np.argmax(z))] and r.score == pytest.approx(1 / np.exp(z - z.max()).sum(), abs=1e-4)
+
+
+def test_features_of_many_words_are_those_of_each():
+    rng = random.Random(4)
+    words = [bytes(rng.choice(b"abc\xc3\xa9") for _ in range(rng.randint(0, 12))) for _ in range(200)]
+    found, owner = quality.features(words, 1 << 20)
+    for i, w in enumerate(words):
+        alone, _ = quality.features([w], 1 << 20)
+        assert sorted(found[owner == i]) == sorted(alone)
+        size = len(w) + 2
+        assert len(alone) == 1 + sum(size - n + 1 for n in range(3, min(5, size - 1) + 1))
+    same, _ = quality.features([b"xabcx", b"yabcy"], 1 << 40)
+    assert len(np.unique(same)) == len(same) - 1  # the gram they share

@@ -16,10 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidy
+
 LONGEST = 4
 #: About so many documents of each language at most are learned from, chosen by hash.
 ROWS_PER_LANGUAGE = 800
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Characters that Python's \w takes though they are numbers and no letters, as fractions, superscripts, Roman numerals.
+NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+#: Runs of letters, the same as Java's \p{L} by which the training side splits.
+LETTERS = re.compile(rf"[^\W\d_{re.escape(NUMBERS)}]+")
 WORDS_REMEMBERED = 100_000
 
 
@@ -119,6 +124,8 @@ def predict(docs: DataFrame, model: dict, *, text_col: str = "text", keep: list[
                 scores[r] = 1 / np.exp(z - z[best]).sum()
             own = [batch.column(k) for k in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*own, pa.array(langs, pa.string()), pa.array(scores)], names=[*keep, "lang_pred", "score"])
+        known.clear()
+        tidy()
 
     extra = T.StructType.fromDDL("lang_pred string, score double").fields
     return source.mapInArrow(run, T.StructType([*source.drop("__text").schema.fields, *extra]))
