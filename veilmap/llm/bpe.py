@@ -137,6 +137,21 @@ class Codec:
         return b"".join(table[i] for i in ids if 0 <= i < len(table)).decode("utf-8", "replace")
 
 
+class Coder:
+    """A codec that each Python worker makes once, however many tasks it runs."""
+
+    def __init__(self, spec: str, leaf: int):
+        self.spec, self.leaf, self.codec = spec, leaf, None
+
+    def __getstate__(self):
+        return {"spec": self.spec, "leaf": self.leaf, "codec": None}
+
+    def get(self) -> Codec:
+        if self.codec is None:
+            self.codec = Codec(self.spec, self.leaf)
+        return self.codec
+
+
 def encode_column(docs: DataFrame, spec: str, *, text_col: str = "text", keep: list[str] | None = None, outputs: tuple[str, ...] = ("ids",), leaf: int = LEAF) -> DataFrame:
     """Adds to the kept columns any of: ids (array<int>), decoded, n_tokens, ids_sha256, decoded_sha256.
 
@@ -147,13 +162,13 @@ def encode_column(docs: DataFrame, spec: str, *, text_col: str = "text", keep: l
     keep = docs.columns if keep is None else keep
     keep = [c for c in keep if c not in outputs]
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"))
-    held = docs.sparkSession.sparkContext.broadcast(spec)
+    held = docs.sparkSession.sparkContext.broadcast(Coder(spec, leaf))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        codec = Codec(held.value, leaf)
+        codec = held.value.get()
         for batch in batches:
             start = 0
             texts = batch.column(batch.num_columns - 1)
