@@ -137,9 +137,9 @@ def test_bayes_step_errors(spark):
 
 
 def test_stall_uses_the_largest_change(spark):
-    p = B.prior(raw(spark, [("s", "UK", 0.5), ("s", "US", 0.4), ("s", "SE", 0.3)])).withColumn("level", F.lit("country"))
-    r = spark.createDataFrame([("s", "country", 1, "UK", 0, 4.0, 0.1375), ("s", "country", 1, "US", 1, 2.0, 0.152), ("s", "country", 1, "SE", 2, 3.0, 0.0)],
-                              "subject_id string, level string, step int, label string, ord int, c double, alpha double")
+    p = spark.createDataFrame([("s", "coast", x, o, w) for o, (x, w) in enumerate([("north", 0.45), ("south", 0.35), ("east", 0.2)])], "subject_id string, level string, label string, ord int, p double")
+    rows = [("s", "coast", 1, "north", 0, 4.0, 0.11), ("s", "coast", 1, "south", 1, 2.0, 0.13), ("s", "coast", 1, "east", 2, 3.0, 0.0)]
+    r = spark.createDataFrame(rows, "subject_id string, level string, step int, label string, ord int, c double, alpha double")
     t = U.sequential_posterior(p.select("subject_id", "level", "label", "ord", "p"), r)
     assert t.first()["delta_p"] < 0.05
     assert [e["type"] for e in U.belief_events(U.step_facts(t)).collect()] == ["enhance_flag"]

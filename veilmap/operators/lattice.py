@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,6 +125,42 @@ def interactions(lattice: DataFrame, *, value: str = "v") -> DataFrame:
     return each.groupBy("subject_id", "m", "k", "l").agg(F.sum(signed * weight).alias("sii"), F.sum(empty).alias("i_empty"))
 
 
+def dividends(v: np.ndarray) -> np.ndarray:
+    """Moebius transform of a game's values by mask: what each set of cues adds beyond all its subsets, in m * 2^m steps."""
+    a = v.astype(float).copy()
+    for b in range(len(a).bit_length() - 1):
+        halves = a.reshape(-1, 2, 1 << b)
+        halves[:, 1] -= halves[:, 0]
+    return a
+
+
+def interactions_by_dividends(lattice: DataFrame, *, value: str = "v") -> DataFrame:
+    """As ``interactions``, for complete lattices of up to ``MAX_CUES`` cues: no row per pair and mask.
+
+    A pair's index is the sum of the dividends of all sets that hold both cues, each over its size less one. A group is one
+    subject's lattice, 2^m values. A mask that is missing counts as 0; larger subjects are an error.
+    """
+    kind = lattice.schema["subject_id"].dataType.simpleString()
+    most = MAX_CUES
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        m = int(key[1].as_py())
+        if m > most:
+            raise ValueError(f"lattices of at most {most} cues are worked out whole")
+        v = np.zeros(1 << m)
+        v[group.column("mask").to_numpy()] = group.column("v").to_numpy()
+        a = dividends(v)
+        share = a / np.maximum(np.bitwise_count(np.arange(1 << m)).astype(int) - 1, 1)
+        pairs = [(k, x) for k in range(m) for x in range(k + 1, m)]
+        both = [share.reshape(-1, 2, 1 << (x - k - 1), 2, 1 << k)[:, 1, :, 1].sum() for k, x in pairs]
+        empty = [a[1 << k | 1 << x] - v[0] for k, x in pairs]
+        n = len(pairs)
+        return pa.table({"subject_id": pa.array([key[0].as_py()] * n, group.schema.field("subject_id").type), "m": pa.array([m] * n, pa.int64()), "k": pa.array([k for k, _ in pairs], pa.int32()), "l": pa.array([x for _, x in pairs], pa.int32()), "sii": pa.array(both, pa.float64()), "i_empty": pa.array(empty, pa.float64())})
+
+    own = lattice.where(F.col("m") >= 2).select("subject_id", F.col("m").cast("bigint").alias("m"), "mask", F.col(value).cast("double").alias("v"))
+    return own.groupBy("subject_id", "m").applyInArrow(run, f"subject_id {kind}, m bigint, k int, l int, sii double, i_empty double")
+
+
 def pair_tags(lattice: DataFrame, *, value: str = "v") -> DataFrame:
     """synergy / redundant / additive from v(kl), v(k), v(l)."""
     each = _cue_pairs(lattice, value)

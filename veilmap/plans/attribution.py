@@ -42,6 +42,30 @@ def sii(spark, sf):
     return i.select("subject_id", "m", "k", "l", rounded("sii").alias("sii"), rounded("i_empty").alias("i_empty"))
 
 
+sql_view("wide_game", """
+  SELECT w.subject_id, mask, sqrt(CAST(sum(CASE WHEN (mask >> cue) & 1 = 1 THEN worth ELSE 0 END) AS DOUBLE)) AS v FROM (
+    SELECT n_regionkey AS subject_id, c_custkey % 16 AS cue, count(*) * (1 + any_value(c_custkey % 16)) AS worth FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL) w
+  CROSS JOIN (SELECT unnest(generate_series(0, 65535)) AS mask) GROUP BY ALL""")
+
+
+@query("sii_wide", """
+  SELECT subject_id, k, l, round(sum(s * v * f(n) ), 6) + 0.0 AS sii, round(sum(CASE WHEN n = 0 THEN CASE WHEN ik + il = 2 THEN v WHEN ik + il = 1 THEN -v ELSE 0.0 END ELSE 0.0 END), 6) + 0.0 AS i_empty FROM (
+    SELECT *, bit_count(mask) - ik - il AS n, CASE WHEN ik + il = 1 THEN -1.0 ELSE 1.0 END AS s FROM (
+      SELECT g.subject_id, g.mask, g.v, a.k, b.l, (g.mask >> a.k) & 1 AS ik, (g.mask >> b.l) & 1 AS il
+      FROM wide_game g CROSS JOIN (SELECT unnest(generate_series(0, 15)) AS k) a JOIN (SELECT unnest(generate_series(0, 15)) AS l) b ON a.k < b.l)) GROUP BY ALL""".replace("f(n)", "(factorial(CAST(n AS INTEGER)) * factorial(CAST(14 - n AS INTEGER)) / CAST(factorial(15) AS DOUBLE))"))
+def sii_wide(spark, sf):
+    """Interaction indices of games of 16 cues: the regions, whose cues are shares of their customers."""
+    c, n = V.table(spark, sf, "customer"), V.table(spark, sf, "nation").select("n_nationkey", "n_regionkey")
+    cue = F.col("c_custkey") % 16
+    own = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_regionkey").alias("subject_id"), cue.alias("cue")).agg((F.count(F.lit(1)) * (1 + cue)).alias("worth"))
+    listed = own.groupBy("subject_id").agg(F.collect_list(F.struct("cue", "worth")).alias("cues"))  # 16 at most
+    each = listed.withColumn("mask", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(65535).cast("bigint"))))
+    total = F.aggregate("cues", F.lit(0).cast("bigint"), lambda t, x: t + F.when(F.call_function("shiftright", F.col("mask"), x["cue"].cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1, x["worth"]).otherwise(0))
+    game = each.select("subject_id", F.lit(16).alias("m"), "mask", F.sqrt(total.cast("double")).alias("v"))
+    out = L.interactions_by_dividends(game)
+    return out.select("subject_id", "k", "l", rounded("sii").alias("sii"), rounded("i_empty").alias("i_empty"))
+
+
 @query("interaction_class", """
   SELECT kind, sum(CASE WHEN x < -0.01 THEN 1 ELSE 0 END)::BIGINT AS n_overlap,
          sum(CASE WHEN x BETWEEN -0.01 AND 0.01 THEN 1 ELSE 0 END)::BIGINT AS n_additive,
