@@ -13,7 +13,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star: each node's larger neighbours are tied to its least neighbour. Small-star: its smaller neighbours and
     itself are. Both keep the components; after a few rounds (about the logarithm of the nodes) every component is one
-    star. The least neighbour is an aggregate joined back, so a node of very many neighbours is split like any skewed key.
+    star. The least neighbour is an aggregate joined back; the centre of a large star is one key of that join, of small rows.
     """
     now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "cc")
     mark = None

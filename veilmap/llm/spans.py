@@ -1,9 +1,9 @@
-"""Substring deduplication by relative Lempel-Ziv parsing.
+"""Substring deduplication by an exchange of window hashes.
 
-Documents lie in blocks of consecutive ids, and every block is indexed as a reference: the index knows for each string
-of ``window`` words the first block in which it starts. Every document is then factored from left to right: a factor is
-as long a run of words as one reference block holds window by window before this place, and the windows that straddle
-the boundary of two factors are looked up like any other. Factors of at least ``window`` words are duplicate spans.
+Documents lie in blocks of consecutive ids. Each string of ``window`` words is hashed, and a corpus-wide exchange tells for
+every hash the first block in which it starts. A document's windows that start earlier, in another block or before in this
+one, cover the words that go. Consecutive hits of one block are grouped to spans. This takes the place of a relative
+Lempel-Ziv parse: no factor is extended greedily against a reference block, and none is matched longest-first.
 """
 
 from __future__ import annotations

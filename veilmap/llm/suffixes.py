@@ -5,8 +5,8 @@ its length with the least hash; equal windows have equal anchors. Anchors are co
 exchange of ``blocks``. Where an anchor occurs more than once, the run of windows around it, its region, goes to the
 shard of the anchor. A shard removes doubles of whole regions, builds the suffix array of what is left by
 Larsson-Sadakane refinement, takes common prefixes as Kasai does, and marks every window that shares ``length`` bytes
-with its neighbour. The windows of an anchor too frequent for one shard are dealt over all shards by their digests, each
-sender's sorted list of which is merged with the others' by binary search. Marks go back to the blocks, which cut the bytes.
+with its neighbour. The windows of an anchor too frequent for one shard are dealt over all shards by their digests and counted
+there. Shards are not merged with each other. Marks go back to the blocks, which cut the bytes.
 """
 
 from __future__ import annotations
