@@ -102,6 +102,24 @@ def read_sweep(spark, sf):
     return out.select("subject_id", "mask", "label", rounded("p").alias("p"), F.coalesce("n_cues", F.lit(0)).alias("n_cues"), rounded(F.coalesce("v_sum", F.lit(0.0))).alias("v_sum"))
 
 
+@query("read_sweep_split", f"""
+  WITH m AS (SELECT c_custkey, 0 AS mask, 1 AS s FROM customer UNION ALL SELECT c_custkey, 1, 2 FROM customer)
+  SELECT c_custkey::VARCHAR AS subject_id, mask::BIGINT AS mask, label, round({_SHARE}, 6) + 0.0 AS p,
+         CASE c_custkey % 4 WHEN 0 THEN 'a "sign", {{left}}' WHEN 1 THEN '}}]' || chr(92) WHEN 2 THEN chr(92) || '"{{' ELSE c_name END AS cue, c_acctbal::DOUBLE AS v
+  FROM m JOIN customer USING (c_custkey) CROSS JOIN (VALUES ('north', 0), ('south', 1)) l(label, k)""")
+def read_sweep_split(spark, sf):
+    """Arrays of 20,000 records, each on one line, read by as many tasks as the splits allow; cue names hold braces, quotes and backslashes."""
+    by, back = F.col("c_custkey") % 4, chr(92)
+    name = F.when(by == 0, 'a "sign", {left}').when(by == 1, "}]" + back).when(by == 2, back + '"{').otherwise(F.col("c_name"))
+    cue = F.struct(name.alias("cue"), F.lit("sign").alias("category"), F.col("c_acctbal").cast("double").alias("mpl"))
+    c = V.table(spark, sf, "customer").select(
+        "c_custkey", F.col("c_custkey").cast("string").alias("image_id"), F.lit(1).alias("n_cues"), _spread_belief(1).alias("posterior"),
+        _spread_belief(2).alias("prior_allmask"), F.array(cue).alias("per_cue"),
+    )
+    beliefs, cues = R.read_sweep(spark, arrays_of(c, F.floor(F.col("c_custkey") / 20_000), scratch_path(spark, "sweep")), split=True)
+    return beliefs.join(cues.select("subject_id", "cue", "v"), "subject_id").select("subject_id", "mask", "label", rounded("p").alias("p"), "cue", "v")
+
+
 @query("read_points", """
   SELECT s_suppkey || '.jpg' AS subject_id, (s_nationkey - 12) * 5.25 AS lat, s_acctbal / 100.0 AS lon FROM supplier""")
 def read_points(spark, sf):

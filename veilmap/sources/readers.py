@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.columns import mask_of
+from .json_arrays import read_array
 
 
 def last_wins(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -60,16 +61,23 @@ def read_lattice(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _label_rows(full.unionByName(combos), ["subject_id", "mask"], "d")
 
 
-def read_sweep(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Sweep records -> (long beliefs, cues). Mask 0 is the posterior, bit k hides cue k."""
-    raw = spark.read.schema(schemas.SWEEP).option("multiLine", True).json(path).withColumnRenamed("image_id", "subject_id")
+def read_sweep(spark: SparkSession, path: str, *, split: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Sweep records -> (long beliefs, cues). Mask 0 is the posterior, bit k hides cue k.
+
+    With ``split`` a large array is read by many tasks; without, each file is read by one.
+    """
+    raw = read_array(spark, path, schemas.SWEEP) if split else spark.read.schema(schemas.SWEEP).option("multiLine", True).json(path)
+    raw = raw.withColumnRenamed("image_id", "subject_id")
     one = F.lit(1).cast("bigint")
     bit = lambda k: F.call_function("shiftleft", one, k.cast("int"))
-    full = raw.select("subject_id", F.lit(0).cast("bigint").alias("mask"), F.col("posterior").alias("d"))
-    every = raw.where(F.col("n_cues") >= 1).select("subject_id", (bit(F.col("n_cues")) - 1).alias("mask"), F.col("prior_allmask").alias("d"))
+    belief = lambda mask, d: F.struct(mask.cast("bigint").alias("mask"), d.alias("d"))
+    each_cue = F.transform("per_cue", lambda c, k: belief(F.when(F.col("n_cues") > 1, bit(k)), c["prior"]))
+    every = belief(F.when(F.col("n_cues") >= 1, bit(F.col("n_cues")) - 1), F.col("prior_allmask"))
+    # All beliefs of a record leave it at once, so the files are read once.
+    dists = F.concat(F.array(belief(F.lit(0), F.col("posterior")), every), F.coalesce(each_cue, F.array()))
+    one_each = raw.select("subject_id", F.explode(dists).alias("b")).where(F.col("b.mask").isNotNull() & F.col("b.d").isNotNull())
+    beliefs = _label_rows(one_each.select("subject_id", "b.mask", "b.d"), ["subject_id", "mask"], "d")
     each = raw.select("subject_id", "n_cues", F.posexplode("per_cue").alias("k", "c"))
-    single = each.where((F.col("n_cues") > 1) & F.col("c.prior").isNotNull()).select("subject_id", bit(F.col("k")).alias("mask"), F.col("c.prior").alias("d"))
-    beliefs = _label_rows(full.unionByName(every).unionByName(single), ["subject_id", "mask"], "d")
     cues = each.select("subject_id", F.col("n_cues").alias("m"), "k", "c.cue", "c.category", F.col("c.mpl").alias("v"))
     return beliefs, cues
 
