@@ -13,6 +13,7 @@ from ..operators import evaluation as E
 from ..operators import geometry as G
 from ..operators import leakage as K
 from ..operators.scale import largest_group, spread, summarise
+from ..session import scratch_path
 from . import views as V
 from .registry import query, sql_view
 from .views import rounded, sql_haversine
@@ -141,6 +142,24 @@ def distinct_places(spark, sf):
     return n.crossJoin(F.broadcast(c))  # one row each
 
 
+@query("distinct_estimates", """
+  SELECT what, n, true AS close, true AS same FROM (
+    SELECT 'orders' AS what, count(DISTINCT l_orderkey) AS n FROM lineitem UNION ALL SELECT 'parts', count(DISTINCT l_partkey) FROM lineitem
+    UNION ALL SELECT 'customers', count(DISTINCT user_id) FROM events) WHERE n > 0""")
+def distinct_estimates(spark, sf):
+    """Distinct values exactly and from stored sketches: one sketch a return flag or event type, united when they are read again."""
+    l, e = V.table(spark, sf, "lineitem"), V.table(spark, sf, "events")
+    pick = lambda df, what, part, value: df.select(F.lit(what).alias("what"), F.col(part).alias("part"), F.col(value).cast("bigint").alias("value"))
+    rows = pick(l, "orders", "l_returnflag", "l_orderkey").unionByName(pick(l, "parts", "l_returnflag", "l_partkey")).unionByName(pick(e, "customers", "event_type", "user_id"))
+    path = scratch_path(spark, "sketches")
+    E.distinct_sketches(rows, ["what", "part"], "value").write.parquet(path)
+    united = E.distinct_estimate(spark.read.parquet(path), ["what"])
+    whole = E.distinct_estimate(E.distinct_sketches(rows, ["what"], "value"), ["what"]).withColumnRenamed("estimate", "whole")
+    exact = rows.select("what", "value").distinct().groupBy("what").agg(F.count("value").alias("n"))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 0.03 * F.col(b)
+    return exact.join(united, "what").join(whole, "what").select("what", "n", near("estimate", "n").alias("close"), near("estimate", "whole").alias("same"))
+
+
 # Clean-gallery report: beliefs over merged places ------------------------------------------
 
 @query("clean_gallery_summary", f"""
@@ -314,11 +333,11 @@ def tau_grid() -> list[float]:
     return [0.3 + 2.7 * i / 54.0 for i in range(55)] + [3.2 + 4.8 * i / 24.0 for i in range(25)]
 
 
-def tempered_scores(spark, sf, taus):
-    b = V.long_beliefs(spark, sf, every_mask=False).where(F.col("mask") == 0)
-    taus = F.explode(F.array(*map(F.lit, taus))) if isinstance(taus, list) else taus
-    grid = b.select("subject_id", "truth", "ord", "p", taus.alias("tau"))
-    return E.score_beliefs(B.temper(grid, keys=("subject_id", "tau")), keys=["subject_id", "tau"])
+def calibration_beliefs(spark, sf):
+    """Full-view beliefs in gallery order with the place of the truth in them."""
+    wide = V.wide_beliefs(spark, sf, every_mask=False).where(F.col("mask") == 0)
+    at = V.gallery_small(spark, sf).select(F.col("ord").alias("truth"), "pos")  # at most the 25 nations
+    return wide.join(F.broadcast(at), "truth", "left")
 
 
 @query("temperature_fit", """
@@ -326,8 +345,8 @@ def tempered_scores(spark, sf, taus):
   SELECT round(tau, 6) + 0.0 AS tau, round(nll, 6) + 0.0 AS nll, rank() OVER (ORDER BY round(nll, 10), tau) AS place FROM a""")
 def temperature_fit(spark, sf):
     """NLL of the training half for every temperature, best first."""
-    t = tempered_scores(spark, sf, tau_grid()).where(F.col("subject_id") % 2 == 0)
-    nll = t.groupBy("tau").agg(F.avg(-F.log(F.greatest(F.col("p_true"), F.lit(1e-12)))).alias("nll"))
+    train = calibration_beliefs(spark, sf).where(F.col("subject_id") % 2 == 0)
+    nll = E.grid_losses(train, tau_grid(), truth="pos")
     # 80 rows: one per grid point.
     return nll.select(rounded("tau").alias("tau"), rounded("nll").alias("nll"), F.rank().over(W.orderBy(F.round("nll", 10), "tau")).alias("place"))
 
@@ -339,11 +358,15 @@ def temperature_fit(spark, sf):
   SELECT round(s.tau, 6) + 0.0 AS tau, count(*) AS n, round(avg(-ln(greatest(pt, 1e-12))), 6) + 0.0 AS nll, round(avg(brier), 6) + 0.0 AS brier, round(any_value(ece), 6) + 0.0 AS ece FROM s JOIN e ON s.tau = e.tau GROUP BY s.tau""")
 def calibration_metrics(spark, sf):
     """Test-half metrics at temperature 1 and at the fitted temperature."""
-    scored = tempered_scores(spark, sf, tau_grid())
-    train = scored.where(F.col("subject_id") % 2 == 0).groupBy("tau").agg(F.round(F.avg(-F.log(F.greatest(F.col("p_true"), F.lit(1e-12)))), 10).alias("nll"))
-    best = E.fit_temperature(train).withColumnRenamed("tau", "best")  # one row
-    test = scored.where(F.col("subject_id") % 2 == 1).crossJoin(F.broadcast(best))
-    test = test.where((F.col("tau") == F.col("best")) | (F.abs(F.col("tau") - 1.0) < 1e-9))
+    train = calibration_beliefs(spark, sf).where(F.col("subject_id") % 2 == 0)
+    nll = E.grid_losses(train, tau_grid(), truth="pos").select("tau", F.round("nll", 10).alias("nll"))
+    best = E.fit_temperature(nll).withColumnRenamed("tau", "best")  # one row
+    one = next(t for t in tau_grid() if abs(t - 1.0) < 1e-9)
+    b = V.long_beliefs(spark, sf, every_mask=False).where((F.col("mask") == 0) & (F.col("subject_id") % 2 == 1)).crossJoin(F.broadcast(best))
+    # Only two temperatures are needed of the other half.
+    two = F.explode(F.array_distinct(F.array_compact(F.array(F.lit(one), "best"))))
+    tempered = B.temper(b.select("subject_id", "truth", "ord", "p", two.alias("tau")), keys=("subject_id", "tau"))
+    test = E.score_beliefs(tempered, keys=["subject_id", "tau"])
     out = E.calibration(test, keys=["tau"])
     return out.select(rounded("tau").alias("tau"), "n", rounded("nll").alias("nll"), rounded("brier").alias("brier"), rounded("ece").alias("ece"))
 
