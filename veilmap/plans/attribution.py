@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import table_functions
 from ..functions.columns import full_mask, mask_indices
 from ..operators import beliefs as B
 from ..operators import lattice as L
@@ -201,6 +202,16 @@ def subset_order(spark, sf):
     return e.select("subject_id", F.col("m").cast("bigint").alias("m"), "mask", F.row_number().over(order).alias("position"))
 
 
+@query("subset_order_sql", """
+  SELECT subject_id, m, mask, row_number() OVER (PARTITION BY subject_id ORDER BY bit_count(mask), list_filter(generate_series(0, m - 1), lambda k: (mask >> k) & 1 = 1)) AS position
+  FROM subject_masks WHERE mask > 0""")
+def subset_order_sql(spark, sf):
+    """Cue subsets from SQL text, by the registered table function."""
+    table_functions.register(spark)
+    subjects = V.subjects(spark, sf).select("subject_id", F.col("m").cast("bigint").alias("m"))
+    return spark.sql("SELECT s.subject_id, s.m, u.mask, u.position FROM {s} s, LATERAL subset_masks(s.m, 6) u", s=subjects)
+
+
 @query("lattice_gaps", """
   SELECT subject_id, m, mask FROM lattice WHERE m >= 3 AND bit_count(mask) BETWEEN 2 AND m - 1 AND NOT v > 0.05""")
 def lattice_gaps(spark, sf):

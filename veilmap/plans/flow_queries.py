@@ -265,7 +265,7 @@ def stream_static_join(spark, sf):
     """Streamed evidence against the place tables."""
     c = V.table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), "c_nationkey")
     n = V.table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("label"))
-    stream = event_stream(spark, sf).select("user_id", "event_type").join(c, "user_id").join(F.broadcast(n), "c_nationkey")
+    stream = X.join_static(event_stream(spark, sf).select("event_id", "user_id", "event_type"), c, ["user_id"], spread_by=["event_id"]).join(F.broadcast(n), "c_nationkey")
     out = _append(spark, "joined", stream.select("label", "event_type"))
     return out.groupBy("label", "event_type").agg(F.count(F.lit(1)).alias("n"))
 

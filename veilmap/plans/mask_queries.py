@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import table_functions
 from ..operators import controls as C
 from ..operators import lattice as L
 from ..operators import leakage as K
@@ -42,6 +43,16 @@ def mask_decode(spark, sf):
     )
 
 
+@query("mask_decode_sql", """
+  SELECT y, count(*) AS n_runs, sum(x2 - x1)::BIGINT AS n_pixels, sum(x1)::BIGINT AS sum_x1 FROM instance_rows GROUP BY y""")
+def mask_decode_sql(spark, sf):
+    """Runs per pixel row from SQL text, by the registered table function."""
+    table_functions.register(spark)
+    return spark.sql("""
+      SELECT u.y, count(*) AS n_runs, sum(u.x2 - u.x1) AS n_pixels, sum(u.x1) AS sum_x1
+      FROM {k} k, LATERAL mask_rows(k.counts, k.h, k.w) u GROUP BY u.y""", k=rle_masks(spark, sf).select("counts", "h", "w"))
+
+
 sql_view("cue_union_runs", """
   SELECT subject_id, cue_idx, y, x AS start_x FROM (SELECT subject_id, cue_idx, y, bits, unnest(generate_series(0, 63)) AS x FROM cue_pixels)
   WHERE (bits >> x) & 1 = 1 AND (x = 0 OR (bits >> (x - 1)) & 1 = 0)""")

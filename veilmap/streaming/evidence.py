@@ -17,7 +17,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions.columns import readable_rating, support_weight
 from ..operators.beliefs import softmax
-from ..operators.scale import row_numbers
+from ..operators.scale import BROADCAST_ROWS, row_numbers
 from ..operators.updating import belief_events, sequential_posterior, step_facts
 from ..sources.sinks import read_if_there
 
@@ -177,6 +177,19 @@ def session_evidence(stream: DataFrame, gap: str, watermark: str) -> DataFrame:
     return out.select("subject_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+def join_static(stream: DataFrame, static: DataFrame, keys: list[str], *, spread_by: list[str], salts: int = 16, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Inner join of a stream with a table: the table is broadcast if it has at most ``max_rows`` rows.
+
+    Beyond that both sides are shuffled by key and salt, so that a busy key of the stream is dealt to ``salts`` tasks by
+    its columns ``spread_by``; the table is repeated as often.
+    """
+    if static.limit(max_rows + 1).count() <= max_rows:
+        return stream.join(F.broadcast(static), keys)
+    salted = stream.withColumn("__salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
+    repeated = static.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(repeated, [*keys, "__salt"]).drop("__salt")
+
+
 def distinct_evidence(stream: DataFrame, keys: list[str], watermark: str) -> DataFrame:
     """The same evidence counts once while it is within the watermark."""
     return stream.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(keys)
