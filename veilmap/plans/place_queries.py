@@ -12,6 +12,7 @@ from ..operators import cues as Q
 from ..operators import evaluation as E
 from ..operators import geometry as G
 from ..operators import leakage as K
+from ..operators import quadtree as T
 from ..operators.scale import largest_group, spread, summarise
 from ..session import scratch_path
 from . import views as V
@@ -68,6 +69,44 @@ def hard_negatives(spark, sf):
     return out.select("subject_id", "label", "rank", rounded("d").alias("d"))
 
 
+# A third of the customers stand within a square of about a kilometre, the others over the world.
+sql_view("crowded_places", """
+  SELECT c_name AS label, c_custkey AS ord,
+         CASE WHEN c_custkey % 3 = 0 THEN 48.85 + (c_custkey * 7919::BIGINT) % 10007 / 1000000.0 ELSE (c_nationkey * 37) % 121 - 60 + (c_custkey * 13) % 4001 / 1000.0 END AS lat,
+         CASE WHEN c_custkey % 3 = 0 THEN 2.35 + (c_custkey * 104729::BIGINT) % 10007 / 1000000.0 ELSE (c_nationkey * 73) % 360 - 180 + (c_custkey * 29) % 4001 / 1000.0 END AS lon
+  FROM customer""")
+
+
+def crowded_places(spark, sf):
+    key, nation = F.col("c_custkey").cast("bigint"), F.col("c_nationkey")
+    crowd = key % 3 == 0
+    return V.table(spark, sf, "customer").select(
+        F.col("c_name").alias("label"), F.col("c_custkey").alias("ord"),
+        F.when(crowd, 48.85 + (key * 7919) % 10007 / F.lit(1000000.0)).otherwise((nation * 37) % 121 - 60 + (key * 13) % 4001 / F.lit(1000.0)).alias("lat"),
+        F.when(crowd, 2.35 + (key * 104729) % 10007 / F.lit(1000000.0)).otherwise((nation * 73) % 360 - 180 + (key * 29) % 4001 / F.lit(1000.0)).alias("lon"),
+    )
+
+
+@query("crowded_pairs", f"""
+  SELECT a.label AS i, b.label AS j, round({sql_haversine('a.', 'b.')}, 6) + 0.0 AS d
+  FROM crowded_places a JOIN crowded_places b ON a.label < b.label AND abs(a.lat - b.lat) < 0.002 AND {sql_haversine('a.', 'b.')} < 0.1""")
+def crowded_pairs(spark, sf):
+    """Places within 100 m of each other where one grid cell would hold a third of all places."""
+    g = crowded_places(spark, sf)
+    near = T.tree_join(g, g, 0.1).where(F.col("point") < F.col("probe"))
+    return near.select(F.col("point").alias("i"), F.col("probe").alias("j"), rounded("d").alias("d"))
+
+
+@query("crowded_nearest", f"""
+  SELECT label, rank, round(d, 6) + 0.0 AS d FROM (
+    SELECT q.label, row_number() OVER (PARTITION BY q.label ORDER BY {sql_haversine('q.', 'p.')}, p.ord) AS rank, {sql_haversine('q.', 'p.')} AS d
+    FROM crowded_places q JOIN crowded_places p ON q.label <> p.label) WHERE rank <= 3""")
+def crowded_nearest(spark, sf):
+    """Distances to the three nearest other places, by counted cells."""
+    g = crowded_places(spark, sf)
+    return T.tree_nearest(g.select("label", "lat", "lon"), g, 3).select("label", "rank", rounded("d").alias("d"))
+
+
 sql_view("addresses", """
   SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'City ' || c_custkey % 40 END AS city, CASE WHEN c_custkey % 5 = 1 THEN 'Town ' || c_custkey % 30 WHEN c_custkey % 5 = 0 THEN 'Hidden' END AS town,
          CASE WHEN c_custkey % 5 = 2 THEN '' END AS village, CASE WHEN c_custkey % 5 IN (2, 3) THEN 'County ' || c_custkey % 20 END AS county, n_name AS country
