@@ -9,6 +9,7 @@ from ..functions.columns import full_mask
 from ..operators import cues as Q
 from ..operators import lattice as L
 from ..session import checkpointed, scratch_path
+from ..sources.key_index import KeyIndex
 from ..sources import replies as P
 from ..sources import sampling as S
 from ..sources import sinks
@@ -278,3 +279,16 @@ def append_once(spark, sf):
     stream = event_stream(spark, sf).select("user_id", "event_type", F.to_date("ts").alias("day"))
     X.run_available(X.append_once(stream, f"{base}/out", f"{base}/checkpoint", ["user_id", "event_type", "day"]))
     return spark.read.parquet(f"{base}/out").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("append_once_batches", """
+  SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events) GROUP BY ALL""")
+def append_once_batches(spark, sf):
+    """The same over micro-batches that repeat each other's keys, by an index that merges its generations."""
+    base = scratch_path(spark, "once-batches")
+    events = V.table(spark, sf, "events").select("user_id", "event_type", F.to_date("ts").alias("day"), "event_id")
+    events.repartition(5, "event_id").drop("event_id").write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{base}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    keys = ["user_id", "event_type", "day"]
+    X.run_available(X.append_once(stream, f"{base}/out", f"{base}/checkpoint", keys, index=KeyIndex(f"{base}/keys", keys, buckets=8, merge_every=2)))
+    return spark.read.parquet(f"{base}/out").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))

@@ -19,6 +19,7 @@ from ..functions.columns import readable_rating, support_weight
 from ..operators.beliefs import softmax
 from ..operators.scale import BROADCAST_ROWS, row_numbers
 from ..operators.updating import belief_events, sequential_posterior, step_facts
+from ..sources.key_index import KeyIndex
 from ..sources.sinks import read_if_there
 
 
@@ -195,15 +196,22 @@ def distinct_evidence(stream: DataFrame, keys: list[str], watermark: str) -> Dat
     return stream.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(keys)
 
 
-def append_once(stream: DataFrame, path: str, checkpoint: str, on: list[str]) -> DataStreamWriter:
-    """Incremental sink: one folder per batch, keys of earlier batches are left out."""
+def append_once(stream: DataFrame, path: str, checkpoint: str, on: list[str], *, index: KeyIndex | None = None) -> DataStreamWriter:
+    """Incremental sink: one folder per batch, keys of earlier batches are left out.
+
+    Earlier keys are looked up in ``index`` (by default beside ``path``), which opens only the parts that may hold a key of
+    the batch. A table that was written without an index is indexed once.
+    """
+    index = index or KeyIndex(f"{path.rstrip('/')}_keys", on)
 
     def write(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
         fresh = rows.dropDuplicates(on)
-        stored = read_if_there(spark, path)
-        if stored is not None:
-            fresh = fresh.join(stored.where(F.col("batch") < batch).select(*on), on, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        if not index.generations(spark, batch):
+            stored = read_if_there(spark, path)
+            if stored is not None:
+                index.add(stored.where(F.col("batch") < batch), batch - 1)
+        index.unseen(fresh, batch).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        index.add(spark.read.parquet(f"{path}/batch={batch}"), batch)
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
