@@ -1,5 +1,6 @@
 """The Jaccard join against all pairs."""
 
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -89,3 +90,24 @@ def test_components_of_chains_stars_and_loops(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[i] for i in range(301)} == {0} and {got[1000 + i] for i in range(40)} == {1000}
     assert got[2001] == got[2000] == 2000 and 5000 not in got
+
+
+def test_components_with_busy_centres(spark):
+    rng = random.Random(6)
+    edges = [(5, 10_000 + i) for i in range(400)] + [(20_000 + i, 20_001 + i) for i in range(37)] + [(rng.randrange(900), rng.randrange(900)) for _ in range(500)]
+    edges += edges[:50] + [(7, 7), (None, 3), (9_999_999, 10_003)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    df = spark.createDataFrame(edges, "a bigint, b bigint")
+    for busy in (3, 500):
+        assert {r.node: r.root for r in components(df, busy=busy).collect()} == {x: find(x) for x in root}
+    assert components(df.limit(0)).count() == 0
