@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from veilmap.llm import near
-from veilmap.llm.components import components
+from veilmap.llm.components import components, with_least
 
 from .conftest import SCHEMA, awkward_rows
 
@@ -111,3 +111,6 @@ def test_components_with_busy_centres(spark):
     for busy in (3, 500):
         assert {r.node: r.root for r in components(df, busy=busy).collect()} == {x: find(x) for x in root}
     assert components(df.limit(0)).count() == 0
+    least = df.groupBy("a").agg({"b": "min", "*": "count"}).toDF("a", "m", "n")
+    plan = with_least(df, least, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "salt" in next(line for line in plan.splitlines() if "MergeJoin" in line or "ShuffledHashJoin" in line or "[a#" in line and "Join" in line and "salt" in line)

@@ -21,7 +21,8 @@ def with_least(edges: DataFrame, least: DataFrame, over: int) -> DataFrame:
     busy = least.where(F.col("n") > over).select("a", F.col("m").alias("known"))
     dealt = edges.join(F.broadcast(busy), "a", "left")
     dealt = dealt.withColumn("salt", F.when(F.col("known").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("b"), F.lit(SALTS))).cast("int"))
-    rest = least.where(F.col("n") <= over).select("a", F.lit(0).alias("salt"), "m")
+    # n is at least 1, so this is 0, but no constant: the optimizer would make the join one on a alone.
+    rest = least.where(F.col("n") <= over).select("a", F.least("n", F.lit(0)).cast("int").alias("salt"), "m")
     return dealt.join(rest, ["a", "salt"], "left").select("a", "b", F.coalesce("known", "m").alias("m"))
 
 
