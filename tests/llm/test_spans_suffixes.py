@@ -71,6 +71,30 @@ def test_byte_strings(awkward, length, frequent, block_bytes):
     assert suffixes.digests(docs.limit(0)).count() == 0
 
 
+def test_byte_strings_of_rows_that_come_in_another_order_each_time(spark, awkward):
+    _, rows = awkward
+
+    def turned(batches):
+        import random
+
+        import pyarrow as pa
+
+        for batch in batches:
+            order = list(range(batch.num_rows))
+            random.shuffle(order)
+            yield batch.take(pa.array(order))
+
+    kinds = "doc_id long, text string"
+    docs = spark.createDataFrame([r[:2] for r in rows], kinds).coalesce(1).mapInArrow(turned, kinds)
+    reuse = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", "false")  # each use of the documents reads them anew
+    try:
+        got = suffixes.digests(docs, length=40, shard_bytes=3000).collect()
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+    assert Counter(tuple(r) for r in got) == byte_result(rows, 40)
+
+
 def test_suffix_array_and_common_prefixes():
     rng = np.random.default_rng(4)
     for n, letters in ((1, 1), (40, 1), (300, 2), (2000, 4), (500, 150)):

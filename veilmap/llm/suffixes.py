@@ -273,6 +273,11 @@ def shard_digests(rows: list[dict]) -> list[np.ndarray]:
     return out
 
 
+def in_order(group: pa.Table) -> pa.Table:
+    """A block's documents by id and text. Every read of an exchange may bring its rows in another order, and marks come back by place."""
+    return group.sort_by([("id", "ascending"), ("text", "ascending")])
+
+
 def cut(docs: DataFrame, out_schema: str, finish, *, id_col: str, text_col: str, length: int, frequent: int, block_bytes: int, shard_bytes: int) -> DataFrame:
     """Runs the exchanges; ``finish(documents, block, removed)`` makes each block's rows from a mask over all its bytes."""
     own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
@@ -291,7 +296,7 @@ def cut(docs: DataFrame, out_schema: str, finish, *, id_col: str, text_col: str,
         return B.answers(key[0].as_py(), 0, blocks, sizes, np.bincount(of, counts).astype(np.int64)[of])
 
     def send_regions(key: tuple, group: pa.Table, back: pa.Table) -> pa.Table:
-        number, block = key[0].as_py(), Anchored(group.column("text").to_pylist(), length)
+        number, block = key[0].as_py(), Anchored(in_order(group).column("text").to_pylist(), length)
         regions, digests = block.sent(B.answered(back, 0), shard_bits, frequent)
         data = block.bytes.tobytes()
         made = []
@@ -313,6 +318,7 @@ def cut(docs: DataFrame, out_schema: str, finish, *, id_col: str, text_col: str,
         return B.rows(B.ANSWER_SCHEMA, made)
 
     def remove(key: tuple, group: pa.Table, back: pa.Table) -> pa.Table:
+        group = in_order(group)
         block = Anchored(group.column("text").to_pylist(), length)
         regions, digests = block.sent(B.answered(back, 0), shard_bits, frequent)
         found = {(r["kind"], r["bucket"]): r["answer"] for r in back.filter(pa.compute.greater(back.column("kind"), 0)).to_pylist()}
