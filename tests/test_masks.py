@@ -143,3 +143,34 @@ def test_masks_of_another_size_are_not_united(spark):
     kept, dropped = M.of_frame(masks, spark.createDataFrame([(1, 2, 4)], "subject_id int, h int, w int"))
     assert [(r["subject_id"], r["inst_idx"]) for r in kept.collect()] == [(1, 0)]
     assert sorted((r["subject_id"], r["inst_idx"]) for r in dropped.collect()) == [(1, 1), (2, 0)]
+
+
+def test_dealt_boxes_are_the_only_shuffle(spark):
+    """Pixel rows stay in the task of their subject, which took a shuffle of every row before."""
+    import __spark_entry__ as E
+
+    for name in ("mask_overlap", "mask_union", "mask_coverage", "control_placement", "mask_round_trip"):
+        lines = E.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().splitlines()
+        rows = [x for x in lines if "Exchange hashpartitioning" in x and ("y#" in x or "start#" in x or "inst_idx#" in x)]
+        assert not rows and any("REPARTITION_BY_NUM" in x for x in lines), name
+    plan = E.queries()["mask_decode"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
+def test_both_ways_of_decoding_agree(spark):
+    rows = [(1, 1, 1, 2, 3, [1, 2, 1, 9]), (1, 1, 2, 2, 3, []), (1, 2, 1, 2, 3, [0, 6]), (2, 1, 1, 1, 4, [2, None, 1, 1]), (2, 1, 2, 1, 4, None), (2, 2, 2, 4, 1, [0, 1, 0, 1, 9])]
+    masks = spark.createDataFrame(rows, "subject_id int, cue_idx int, inst_idx int, h int, w int, counts array<int>")
+    got = sorted(tuple(r) for r in M.decode(masks).collect())
+    assert got == sorted(tuple(r) for r in M.decode(masks, dealt=True).collect())
+    assert [r[5:] for r in got] == [(1, 3), (4, 6), (0, 6), (3, 4), (0, 1), (1, 2)]
+
+
+def test_overlap_of_sides_is_the_overlap(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(s, c, own, y, x, x + rng.randint(1, 90)) for s in range(3) for c in range(3) for own in (True, False) for y in range(3) for x in [rng.randint(0, 100)] if rng.random() < 0.7]
+    rows = spark.createDataFrame(rows, "subject_id int, cue_idx int, own boolean, y int, x1 int, x2 int")
+    got = sorted(tuple(r) for r in M.overlap_of_sides(M.words(rows, keys=("subject_id", "cue_idx", "own"))).collect())
+    want = M.overlap(M.words(rows.where("own")), M.words(rows.where("not own")), on=("subject_id", "cue_idx"))
+    assert got and got == sorted(tuple(r) for r in want.collect())

@@ -202,10 +202,10 @@ def report_order(spark, sf):
     SELECT 2 * CASE WHEN x2 - x1 = 64 THEN 1 ELSE y2 - y1 END + CASE WHEN x2 = 64 AND y2 = 48 THEN 0 ELSE 1 END AS n_runs, (x2 - x1) * (y2 - y1) AS pixels FROM instances WHERE NOT degenerate) GROUP BY n_runs""")
 def mask_round_trip(spark, sf):
     """Decoded and encoded again: as few runs as the mask has."""
-    masks = rle_masks(spark, sf).withColumn("inst_idx", F.xxhash64("*"))
+    masks = rle_masks(spark, sf, V.boxes_by_subject(spark, sf)).withColumn("inst_idx", F.xxhash64("*"))
     masks = masks.groupBy(*M.INSTANCE, "h", "w", "counts").agg(F.count(F.lit(1)).alias("times"))
-    again = M.encode(M.decode(masks)).select(*M.INSTANCE, F.col("counts").alias("again"))
-    out = masks.select(*M.INSTANCE, "times").join(again, list(M.INSTANCE))
+    keys = [*M.INSTANCE, "times"]  # no mask is empty, so that all come back
+    out = M.encode(M.decode(masks, keys=keys, dealt=True), keys=keys).select(*keys, F.col("counts").alias("again"))
     on = F.aggregate(F.filter("again", lambda x, i: i % 2 == 1), F.lit(0).cast("bigint"), lambda a, x: a + x)
     return out.groupBy(F.size("again").alias("n_runs")).agg(F.sum("times").alias("n"), F.sum(on * F.col("times")).alias("pixels"))
 

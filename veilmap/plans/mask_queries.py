@@ -19,9 +19,9 @@ from .views import FRAME_H, FRAME_W, rounded
 # Run-length masks: one per usable line item, as counts over its row-major frame.
 
 
-def rle_masks(spark, sf):
+def rle_masks(spark, sf, boxes=None):
     """Boxes written as run-length counts: lead-in, then width and gap per row."""
-    good = V.instances(spark, sf).where(~F.col("degenerate"))
+    good = V.instances(spark, sf).where(~F.col("degenerate")) if boxes is None else boxes
     w = F.col("x2") - F.col("x1")
     lead = F.col("y1") * FRAME_W + F.col("x1")
     body = F.flatten(F.transform(F.sequence(F.col("y1"), F.col("y2") - 1), lambda y: F.array(w, F.lit(FRAME_W) - w)))
@@ -96,9 +96,10 @@ def mask_translate(spark, sf):
     GROUP BY ALL) r USING (subject_id, cue_idx, y) GROUP BY subject_id, cue_idx HAVING sum(bit_count(c.bits & r.others)) > 0""")
 def mask_overlap(spark, sf):
     """Pixels each cue shares with the cue after it (line 7 with line 1)."""
-    u = M.words(V.instance_rows(spark, sf))
-    following = u.withColumn("cue_idx", (F.col("cue_idx") + 5) % 7 + 1)
-    return M.overlap(u, following, on=("subject_id", "cue_idx"))
+    before = (F.col("cue_idx") + 5) % 7 + 1
+    sides = F.array(F.struct("cue_idx", F.lit(True).alias("own")), F.struct(before.alias("cue_idx"), F.lit(False).alias("own")))
+    rows = V.instance_rows(spark, sf).select("subject_id", F.explode(sides).alias("s"), "y", "x1", "x2").select("subject_id", "s.*", "y", "x1", "x2")
+    return M.overlap_of_sides(M.words(rows, keys=("subject_id", "cue_idx", "own")))
 
 
 sql_view("cue_extent", """
