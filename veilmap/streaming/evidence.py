@@ -182,13 +182,14 @@ def join_static(stream: DataFrame, static: DataFrame, keys: list[str], *, spread
     """Inner join of a stream with a table: the table is broadcast if it has at most ``max_rows`` rows.
 
     Beyond that both sides are shuffled by key and salt, so that a busy key of the stream is dealt to ``salts`` tasks by
-    its columns ``spread_by``; the table is repeated as often.
+    its columns ``spread_by``; the table is repeated as often. The repeated table looks as small as the table to the optimizer,
+    so that the hint keeps it from being broadcast.
     """
     if static.limit(max_rows + 1).count() <= max_rows:
         return stream.join(F.broadcast(static), keys)
     salted = stream.withColumn("__salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     repeated = static.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*keys, "__salt"]).drop("__salt")
+    return salted.join(repeated.hint("merge"), [*keys, "__salt"]).drop("__salt")
 
 
 def distinct_evidence(stream: DataFrame, keys: list[str], watermark: str) -> DataFrame:
