@@ -206,3 +206,12 @@ def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
     monkeypatch.setattr(G, "range_join", lambda *a, **k: rounds.append(1) or real(*a, **k))
     got = {x["label"]: x["rep"] for x in G.clusters(places(spark, pts), 25.0).collect()}
     assert got == greedy(pts, 25.0) and len(rounds) < 60
+
+
+def test_site_pairs_stand_for_all_pairs(spark):
+    rng = random.Random(8)
+    spots = [(rng.uniform(-80, 80), rng.uniform(-180, 180)) for _ in range(6)]
+    g = spark.createDataFrame([(i, *rng.choice(spots)) for i in range(40)], "ord long, lat double, lon double")
+    want, got = G.pairs(g).toPandas(), G.site_pairs(g).toPandas()
+    assert len(got) == 15 and got["n"].sum() == len(want)
+    assert abs((got["n"] / got["d"]).sum() - (1 / want["d"]).sum()) < 1e-9

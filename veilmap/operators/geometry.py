@@ -292,3 +292,13 @@ def pairs(gallery: DataFrame, *, floor_km: float = 0.0) -> DataFrame:
     b = small.select(F.col("ord").alias("j"), F.col("lat").alias("jlat"), F.col("lon").alias("jlon"))
     d = haversine_km("ilat", "ilon", "jlat", "jlon")
     return a.join(b, F.col("i") < F.col("j")).select("i", "j", d.alias("d")).where((F.col("d") > 0) & (F.col("d") >= floor_km))
+
+
+def site_pairs(gallery: DataFrame) -> DataFrame:
+    """(n, d): the pairs of distinct sites of a gallery, with how many pairs of labels each stands for. Labels of one site have
+    no distance, so that these are all pairs of ``pairs``."""
+    sites = gallery.groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("ord"))
+    side = lambda c: sites.select(F.col("ord").alias(f"{c}ord"), F.col("lat").alias(f"{c}lat"), F.col("lon").alias(f"{c}lon"), F.col("n").alias(f"{c}n"))
+    d = haversine_km("ilat", "ilon", "jlat", "jlon")
+    both = side("i").join(broadcast_within(side("j"), GALLERY_ROWS), F.col("iord") < F.col("jord"))
+    return both.select((F.col("in") * F.col("jn")).alias("n"), d.alias("d")).where(F.col("d") > 0)

@@ -216,9 +216,10 @@ def mask_round_trip(spark, sf):
   SELECT f.km AS floor_km, count(*) AS n, round(avg(1 / d), 9) + 0.0 AS closeness FROM d JOIN (VALUES (0.0), (25.0)) f(km) ON d > 0 AND d >= f.km GROUP BY f.km""")
 def pairs_above_floor(spark, sf):
     """Candidate pairs with and without the 25 km floor."""
-    g = V.gallery_large(spark, sf)
-    rows = [G.pairs(g, floor_km=km).agg(F.lit(km).alias("floor_km"), F.count(F.lit(1)).alias("n"), rounded(F.avg(1 / F.col("d")), 9).alias("closeness")) for km in (0.0, 25.0)]
-    return rows[0].unionByName(rows[1])
+    far = F.explode(F.array(F.lit(0.0), F.lit(25.0))).alias("floor_km")
+    p = G.site_pairs(V.gallery_large(spark, sf)).select("*", far).where(F.col("d") >= F.col("floor_km"))
+    mean = F.sum(F.col("n") / F.col("d")) / F.sum("n")
+    return p.groupBy("floor_km").agg(F.sum("n").alias("n"), rounded(mean, 9).alias("closeness"))
 
 
 @query("confidence_crosstab", """
