@@ -221,3 +221,12 @@ def test_repair(spark):
     r = spark.createDataFrame([("s", 1, "a", 5.0, 1.0, 1), ("s", 1, "a", 4.0, 0.5, 2), ("s", 1, "b", 2.0, 0.3, 1), ("s", 1, "z", 1.0, 1.0, 1)], "subject_id string, step int, label string, c double, alpha double, attempt int")
     got = {x["label"]: (x["c"], x["alpha"], x["fallback"], x["extra"]) for x in U.repair_ratings(h, r).collect()}
     assert got == {"a": (4.0, 0.5, False, False), "b": (2.0, 0.3, False, False), "c": (3.0, 0.0, True, False), "z": (None, None, False, True)}
+
+
+def test_short_runs_are_dealt_to_more_tasks_as_the_ratings_grow(spark):
+    prior = spark.createDataFrame([(1, "country", "a", 0, 0.5), (1, "country", "b", 1, 0.5)], "subject_id long, level string, label string, ord int, p double")
+    rated = spark.createDataFrame([(1, "country", 1, "a", 0, 5.0, 0.5), (1, "country", 1, "b", 1, 2.0, 0.5)], "subject_id long, level string, step long, label string, ord int, c double, alpha double")
+    out = U.sequential_posterior(prior, rated, at_most=10, about=25_000_000)
+    assert ", 100), REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+    plain = U.sequential_posterior(prior, rated)
+    assert sorted(map(tuple, out.select("label", "p").collect())) == sorted(map(tuple, plain.select("label", "p").collect()))

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions.columns import rating, readable_rating, support_weight, weight_bits
 from ..functions.fixed_values import KEY_BITS, LEVELS, STALL_CHANGE, STOP_PROBABILITY
-from .scale import GROUP_ROWS, fits, running_sums
+from .scale import GROUP_ROWS, dealt, fits, running_sums
 
 RUN = ("subject_id", "level", "segment")
 LABELS_AT_ONCE = 1000
@@ -59,7 +59,7 @@ def bayes_step(beliefs: DataFrame, weights: DataFrame, *, keys=("subject_id",))
 
 
 def sequential_posterior(
-    prior: DataFrame, ratings: DataFrame, *, group_rows: int = GROUP_ROWS, at_most: int | None = None
+    prior: DataFrame, ratings: DataFrame, *, group_rows: int = GROUP_ROWS, at_most: int | None = None, about: int | None = None
 ) -> DataFrame:
     """Posterior after every step.
 
@@ -71,7 +71,8 @@ def sequential_posterior(
     Other steps have no p and delta_p; an unreadable or missing rating then moves its label by nothing, and a label
     without a prior stays at 0.
     A prior may bring ``log_p``, its logarithm up to a constant, to continue
-    from an earlier trajectory without underflow.
+    from an earlier trajectory without underflow. ``about`` is the number of ratings, where it is known: short runs are then
+    dealt to tasks of bounded size.
     """
     rated = support_score(ratings)
     if "segment" not in rated.columns:
@@ -97,7 +98,7 @@ def sequential_posterior(
     keys = [*RUN, "label"]
     small = fits(rows, keys, group_rows, at_most)
     if at_most is not None and at_most * LABELS_AT_ONCE <= group_rows:
-        rows = rows.repartition(*RUN)  # runs are known to be short, so that one shuffle serves the windows by label and by step
+        rows = rows.repartition(*RUN) if about is None else dealt(rows, RUN, about)  # runs are known to be short, so that one shuffle serves the windows by label and by step
     scanned = running_sums(
         rows, keys, ["step"], {"__s": "__ln", "__k": "__has", "__n": "__of"}, group_rows=group_rows, at_most=0 if small else group_rows + 1
     ).where(F.col("step") > 0)

@@ -326,7 +326,8 @@ def trajectory(spark, sf, **kw) -> DataFrame:
 
     # A hypothesis has one row per event of its user, and its prior.
     kw.setdefault("at_most", busiest_user(spark, sf) + 1)
-    return sequential_posterior(priors(spark, sf), ratings(spark, sf, **kw), **kw)
+    about = table(spark, sf, "events").count() * table(spark, sf, "region").count()  # from file footers
+    return sequential_posterior(priors(spark, sf), ratings(spark, sf, **kw), about=about, **kw)
 
 
 # Cues and masks ----------------------------------------------------------------
