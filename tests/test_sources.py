@@ -246,9 +246,11 @@ def test_windows_count_times_by_rounded_seconds(spark, tmp_path, name):
     assert sorted((r["start"], r["ord"], r["n"], round(r["log_w"], 5) + 0.0) for r in got) == sorted((s[:19], o, n, round(w, 5) + 0.0) for s, o, n, w in want)
 
 
-def test_a_large_static_table_is_not_broadcast_once_salted(spark):
+def test_a_large_static_table_is_not_broadcast_once_salted(spark, tmp_path):
     events = spark.createDataFrame([(i, i % 7) for i in range(60)], "event_id long, user_id long")
     users = spark.createDataFrame([(i, f"n{i}") for i in range(5)], "user_id long, name string")
+    users.write.parquet(f"{tmp_path}/users")
+    users = spark.read.parquet(f"{tmp_path}/users")  # of known, small size
     out = X.join_static(events, users, ["user_id"], spread_by=["event_id"], max_rows=3)
     assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
     assert sorted((r["event_id"], r["name"]) for r in out.collect()) == sorted((i, f"n{i % 7}") for i in range(60) if i % 7 < 5)
