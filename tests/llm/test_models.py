@@ -2,6 +2,8 @@
 
 import inspect
 import random
+import re
+import timeit
 from collections import Counter
 
 import numpy as np
@@ -168,3 +170,16 @@ def test_features_of_many_words_are_those_of_each():
         assert len(alone) == 1 + sum(size - n + 1 for n in range(3, min(5, size - 1) + 1))
     same, _ = quality.features([b"xabcx", b"yabcy"], 1 << 40)
     assert len(np.unique(same)) == len(same) - 1  # the gram they share
+
+
+def test_words_without_numbers_in_the_pattern():
+    """Every character alone and between letters; and splitting long texts takes a small part of what the wide pattern takes."""
+    wide = re.compile(rf"[^\W\d_{re.escape(language.NUMBERS)}]+")
+    marks = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(marks), 50_000):
+        text = "a".join(marks[at : at + 50_000])
+        assert language.words_of(text) == wide.findall(text)
+    assert language.words_of("") == [] == language.words_of("½² Ⅷ 12_") and language.words_of("ab½cd é") == ["ab", "cd", "é"]
+    text = "ein schönes Wort und noch eines, été à Paris " * 4000
+    clock = lambda f: min(timeit.repeat(lambda: f(text), number=1, repeat=3))
+    assert clock(language.words_of) < 0.5 * clock(wide.findall)
