@@ -12,7 +12,6 @@ texts are encoded once and never shuffled: what travels are positions of pairs w
 from __future__ import annotations
 
 import hashlib
-import json
 import zlib
 from collections.abc import Iterator
 from itertools import repeat
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import byte_table
+from .bpe import PARTS, byte_table, ranks_of
 from .common import slices, stored, tidy
 
 #: Text bytes of a chunk. A longer text is a chunk of its own.
@@ -33,30 +32,6 @@ CHUNK_BYTES = 1 << 20
 SHIFT = 32
 
 
-# Fixed value: how byte-level BPE parts a text before merging.
-PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
-def ranks_of(spec: str) -> dict[bytes, int] | None:
-    """Bytes -> id of a plain byte-level BPE whose ids follow the order of its merges; None for any other tokenizer.
-
-    Such a tokenizer is one of ranks, which a faster library encodes alike.
-    """
-    held = json.loads(spec)
-    model, parts = held["model"], held.get("pre_tokenizer") or {}
-    options = (parts.get("add_prefix_space"), parts.get("use_regex", True), model.get("ignore_merges", False), model.get("dropout"))
-    if model.get("type") != "BPE" or parts.get("type") != "ByteLevel" or held.get("normalizer") or options != (False, True, False, None):
-        return None
-    vocabulary, merges = model["vocab"], [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-    made = [vocabulary["".join(m)] for m in merges]
-    ranks = {data: i for i, data in enumerate(byte_table(vocabulary, {})) if data}
-    special = {t["id"] for t in held.get("added_tokens") or []}
-    whole = set(made) | {i for t, i in vocabulary.items() if len(t) == 1} == set(vocabulary.values()) - special
-    if not whole or made != sorted(set(made)) or len({bytes([b]) for b in range(256)} & ranks.keys()) < 256:
-        return None
-    return {data: i for data, i in ranks.items() if i not in special}
-
-
 class Pair:
     """Both tokenizers, with the bytes of each id; made once in each Python worker."""
 

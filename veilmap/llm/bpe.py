@@ -1,7 +1,8 @@
 """Byte-level BPE encoding and decoding of whole texts, long ones by tree concatenation.
 
-Short texts go to the tokenizers library in batches. A long text is halved again and again, at a blank between words
-where there is one near the middle, until the pieces are short; the pieces are encoded together. Going back up, the two
+Short texts go to the tokenizers library in batches, or to tiktoken where the tokenizer is one of ranks, which it encodes
+alike. A long text is halved again and again, at a blank between words where there is one near the middle, until the
+pieces are short; the pieces are encoded together. Going back up, the two
 halves of each join are put together: the tokens around the join are encoded again in a window that grows on both sides
 until its first token is one of the left half's own and its last token one of the right half's, at the same place. From
 there on outwards both halves stand as they are.
@@ -10,6 +11,7 @@ there on outwards both halves stand as they are.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +39,30 @@ def byte_table(vocabulary: dict[str, int], added: dict[int, str]) -> list[bytes]
     return out
 
 
+# Fixed value: how byte-level BPE parts a text before merging.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def ranks_of(spec: str) -> dict[bytes, int] | None:
+    """Bytes -> id of a plain byte-level BPE whose ids follow the order of its merges; None for any other tokenizer.
+
+    Such a tokenizer is one of ranks, which a faster library encodes alike.
+    """
+    held = json.loads(spec)
+    model, parts = held["model"], held.get("pre_tokenizer") or {}
+    options = (parts.get("add_prefix_space"), parts.get("use_regex", True), model.get("ignore_merges", False), model.get("dropout"))
+    if model.get("type") != "BPE" or parts.get("type") != "ByteLevel" or held.get("normalizer") or options != (False, True, False, None):
+        return None
+    vocabulary, merges = model["vocab"], [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    made = [vocabulary["".join(m)] for m in merges]
+    ranks = {data: i for i, data in enumerate(byte_table(vocabulary, {})) if data}
+    special = {t["id"] for t in held.get("added_tokens") or []}
+    whole = set(made) | {i for t, i in vocabulary.items() if len(t) == 1} == set(vocabulary.values()) - special
+    if not whole or made != sorted(set(made)) or len({bytes([b]) for b in range(256)} & ranks.keys()) < 256:
+        return None
+    return {data: i for data, i in ranks.items() if i not in special}
+
+
 class Codec:
     """A tokenizer as the library loads it, with tree concatenation for long texts."""
 
@@ -51,8 +77,23 @@ class Codec:
         self.bytes_of = byte_table(self.tokenizer.get_vocab(with_added_tokens=False), added)
         self.longest_added = max([len(t) for t in added.values()], default=0)
         self.leaf, self.reach = leaf, max(reach, 4 * self.longest_added)
+        self.fast = self.by_ranks(spec)
+
+    def by_ranks(self, spec: str):
+        """A faster library's encoder with equal ids; None unless the tokenizer is one of ranks whose added tokens are found just
+        where their strings stand and never begin one another."""
+        added = self.tokenizer.get_added_tokens_decoder()
+        names = sorted(t.content for t in added.values())
+        apart = all(names) and not any(b.startswith(a) for a, b in zip(names, names[1:], strict=False))
+        if not apart or any(t.single_word or t.lstrip or t.rstrip for t in added.values()) or (ranks := ranks_of(spec)) is None:
+            return None
+        import tiktoken
+
+        return tiktoken.Encoding("bpe", pat_str=PARTS, mergeable_ranks=ranks, special_tokens={t.content: i for i, t in added.items()})
 
     def batch(self, texts: list[str]) -> list[list[int]]:
+        if self.fast is not None:
+            return [self.fast.encode(t, allowed_special="all") for t in texts]
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def cut(self, text: str, lo: int, hi: int) -> int:
