@@ -174,3 +174,12 @@ def test_overlap_of_sides_is_the_overlap(spark):
     got = sorted(tuple(r) for r in M.overlap_of_sides(M.words(rows, keys=("subject_id", "cue_idx", "own"))).collect())
     want = M.overlap(M.words(rows.where("own")), M.words(rows.where("not own")), on=("subject_id", "cue_idx"))
     assert got and got == sorted(tuple(r) for r in want.collect())
+
+
+def test_frames_are_compared_where_the_masks_are(spark):
+    """Masks and images are dealt alike, to tasks of bounded size, so that their join shuffles and gathers nothing more."""
+    import __spark_entry__ as E
+
+    plan = E.queries()["mask_frames"](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning(subject_id" in line]
+    assert shuffles and all("REPARTITION_BY_NUM" in line for line in shuffles)

@@ -236,11 +236,12 @@ def confidence_crosstab(spark, sf):
   SELECT subject_id % 2 = 1 AS narrow, count(*) FILTER (WHERE fits) AS kept, count(*) FILTER (WHERE NOT fits) AS dropped FROM (
     SELECT subject_id, (subject_id % 2 = 0) = (cue_idx % 3 > 0) AS fits FROM instances WHERE NOT degenerate) GROUP BY 1""")
 def mask_frames(spark, sf):
-    """Masks of another size than their image are dropped and counted."""
-    masks = rle_masks(spark, sf)
+    """Masks of another size than their image are dropped and counted; masks and images are dealt alike."""
+    masks = rle_masks(spark, sf, V.boxes_by_subject(spark, sf))
     wide = F.col("cue_idx") % 3 > 0
     masks = masks.withColumns({"w": F.when(wide, F.col("w")).otherwise(F.col("h")), "h": F.when(wide, F.col("h")).otherwise(F.col("w"))})
     images = V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("subject_id"), F.when(F.col("o_orderkey") % 2 == 0, 64).otherwise(48).alias("w"), F.when(F.col("o_orderkey") % 2 == 0, 48).otherwise(64).alias("h"))
+    images = V.by_subject(spark, sf, images)
     kept, dropped = M.of_frame(masks, images)
     both = kept.select("subject_id", F.lit(1).alias("k")).unionByName(dropped.select("subject_id", F.lit(0).alias("k")))
     return both.groupBy((F.col("subject_id") % 2 == 1).alias("narrow")).agg(F.count_if(F.col("k") == 1).alias("kept"), F.count_if(F.col("k") == 0).alias("dropped"))

@@ -368,8 +368,13 @@ def instances(spark, sf) -> DataFrame:
 def boxes_by_subject(spark, sf) -> DataFrame:
     """Usable instances, those of a subject in one task."""
     good = instances(spark, sf).where(~F.col("degenerate")).select("subject_id", "cue_idx", "x1", "x2", "y1", "y2")
+    return by_subject(spark, sf, good)
+
+
+def by_subject(spark, sf, rows) -> DataFrame:
+    """Rows of the tasks that hold the boxes of their subjects."""
     # Counted from file footers; a box becomes a row per pixel line, some 15.
-    return dealt(good, ["subject_id"], table(spark, sf, "lineitem").count(), task_rows=50_000)
+    return dealt(rows, ["subject_id"], table(spark, sf, "lineitem").count(), task_rows=50_000)
 
 
 def instance_rows(spark, sf) -> DataFrame:
