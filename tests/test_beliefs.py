@@ -230,3 +230,29 @@ def test_short_runs_are_dealt_to_more_tasks_as_the_ratings_grow(spark):
     assert ", 100), REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
     plain = U.sequential_posterior(prior, rated)
     assert sorted(map(tuple, out.select("label", "p").collect())) == sorted(map(tuple, plain.select("label", "p").collect()))
+
+
+def test_letters_meet_as_in_a_join(spark):
+    """Letters returned twice, without a value, without a key, or never offered."""
+    options = [(1, 0, 0, "a", 0), (1, 0, 1, "b", 1), (1, 1, 0, "b", 1), (1, 1, 1, "a", 0), (1, 1, 1, "c", 2), (2, 0, 0, "a", 0), (2, 0, None, "b", 1), (None, 0, 0, "a", 0)]
+    visible = [(1, 0, 0, -1.0), (1, 0, 0, -2.0), (1, 0, 1, None), (1, 1, 1, -0.5), (1, 1, 9, -0.1), (2, 0, None, -0.1), (None, 0, 0, -0.2)]
+    o = spark.createDataFrame(options, "subject_id int, perm int, letter int, label string, ord int")
+    v = spark.createDataFrame(visible, "subject_id int, perm int, letter int, logprob double")
+    soft = {}
+    for key in {(s, p) for s, p, *_ in options}:
+        rows = [(x[3], next_v) for x in options if x[:2] == key for next_v in ([y[3] for y in visible if None not in x[:3] and y[:3] == x[:3]] or [None])]
+        floor = min([lp for _, lp in rows if lp is not None], default=-15.0) - 5.0
+        e = [(label, math.exp(floor if lp is None else lp)) for label, lp in rows]
+        for label, x in e:
+            soft.setdefault(key[0], {}).setdefault(label, []).append(x / sum(y for _, y in e))
+    want = {(s, label): sum(p) / len(p) / sum(sum(q) / len(q) for q in own.values()) for s, own in soft.items() for label, p in own.items()}
+    got = {(r.subject_id, r.label): r.p for r in B.letter_belief(v, o).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_letters_are_shuffled_once(spark):
+    """The orders are, before they become ten rows each."""
+    import __spark_entry__ as E
+
+    plan = E.queries()["mc_letter_belief"](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+    assert "ENSURE_REQUIREMENTS" not in plan and "REPARTITION_BY_NUM" in plan

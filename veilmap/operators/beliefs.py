@@ -81,10 +81,15 @@ def letter_belief(visible: DataFrame, options: DataFrame) -> DataFrame:
     ``visible(subject_id, perm, letter, logprob)`` lists the letters the model
     returned, ``options(subject_id, perm, letter, label, ord)`` what each letter
     stood for. A letter that was not returned sits 5 nats below the lowest one
-    that was (-20 when there was none).
+    that was (-20 when there was none). Both sides meet in groups instead of a join, so that sides which lie by subject in the
+    same tasks stay there.
     """
     per = ["subject_id", "perm"]
-    both = options.join(visible, [*per, "letter"], "left")
+    on = [*per, "letter"]
+    known = visible.dropna(subset=on).select(*on, F.lit(None).alias("__o"), F.struct("logprob").alias("__v"))
+    offered = options.select(*on, F.struct("label", "ord").alias("__o"), F.lit(None).alias("__v"))
+    met = offered.unionByName(known).groupBy(*on).agg(F.collect_list("__o").alias("__o"), F.collect_list("__v").alias("__v"))
+    both = met.select(*on, F.explode("__o").alias("__o"), "__v").select(*on, "__o.*", F.explode_outer("__v").alias("__v")).select(*on, "label", "ord", "__v.logprob")
     floor = F.coalesce(F.min("logprob").over(_over(per)), F.lit(-15.0)) - 5.0
     soft = softmax(both.withColumn("__l", F.coalesce("logprob", floor)), "__l", keys=per)
     mean = soft.groupBy("subject_id", "label", "ord").agg(F.avg("p").alias("__p"))

@@ -8,6 +8,7 @@ from ..functions.columns import p_yes
 from ..operators import beliefs as B
 from ..operators import updating as U
 from ..functions.fixed_values import COUNTRY_ALIASES
+from ..operators.scale import dealt
 from . import views as V
 from .registry import query, sql_view
 from .views import rounded
@@ -56,6 +57,8 @@ sql_view("letters", """
   SELECT subject_id, label, round(p / sum(p) OVER (PARTITION BY subject_id), 6) + 0.0 AS p FROM a""")
 def mc_letter_belief(spark, sf):
     o = V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("subject_id"), "o_custkey")
+    # Before an order becomes ten rows; counted from file footers.
+    o = dealt(o, ["subject_id"], V.table(spark, sf, "orders").count(), task_rows=25_000)
     rows = o.select("*", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("ord")).select("*", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("perm"))
     letter = (F.col("ord") * 2 + F.col("perm") * 3 + F.col("subject_id")) % 5
     options = rows.select("subject_id", "perm", letter.alias("letter"), F.concat(F.lit("option "), "ord").alias("label"), "ord")
