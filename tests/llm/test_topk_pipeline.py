@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from veilmap.llm import bpe, queries, topk
+from veilmap.llm import bpe, components, queries, topk
+from veilmap.llm.common import stored
 
 SF = "/root/testdata/sf0.001"
 
@@ -82,3 +83,25 @@ def test_stages_take_awkward_and_empty_tables(spark, awkward):
         for _, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, SF)
             assert out.count() >= 0
+
+
+def test_small_splits_meet_in_larger_tasks(spark):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a few words "), 5).alias("text")).repartition(150)
+    got = corpus_pipeline.in_tasks(docs)
+    assert got.rdd.getNumPartitions() <= 3 * spark.sparkContext.defaultParallelism
+    assert got.count() == 2000 and corpus_pipeline.in_tasks(docs.limit(0)).count() == 0
+
+
+def test_rounds_of_components_write_few_files(spark, monkeypatch):
+    files = []
+
+    def noted(df, name):
+        out = stored(df, name)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(components, "stored", noted)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    got = components.components(edges)
+    assert {(r.node, r.root) for r in got.collect()} == {(i, 0) for i in range(301)}
+    assert len(files) > 2 and max(files[1:]) == 1

@@ -10,6 +10,8 @@ from .common import stored
 
 BUSY = 500
 SALTS = 64
+#: Edges of a written file.
+FILE_ROWS = 100_000
 
 
 def with_least(edges: DataFrame, least: DataFrame, over: int) -> DataFrame:
@@ -45,7 +47,8 @@ def components(edges: DataFrame, *, busy: int = BUSY) -> DataFrame:
         large = with_least(both.where("b > a"), least, over).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
         tied = with_least(large, least, over).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        now = stored(tied.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "cc")
+        edges = tied.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+        now = stored(edges.coalesce(max(1, -(-n // FILE_ROWS))), "cc")
         seen = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if seen == mark:
             break
