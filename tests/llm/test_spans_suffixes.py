@@ -111,6 +111,22 @@ def test_suffix_array_and_common_prefixes():
                     assert shared[b] == k
 
 
+def test_common_prefixes_take_few_steps(monkeypatch):
+    calls = []
+
+    def counted(x, y, same=suffixes.same_bytes):
+        calls.append(len(x))
+        return same(x, y)
+
+    monkeypatch.setattr(suffixes, "same_bytes", counted)
+    text = np.random.default_rng(6).integers(1, 90, 100_000).astype(np.uint8)
+    text = np.r_[text, text[50_000:], np.uint8(255)]
+    sa = suffixes.suffix_array(text)
+    shared = suffixes.common_prefixes(text, sa, 200)
+    assert (shared == 200).sum() >= 49_000 and shared.max() == 200
+    assert len(calls) < 4000 and sum(calls) < 5 * len(text)
+
+
 def test_window_hashes_follow_content():
     x = np.random.default_rng(1).integers(0, 4, 3000).astype(np.uint64)
     h = blocks.window_hashes(x, 6)

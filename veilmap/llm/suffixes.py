@@ -86,7 +86,16 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     return sa
 
 
-def common_prefixes(text: np.ndarray, sa: np.ndarray, cap: int, lanes: int = 4096) -> np.ndarray:
+def same_bytes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Leading bytes, 0 to 8, that two packed numbers share."""
+    differ = x ^ y
+    top = (differ == 0).view(np.uint8)
+    for k in range(1, 8):
+        top += (differ < np.uint64(1 << (64 - 8 * k))).view(np.uint8)
+    return top
+
+
+def common_prefixes(text: np.ndarray, sa: np.ndarray, cap: int, lanes: int = 16384) -> np.ndarray:
     """For each place, the bytes (up to ``cap``) it shares with the place before it in the suffix array.
 
     Kasai: going on by one place loses at most one shared byte, so that comparison goes on where it stopped. The text is
@@ -97,31 +106,26 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, cap: int, lanes: int = 409
     before[sa[1:]] = sa[:-1]
     eight = np.r_[packed8(text), np.zeros(cap + 8, np.uint64)]
     out = np.zeros(n, np.int32)
-    lanes = max(1, min(lanes, n // (2 * cap) or 1))
+    lanes = max(1, min(lanes, 2 * n // cap or 1))
     width = -(-n // lanes)
     base = np.arange(lanes) * width
     shared = np.zeros(lanes, np.int64)
     for t in range(width):
-        place = base + t
-        live = np.flatnonzero(place < n)
-        p = place[live]
+        p = base + t
+        p = p[: np.searchsorted(p, n)]
         q = before[p].astype(np.int64)
-        h = np.maximum(shared[live] - 1, 0)
-        h[q < 0] = 0
-        go = np.flatnonzero((q >= 0) & (h < cap))
+        h = np.maximum(shared[: len(p)] - 1, 0)
+        more = same_bytes(eight[p + h], eight[q + h])
+        h += more
+        go = np.flatnonzero((more == 8) & (h < cap))
         while len(go):
-            a, b = p[go] + h[go], q[go] + h[go]
-            differ = eight[a] ^ eight[b]
-            same = differ == 0
-            # Bytes shared by two different numbers: leading zero bytes of their difference.
-            top = np.zeros(len(go), np.int64)
-            for k in range(1, 8):
-                top += differ < (np.uint64(1) << np.uint64(64 - 8 * k))
-            room = n - np.maximum(a, b)
-            h[go] += np.minimum(np.where(same, 8, np.minimum(top, 7)), np.maximum(room, 0))
-            go = go[same & (room >= 8) & (h[go] < cap)]
-        shared[live] = h
-        out[p] = np.minimum(h, cap)
+            more = same_bytes(eight[p[go] + h[go]], eight[q[go] + h[go]])
+            h[go] += more
+            go = go[(more == 8) & (h[go] < cap)]
+        # Zeros past the end may have been taken for bytes of the text. The first of all suffixes shares nothing.
+        h = np.minimum(h, np.minimum(cap, n - np.maximum(p, q)))
+        h[q < 0] = 0
+        shared[: len(p)] = out[p] = h
     return out
 
 
