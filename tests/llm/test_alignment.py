@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -89,3 +90,11 @@ def test_no_rows_and_no_texts(spark):
     got = alignment.align(docs, *args, keep=["doc_id"]).collect()
     assert sorted(got, key=repr) == sorted([(1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, ""), (None, 0, 0, 0, 0, 0, 0, "")], key=repr)
     assert alignment.align(docs.limit(0), *args).count() == 0
+
+
+def test_places_tell_documents_apart():
+    # Two documents, bytes 0 to 6 and 8 to 12: the last token of the first one covers nothing of the second.
+    start_a, end_a = np.array([0, 4, 8, 9]), np.array([4, 6, 9, 12])
+    start_b, end_b = np.array([0, 1, 8]), np.array([1, 6, 12])
+    at_a, at_b = alignment.overlaps(start_a, end_a, start_b, end_b)
+    assert list(zip(at_a.tolist(), at_b.tolist(), strict=True)) == [(0, 0), (0, 1), (1, 1), (2, 2), (3, 2)]

@@ -1,8 +1,8 @@
 """Cross-tokenizer alignment of byte-level BPE (A) and sentence-piece (B) tokens.
 
 Per batch of documents the tokens of either side lie in one frame each, with their byte offsets. ``pandas.merge_asof``,
-keyed by document, finds for each token start the other side's token that covers it; the union of both directions gives
-all overlaps, and byte offsets where tokens of both sides end cut groups.
+over bytes numbered through all documents, finds for each token start the other side's token that covers it; the union
+of both directions gives all overlaps, and byte offsets where tokens of both sides end cut groups.
 
 How often two ids overlap is counted over all documents. A chunk (a bounded batch of documents) sends each distinct pair
 of ids once, with its number of links; the counts are one aggregation; each chunk gets those of its own pairs back. So
@@ -71,7 +71,7 @@ class Pair:
             for i in range(b.get_piece_size()):
                 piece = b.id_to_piece(i)
                 b_bytes.append(bytes([int(piece[3:5], 16)]) if b.is_byte(i) else piece.replace("▁", " ").encode())
-            spelled = [f"{i}{mark}" for i in range(max(len(a_bytes), len(b_bytes))) for mark in (",", "|", ";", "")]
+            spelled = np.array([f"{i}{mark}" for i in range(max(len(a_bytes), len(b_bytes))) for mark in (",", "|", ";", "")], object)
             self.made = a, b, a_bytes, b_bytes, spelled
         return self.made
 
@@ -105,11 +105,14 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
 
 
-def overlaps(doc_a: np.ndarray, start_a: np.ndarray, end_a: np.ndarray, doc_b: np.ndarray, start_b: np.ndarray, end_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (a, b) of all pairs of tokens whose byte ranges overlap, each once, by a and then b."""
-    a = pd.DataFrame({"doc": doc_a, "at": start_a, "a": np.arange(len(doc_a)), "a_end": end_a})
-    b = pd.DataFrame({"doc": doc_b, "at": start_b, "b": np.arange(len(doc_b)), "b_end": end_b})
-    into_b, into_a = pd.merge_asof(a, b, on="at", by="doc"), pd.merge_asof(b, a, on="at", by="doc")
+def overlaps(start_a: np.ndarray, end_a: np.ndarray, start_b: np.ndarray, end_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (a, b) of all pairs of tokens whose byte ranges overlap, each once, by a and then b.
+
+    Bytes are numbered through, so a place tells its document: the token before it, if of another one, ends before it.
+    """
+    a = pd.DataFrame({"at": start_a, "a": np.arange(len(start_a)), "a_end": end_a})
+    b = pd.DataFrame({"at": start_b, "b": np.arange(len(start_b)), "b_end": end_b})
+    into_b, into_a = pd.merge_asof(a, b, on="at"), pd.merge_asof(b, a, on="at")
     both = []
     for side, end in ((into_b, "b_end"), (into_a, "a_end")):
         covered = (side["at"] < side[end]).to_numpy()  # a start before the other side's first token has no end there
@@ -129,14 +132,14 @@ class Aligned:
         cuts = np.intersect1d(end_a, end_b, assume_unique=True)
         self.group_a, self.group_b = np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b)
         self.groups = np.bincount(np.searchsorted(np.cumsum(text_bytes + 1), cuts), minlength=self.docs)
-        self.link_a, self.link_b = overlaps(self.doc_a, start_a, end_a, self.doc_b, start_b, end_b)
+        self.link_a, self.link_b = overlaps(start_a, end_a, start_b, end_b)
         self.link_doc = self.doc_a[self.link_a]
         self.pairs = self.a[self.link_a] << SHIFT | self.b[self.link_b]
 
     def per_doc(self, doc: np.ndarray) -> np.ndarray:
         return np.bincount(doc, minlength=self.docs)
 
-    def texts(self, spelled: list[str]) -> list[str]:
+    def texts(self, spelled: np.ndarray) -> list[str]:
         """``a1,a2|b1;a3|b2,b3`` of each document; ``spelled`` has every id with each of the four marks that may follow."""
         na = len(self.a)
         # Within a group the tokens of A come before those of B.
@@ -147,7 +150,7 @@ class Aligned:
         final = np.r_[doc[1:] != doc[:-1], True] if len(doc) else last[:0]
         mark = np.where(final[: len(doc)], 3, np.where(last[: len(doc)], 1 + place % 2, 0))
         ids = np.r_[self.a, self.b][order]
-        parts = list(map(spelled.__getitem__, (ids << 2 | mark).tolist()))
+        parts = spelled[ids << 2 | mark].tolist()
         ends = np.cumsum(self.per_doc(doc)).tolist()
         return ["".join(parts[lo:hi]) for lo, hi in zip([0, *ends], ends, strict=False)] if na or len(self.b) else [""] * self.docs
 
